@@ -1,0 +1,151 @@
+"""Meter, weather and reference feeds projected from general event, supplier and region tables.
+
+Event types play the meters: ``view`` building meters, ``purchase`` grid connections, ``click``
+submeters, ``error`` weather stations. Loads are whole watt-hours, so sums do not depend on order.
+Quarter-hour rounding makes repeated keys; small values make negative loads, every 97th event a
+missing load, and every 101st grid reading a campus id that is not a number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridmill.functions import floor_time, floor_to_hour
+from gridmill.names import BUILDING, NMI
+from gridmill.sources.reference import FACTOR_COLUMNS, INTENSITY_COLUMNS
+
+
+def _campus() -> Column:
+    return 4 + F.col("user_id") % 2
+
+
+def _load() -> Column:
+    return F.when(F.col("event_id") % 97 != 0, F.round(F.col("value") * 100) - 100)
+
+
+def _reading(events: DataFrame, kind: str, *columns: Column) -> DataFrame:
+    return events.where(F.col("event_type") == kind).select(
+        *columns, floor_time("ts", "15 minutes").alias("timestamp"), _load().alias("consumption"),
+        "event_id", "value",
+    )
+
+
+def building_feed(events: DataFrame) -> DataFrame:
+    meter = (F.col("user_id") % 4).alias("meter_id")
+    return _reading(events, "view", _campus().alias("campus_id"), meter).drop("event_id", "value")
+
+
+def nmi_feed(events: DataFrame) -> DataFrame:
+    campus = F.when(F.col("event_id") % 101 == 0, "N/A").otherwise(_campus().cast("string"))
+    return (
+        _reading(events, "purchase", campus.alias("campus_id"), (F.col("user_id") % 4).alias("meter_id"))
+        .withColumns({"demand_kW": F.col("consumption") * 4, "demand_kVA": F.col("consumption") * 4.2})
+        .drop("event_id", "value")
+    )
+
+
+def submeter_feed(events: DataFrame) -> DataFrame:
+    return (
+        _reading(
+            events, "click", _campus().alias("campus_id"),
+            (F.col("user_id") % 8).alias("building_id"), (F.col("user_id") % 4).alias("id"),
+        )
+        .withColumns(
+            {
+                "current": F.col("value") / 240,
+                "voltage": F.lit(240.0),
+                "power": F.col("value"),
+                "power_factor": F.lit(0.95),
+            }
+        )
+        .drop("event_id", "value")
+    )
+
+
+def weather_feed(events: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    air = (15 + k % 10).cast("double")
+    return events.where("event_type = 'error'").select(
+        _campus().alias("campus_id"),
+        F.col("ts").alias("timestamp"),
+        air.alias("air_temperature"),
+        (air - 1).alias("apparent_temperature"),
+        k.cast("double").alias("relative_humidity"),
+    )
+
+
+def campus_meta_feed(region: DataFrame) -> DataFrame:
+    """Campuses 0 to 4; campus 5 has readings but no metadata."""
+    return region.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
+
+
+def factor_text_feed(supplier: DataFrame) -> DataFrame:
+    """One emissions factor per supplier, as the text a CSV file would hold."""
+    key = F.col("s_suppkey")
+    values = {
+        "factor_id": F.concat(F.lit("factor_"), key.cast("string")),
+        "country": F.when(F.col("s_nationkey") < 20, "Australia").otherwise("New Zealand"),
+        "region": F.concat(F.lit("region_"), F.col("s_nationkey").cast("string")),
+        "source_system": F.when(key % 3 == 0, "*").when(key % 3 == 1, BUILDING).otherwise(NMI),
+        "energy_type": F.when(key % 5 == 0, "gas").otherwise("electricity"),
+        "factor_year": (2015 + key % 15).cast("string"),
+        "emissions_factor_kg_co2e_per_kwh": F.concat(F.lit("0."), (20 + key % 60).cast("string")),
+        "factor_source_name": F.col("s_name"),
+        "factor_source_url": F.lit(""),
+        "is_default": F.element_at(F.array(*map(F.lit, ("TRUE", "no", "Yes", "false", "1", "0", ""))), (key % 7 + 1).cast("int")),
+        "notes": F.concat(F.lit("Factor of "), F.col("s_name")),
+    }
+    return supplier.select(*[values[name].alias(name) for name in FACTOR_COLUMNS])
+
+
+def _intensity_text(hours: DataFrame, value: Column) -> DataFrame:
+    """Intensity rows as text: starts without an offset, ends in local time with one."""
+    local_end = F.timestamp_add("HOUR", F.lit(11), F.col("hour"))
+    values = {
+        "region_code": F.col("region_code"),
+        "region_name": F.when(F.col("region_code") == "VIC1", "Victoria").otherwise("New South Wales"),
+        "interval_start": F.col("hour").cast("string"),
+        "interval_end": F.concat(local_end.cast("string"), F.lit("+10:00")),
+        "emissions_intensity_kg_co2e_per_kwh": value,
+        "source_name": F.concat(F.lit("Grid feed "), F.col("region_code")),
+        "source_url": F.lit(""),
+        "data_version": F.lit("1"),
+        "notes": F.when(F.hour("hour") < 12, "Synthetic morning row").otherwise("Afternoon row"),
+    }
+    return hours.select(*[values[name].alias(name) for name in INTENSITY_COLUMNS])
+
+
+def _station_hours(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'error'").select(
+        F.when(F.col("user_id") % 2 == 0, "VIC1").otherwise("NSW1").alias("region_code"),
+        floor_to_hour("ts").alias("hour"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+
+
+def intensity_text_feed(events: DataFrame) -> DataFrame:
+    """One valid row per region and hour, for the hours before 11 January."""
+    first_days = _station_hours(events).where(F.col("hour") < F.lit("2024-01-11").cast("timestamp_ntz"))
+    by_hour = first_days.groupBy("region_code", "hour").agg(F.min("k").alias("k"))
+    return _intensity_text(by_hour, F.concat(F.lit("0."), (10 + F.col("k") % 80).cast("string")))
+
+
+def dirty_intensity_text_feed(events: DataFrame) -> DataFrame:
+    """One row per observation: repeated hours, text that is no number, negative numbers."""
+    k = F.col("k")
+    value = F.when(k % 7 == 0, "n/a").when(k % 11 == 0, "-0.5").otherwise(F.concat(F.lit("0."), k.cast("string")))
+    return _intensity_text(_station_hours(events), value)
+
+
+def page_markdown(pages: DataFrame) -> DataFrame:
+    """Web pages as markdown text: headings, paragraphs, no other tags."""
+    text = F.col("html")
+    for pattern, replacement in (
+        (r"<h[1-6]>", "\n# "),
+        (r"</h[1-6]>", "\n"),
+        (r"<br>|</p>|</div>|</li>", "\n\n"),
+        (r"<[^>]*>", ""),
+    ):
+        text = F.regexp_replace(text, pattern, replacement)
+    return pages.select("page_id", text.alias("text"))

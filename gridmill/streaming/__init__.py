@@ -1,0 +1 @@
+"""No streaming job exists: every table is a full-refresh batch, so there is nothing to stream."""
