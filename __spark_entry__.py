@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +104,38 @@ class Tables:
     def dirty_intensity(self) -> DataFrame:
         return reference.parse_grid_intensity(feed.dirty_intensity_text_feed(self.events))
 
+    @cached_property
+    def run_folder(self) -> str:
+        """A folder of this run's own in the shared storage of the cluster."""
+        return f"{shared_folder(self.spark)}/gridmill/{uuid4().hex}"
+
+    @cached_property
+    def stored_hourly(self) -> DataFrame:
+        """Hourly usage, written once for queries that read it several times."""
+        return layers.store(self.hourly, f"{self.run_folder}/hourly_usage", ["source_system"])
+
     @cached_property
     def emissions(self) -> DataFrame:
         return emissions.emissions_monthly(self.monthly, self.factors)
 
     @cached_property
     def time_varying(self) -> DataFrame:
-        return emissions.emissions_time_varying(self.hourly, self.emissions, self.intensity)
+        hourly = self.stored_hourly
+        monthly = usage.monthly_usage(usage.daily_usage(hourly))
+        static = emissions.emissions_monthly(monthly, self.factors)
+        return emissions.emissions_time_varying(hourly, static, self.intensity)
+
+    def executive_summary(self, **selection) -> DataFrame:
+        hourly = self.stored_hourly
+        monthly = usage.monthly_usage(usage.daily_usage(hourly))
+        return reports.report_executive_summary(
+            monthly,
+            emissions.emissions_monthly(monthly, self.factors),
+            self.peaks,
+            baseline.weather_baseline(hourly, self.weather),
+            scenarios.shift_scenarios(hourly),
+            **selection,
+        )
 
     @cached_property
     def recon_daily(self) -> DataFrame:
@@ -177,13 +203,6 @@ class Tables:
         self.sql_report_rows()
         return marts.run_sql_reports(self.spark, SQL_REPORTS)[name]
 
-    def stored_hourly(self) -> DataFrame:
-        """Hourly usage written to the shared checkpoint folder as parquet and read back."""
-        folder = shared_folder(self.spark)
-        path = f"{folder}/hourly_usage_{os.path.basename(self.sf_dir.rstrip('/'))}"
-        self.hourly.write.mode("overwrite").partitionBy("source_system").parquet(path)
-        return self.spark.read.parquet(path).select(*self.hourly.columns)
-
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles at six digits, so that the order of a sum does not show; -0.0 becomes 0.0."""
@@ -219,7 +238,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "register_reference": lambda t: reference.validate_grid_intensity(t.intensity)
         .withColumn("ingested_at", F.current_timestamp())
         .select("region_code", "interval_start_hour", F.col("ingested_at").isNotNull().alias("has_load_time")),
-        "write_layer": lambda t: t.stored_hourly(),
+        "write_layer": lambda t: t.stored_hourly,
         "table_inventory": lambda t: layers.row_counts(t.layer_frames),
         "layer_row_funnel": lambda t: layers.layer_row_funnel(layers.row_counts(t.layer_frames)),
         "describe_table": lambda t: layers.describe_frame(t.hourly, "gold.gold_hourly_electricity_usage").drop(
@@ -267,9 +286,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # reports
         "filter_options": lambda t: reports.filter_options(t.monthly),
         "report_monthly_usage": lambda t: reports.report_monthly_usage(t.monthly, **pick),
-        "report_executive_summary": lambda t: reports.report_executive_summary(
-            t.monthly, t.emissions, t.peaks, t.baseline, t.shifts, **pick
-        ),
+        "report_executive_summary": lambda t: t.executive_summary(**pick),
         "report_monthly_by_campus": lambda t: reports.report_monthly_by_campus(t.monthly, **pick),
         "report_hourly_heatmap": lambda t: reports.report_hourly_heatmap(t.hourly, **pick),
         "report_heatmap_pivot": lambda t: reports.report_heatmap_pivot(

@@ -1,7 +1,14 @@
 """Column expressions shared by the operators; all are built-in JVM expressions."""
 
 from gridmill.functions.measures import count_where, in_list, ratio, round_half_up
-from gridmill.functions.text import STOPWORDS, query_terms, strip_whitespace, unify_newlines, word_set
+from gridmill.functions.text import (
+    STOPWORDS,
+    has_word,
+    query_terms,
+    strip_whitespace,
+    unify_newlines,
+    word_set,
+)
 from gridmill.functions.timeparts import day_number, day_title, floor_time, floor_to_hour, month_start
 
 __all__ = [
@@ -11,6 +18,7 @@ __all__ = [
     "day_title",
     "floor_time",
     "floor_to_hour",
+    "has_word",
     "in_list",
     "month_start",
     "query_terms",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import count_where, month_start
@@ -11,70 +11,65 @@ ANY_SOURCE = "*"
 MATCHED, FALLBACK, MISSING = "matched_hourly_factor", "fallback_static_factor", "missing_hourly_factor"
 
 
-def choose_factors(
-    usage: DataFrame, factors: DataFrame, country: str = "Australia", energy_type: str = "electricity"
+def distinct_choices(
+    factors: DataFrame, country: str = "Australia", energy_type: str = "electricity"
 ) -> DataFrame:
-    """The factor that applies to each (source_system, usage_year) found in monthly usage.
-
-    A factor for the source beats one for any source, then the usage year beats other years, then a
-    specific factor beats a default one, then the newest year wins; ``factor_id`` settles the rest.
-    Usage is first reduced to its distinct (source, year) pairs, and each pair is doubled into its
-    own source and the wildcard, which turns the wildcard rule into an equality join on a few rows.
-    """
-    candidates = factors.where((F.col("energy_type") == energy_type) & (F.col("country") == country))
-    pairs = usage.select("source_system", F.year("usage_month").alias("usage_year")).distinct()
-    lookups = pairs.withColumn("factor_source", F.explode(F.array("source_system", F.lit(ANY_SOURCE))))
-    applicable = lookups.join(
-        candidates.withColumnRenamed("source_system", "factor_source"), "factor_source"
-    ).where((F.col("factor_year") <= F.col("usage_year")) | F.col("is_default"))
-    best_first = Window.partitionBy("source_system", "usage_year").orderBy(
-        (F.col("factor_source") == ANY_SOURCE).asc(),
-        F.when(F.col("factor_year") == F.col("usage_year"), 0).otherwise(1),
-        F.col("is_default").asc_nulls_last(),
-        F.col("factor_year").desc_nulls_last(),
-        F.col("factor_id").asc_nulls_last(),
+    """The factors that can ever be chosen: one per source, year and default flag, lowest id first."""
+    detail = (
+        "factor_id", "country", "region", "energy_type", "emissions_factor_kg_co2e_per_kwh",
+        "factor_source_name", "factor_source_url", "notes",
     )
     return (
-        applicable.withColumn("factor_rank", F.row_number().over(best_first))
-        .where("factor_rank = 1")
-        .select(
-            "source_system",
-            "usage_year",
-            "factor_id",
-            F.col("country").alias("factor_country"),
-            F.col("region").alias("factor_region"),
-            "energy_type",
-            "factor_year",
-            "emissions_factor_kg_co2e_per_kwh",
-            "factor_source_name",
-            "factor_source_url",
-            F.col("is_default").alias("used_default_factor"),
-            F.col("notes").alias("factor_notes"),
-        )
+        factors.where((F.col("energy_type") == energy_type) & (F.col("country") == country))
+        .groupBy(F.col("source_system").alias("factor_source"), "factor_year", "is_default")
+        .agg(F.min_by(F.struct(*detail), F.col("factor_id")).alias("detail"))
     )
 
 
 def emissions_monthly(
     monthly: DataFrame, factors: DataFrame, country: str = "Australia", energy_type: str = "electricity"
 ) -> DataFrame:
-    """Monthly usage times its best factor; usage without any factor is left out."""
-    chosen = choose_factors(monthly, factors, country, energy_type)
-    usage = monthly.select(
-        "campus_id", "source_system", "usage_month", F.year("usage_month").alias("usage_year"), "total_consumption"
+    """Monthly usage times its best factor; usage without any factor is left out.
+
+    A factor for the source beats one for any source, then the usage year beats other years, then a
+    specific factor beats a default one, then the newest year wins; ``factor_id`` settles the rest.
+    Each usage row looks under two names, its own source and the wildcard, which makes the wildcard
+    rule an equality join. At most two factors per source and year take part, so the join widens
+    usage by a handful of years, and the best match is an arg-min that combines on the map side.
+    ``monthly`` is read once.
+    """
+    keys = ("campus_id", "source_system", "usage_month", "total_consumption")
+    year = F.year("usage_month")
+    lookups = monthly.select(*keys, F.explode(F.array("source_system", F.lit(ANY_SOURCE))).alias("factor_source"))
+    applicable = lookups.join(distinct_choices(factors, country, energy_type), "factor_source").where(
+        (F.col("factor_year") <= year) | F.col("is_default")
     )
-    return (
-        usage.join(chosen, ["source_system", "usage_year"])
-        .withColumn(
-            "estimated_emissions_kg_co2e", F.col("total_consumption") * F.col("emissions_factor_kg_co2e_per_kwh")
-        )
-        .select(
-            "campus_id",
-            "source_system",
-            "usage_month",
-            "total_consumption",
-            *[name for name in chosen.columns if name not in ("source_system", "usage_year")],
-            "estimated_emissions_kg_co2e",
-        )
+    # Compared field by field, lowest first; missing flags and years go last.
+    preference = F.struct(
+        F.col("factor_source") == ANY_SOURCE,
+        ~F.coalesce(F.col("factor_year") == year, F.lit(False)),
+        F.coalesce(F.col("is_default").cast("int"), F.lit(2)),
+        F.col("factor_year").isNull(),
+        -F.col("factor_year"),
+        F.col("detail.factor_id"),
+    )
+    best = applicable.groupBy(*keys).agg(
+        F.min_by(F.struct("factor_year", "is_default", "detail"), preference).alias("best")
+    )
+    factor = F.col("best.detail.emissions_factor_kg_co2e_per_kwh")
+    return best.select(
+        *keys,
+        F.col("best.detail.factor_id").alias("factor_id"),
+        F.col("best.detail.country").alias("factor_country"),
+        F.col("best.detail.region").alias("factor_region"),
+        F.col("best.detail.energy_type").alias("energy_type"),
+        F.col("best.factor_year").alias("factor_year"),
+        factor.alias("emissions_factor_kg_co2e_per_kwh"),
+        F.col("best.detail.factor_source_name").alias("factor_source_name"),
+        F.col("best.detail.factor_source_url").alias("factor_source_url"),
+        F.col("best.is_default").alias("used_default_factor"),
+        F.col("best.detail.notes").alias("factor_notes"),
+        (F.col("total_consumption") * factor).alias("estimated_emissions_kg_co2e"),
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.functions import query_terms, strip_whitespace, unify_newlines, word_set
+from gridmill.functions import has_word, query_terms, strip_whitespace, unify_newlines, word_set
 
 BLANK_LINE = r"\n\s*\n"
 DEFAULT_HEADING = "Overview"
@@ -62,11 +64,14 @@ def keyword_search(chunks: DataFrame, query: str, limit: int = 5, id_column: str
     terms = query_terms(query)
     if not terms:
         return chunks.withColumn("score", F.lit(0)).limit(0)
-    words = word_set(F.concat_ws(" ", "heading", "text"))
-    wanted = F.array(*[F.lit(term) for term in terms])
+    score = reduce(Column.__add__, [has_word(F.col("_searched"), term).cast("int") for term in terms])
     return (
-        chunks.withColumn("score", F.size(F.array_intersect(words, wanted)))
-        .where("score > 0")
+        chunks.withColumn("_searched", F.lower(F.concat_ws(" ", "heading", "text")))
+        .withColumn("score", score)
+        .drop("_searched")
         .orderBy(F.desc("score"), id_column, "section_no", "paragraph_no")
         .limit(limit)
+        # Rows without a match rank last, so filtering the few winners is enough; a filter before
+        # the ranking would be pushed down and work out every score twice.
+        .where("score > 0")
     )

@@ -20,6 +20,11 @@ def _campus() -> Column:
     return 4 + F.col("user_id") % 2
 
 
+def _meter() -> Column:
+    """Meter 0 takes a third of all readings, the other meters share the rest."""
+    return F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id") % 40)
+
+
 def _load() -> Column:
     return F.when(F.col("event_id") % 97 != 0, F.round(F.col("value") * 100) - 100)
 
@@ -32,14 +37,14 @@ def _reading(events: DataFrame, kind: str, *columns: Column) -> DataFrame:
 
 
 def building_feed(events: DataFrame) -> DataFrame:
-    meter = (F.col("user_id") % 4).alias("meter_id")
+    meter = _meter().alias("meter_id")
     return _reading(events, "view", _campus().alias("campus_id"), meter).drop("event_id", "value")
 
 
 def nmi_feed(events: DataFrame) -> DataFrame:
     campus = F.when(F.col("event_id") % 101 == 0, "N/A").otherwise(_campus().cast("string"))
     return (
-        _reading(events, "purchase", campus.alias("campus_id"), (F.col("user_id") % 4).alias("meter_id"))
+        _reading(events, "purchase", campus.alias("campus_id"), _meter().alias("meter_id"))
         .withColumns({"demand_kW": F.col("consumption") * 4, "demand_kVA": F.col("consumption") * 4.2})
         .drop("event_id", "value")
     )
@@ -49,7 +54,7 @@ def submeter_feed(events: DataFrame) -> DataFrame:
     return (
         _reading(
             events, "click", _campus().alias("campus_id"),
-            (F.col("user_id") % 8).alias("building_id"), (F.col("user_id") % 4).alias("id"),
+            (F.col("user_id") % 8).alias("building_id"), _meter().alias("id"),
         )
         .withColumns(
             {

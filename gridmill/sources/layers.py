@@ -38,6 +38,17 @@ def write_layer(
     return spark.table(table).select(*df.columns)
 
 
+def store(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a frame as parquet under a shared path and return the stored copy.
+
+    For a result that several parts of one job read: it is computed once, its lineage ends, and its
+    size is known to the join planner.
+    """
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def row_counts(frames: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
     """One row per named frame: schema_name, table_name, row_count."""
     parts = [

@@ -8,19 +8,19 @@ from __future__ import annotations
 
 LAYERS = r"""
 bronze_building AS (
-  SELECT 4 + user_id % 2 AS campus_id, user_id % 4 AS meter_id,
+  SELECT 4 + user_id % 2 AS campus_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id,
          time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption
   FROM events WHERE event_type = 'view'
 ),
 bronze_nmi AS (
   SELECT CASE WHEN event_id % 101 = 0 THEN 'N/A' ELSE CAST(4 + user_id % 2 AS VARCHAR) END AS campus_id,
-         user_id % 4 AS meter_id, time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
+         CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id, time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption
   FROM events WHERE event_type = 'purchase'
 ),
 bronze_submeter AS (
-  SELECT 4 + user_id % 2 AS campus_id, user_id % 8 AS building_id, user_id % 4 AS id,
+  SELECT 4 + user_id % 2 AS campus_id, user_id % 8 AS building_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS id,
          time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption,
          value / 240 AS "current", value AS power
