@@ -1,0 +1,63 @@
+import pytest
+
+from gridmill.names import BUILDING, NMI, SUBMETER
+from gridmill.operators.quality import BUILDING_TABLE, quality_checks, quality_summary, require_quality
+
+from helpers import at, values
+from test_usage import SILVER, SILVER_NMI
+
+SILVER_SUBMETER = (
+    "campus_id bigint, building_id bigint, meter_id bigint, reading_timestamp timestamp_ntz, consumption double, "
+    "current double, voltage double, power double, power_factor double, source_system string"
+)
+T0 = at("2024-01-01 00:00")
+GOOD = (1, 10, T0, 12.5, BUILDING)
+
+
+def checks(spark, *building_rows):
+    building = spark.createDataFrame(list(building_rows), SILVER)
+    nmi = spark.createDataFrame([(1, 20, T0, 50.0, 80.0, 81.0, NMI)], SILVER_NMI)
+    submeter = spark.createDataFrame([(1, 5, 30, T0, 2.0, 1.0, 240.0, 3.0, 0.9, SUBMETER)], SILVER_SUBMETER)
+    meta = spark.createDataFrame([(1, "Main"), (1, "Main again")], "id bigint, name string")
+    return quality_checks(building, nmi, submeter, meta)
+
+
+def building_results(result):
+    rows = result.where(f"table_name = '{BUILDING_TABLE}'").collect()
+    return {row.name: (row.status, row.observed_value) for row in rows}
+
+
+def test_clean_tables_pass(spark):
+    result = checks(spark, GOOD)
+    assert result.count() == 18
+    assert values(quality_summary(result)) == [("PASS", 18)]
+    assert require_quality(result) is result
+    assert building_results(result)["timestamp_coverage_present"][1] == "2024-01-01 00:00:00 to 2024-01-01 00:00:00"
+
+
+def test_repeated_keys_count_groups(spark):
+    found = building_results(checks(spark, GOOD, GOOD, GOOD))
+    assert found["duplicate_key_count"] == ("FAIL", "1")
+    assert found["row_count_positive"] == ("PASS", "3")
+
+
+def test_missing_negative_and_unknown_campus(spark):
+    found = building_results(
+        checks(spark, GOOD, (1, 10, at("2024-01-01 01:00"), None, BUILDING), (2, 10, T0, -1.0, BUILDING), (None, 1, T0, 1.0, None))
+    )
+    assert found["required_fields_not_null"] == ("FAIL", "2")
+    assert found["consumption_non_negative"] == ("FAIL", "1")
+    assert found["campus_reference_exists"] == ("FAIL", "2")
+    assert found["duplicate_key_count"] == ("PASS", "0")
+
+
+def test_empty_table_fails_two_checks(spark):
+    found = building_results(checks(spark))
+    assert found["row_count_positive"] == ("FAIL", "0")
+    assert found["timestamp_coverage_present"] == ("FAIL", "None to None")
+    assert found["duplicate_key_count"] == ("PASS", "0")
+
+
+def test_gate_names_the_failures(spark):
+    with pytest.raises(ValueError, match="1 quality checks failed: duplicate_key_count"):
+        require_quality(checks(spark, GOOD, GOOD))
