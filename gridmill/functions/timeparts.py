@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Day names from Sunday.
+DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
 
 def floor_time(ts: Column | str, width: str) -> Column:
     """Round a TIMESTAMP_NTZ down to a multiple of ``width`` (for example ``"15 minutes"``).
@@ -31,5 +34,5 @@ def day_number(ts: Column | str) -> Column:
 
 
 def day_title(ts: Column | str) -> Column:
-    """Full English day name."""
-    return F.date_format(ts, "EEEE")
+    """Full English day name; unlike ``date_format`` it needs neither time zone nor locale."""
+    return F.element_at(F.array(*[F.lit(name) for name in DAY_NAMES]), F.dayofweek(ts))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridmill.functions import month_start
 from gridmill.names import QUALITY_TABLE
 from gridmill.operators.baseline import hourly_weather, weather_baseline
 from gridmill.operators.emissions import emissions_monthly, emissions_time_varying
@@ -52,10 +53,11 @@ def build_all(
     if stop_on_failed_checks:
         require_quality(checks)
 
+    # The month is stored as a partition, so that a job on one event day opens one month of files.
     hourly = write_layer(
-        hourly_usage(*silver),
+        hourly_usage(*silver).withColumn("usage_month", month_start("usage_hour")),
         "gold.gold_hourly_electricity_usage",
-        partition_by=["source_system"],
+        partition_by=["usage_month"],
         sort_by=["usage_hour"],
     )
     daily = write_layer(daily_usage(hourly), "gold.gold_daily_electricity_usage")

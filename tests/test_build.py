@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from gridmill.operators.scenarios import event_response_scenarios
 from gridmill.plans.build import build_all
 from gridmill.plans.questions import QUESTIONS
 
@@ -53,6 +54,12 @@ def test_usage_is_conserved_through_the_layers(spark, inventory):
     assert total("gold.gold_hourly_time_varying_emissions") == hourly
 
 
+def test_event_day_opens_one_month(spark, inventory):
+    hourly = spark.table("gold.gold_hourly_electricity_usage")
+    plan = event_response_scenarios(hourly, event_date="2024-01-15")._jdf.queryExecution().executedPlan().toString()
+    assert "(usage_month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_questions_run_on_the_stored_tables(spark, inventory):
     for ask, table in QUESTIONS.values():
         assert ask(spark.table(table or "gold.gold_peak_demand")).columns
