@@ -38,7 +38,12 @@ class Tables:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return raw.read_raw(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return raw.read_raw(self.spark, f"{self.sf_dir}/{name}.parquet", feed.TABLE_SCHEMAS[name])
+
+    @cached_property
+    def all_tables(self) -> dict[str, tuple[str, DataFrame]]:
+        schemas = {f"bronze_{name}": schema for name, schema in feed.TABLE_SCHEMAS.items()}
+        return raw.bronze_frames(self.spark, self.sf_dir, schemas)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -231,7 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             F.element_at(F.split("path", "/"), -1).alias("file_name"), "format"
         ),
         "read_raw": lambda t: t.events,
-        "ingest_bronze": lambda t: raw.bronze_summary(raw.bronze_frames(t.spark, t.sf_dir)).drop("source_path"),
+        "ingest_bronze": lambda t: raw.bronze_summary(t.all_tables).drop("source_path"),
         "load_emissions_factors": lambda t: t.factors,
         "load_grid_intensity": lambda t: t.intensity,
         "validate_grid_intensity": lambda t: reference.grid_intensity_problems(t.dirty_intensity),
@@ -323,7 +328,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             t.bronze_building, "bronze_building_consumption"
         ),
         "profile_all": lambda t: profile.profile_all(
-            {name: frame for name, (_, frame) in raw.bronze_frames(t.spark, t.sf_dir).items()}
+            {name: frame for name, (_, frame) in t.all_tables.items()}
         ),
         # documents
         "chunk_documents": lambda t: t.line_chunks,

@@ -9,7 +9,16 @@ from gridmill.functions.text import (
     unify_newlines,
     word_set,
 )
-from gridmill.functions.timeparts import day_number, day_title, floor_time, floor_to_hour, month_start
+from gridmill.functions.timeparts import (
+    day_number,
+    day_title,
+    floor_time,
+    floor_to_hour,
+    month_start,
+    utc_from_instant,
+    utc_from_nanoseconds,
+    utc_from_text,
+)
 
 __all__ = [
     "STOPWORDS",
@@ -26,5 +35,8 @@ __all__ = [
     "round_half_up",
     "strip_whitespace",
     "unify_newlines",
+    "utc_from_instant",
+    "utc_from_nanoseconds",
+    "utc_from_text",
     "word_set",
 ]

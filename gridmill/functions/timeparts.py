@@ -36,3 +36,28 @@ def day_number(ts: Column | str) -> Column:
 def day_title(ts: Column | str) -> Column:
     """Full English day name; unlike ``date_format`` it needs neither time zone nor locale."""
     return F.element_at(F.array(*[F.lit(name) for name in DAY_NAMES]), F.dayofweek(ts))
+
+
+def _since_epoch(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def utc_from_instant(instant: Column) -> Column:
+    """UTC wall-clock time of an instant, whatever the session time zone."""
+    return _since_epoch(F.unix_micros(instant))
+
+
+def utc_from_nanoseconds(number: Column) -> Column:
+    """UTC wall-clock time of a number of nanoseconds since the epoch."""
+    return _since_epoch(F.floor(number / 1000).cast("long"))
+
+
+def utc_from_text(text: Column) -> Column:
+    """UTC wall-clock time of a text timestamp; NULL when it cannot be read.
+
+    Text without an offset is taken as UTC, text with one is moved to UTC.
+    """
+    has_offset = text.rlike(r":\d{2}(\.\d+)?\s*(Z|UTC|[+-]\d{2}:?\d{2})$")
+    return F.when(has_offset, utc_from_instant(text.try_cast("timestamp_ltz"))).otherwise(
+        text.try_cast("timestamp_ntz")
+    )

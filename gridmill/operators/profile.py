@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from gridmill.functions import utc_from_instant, utc_from_nanoseconds, utc_from_text
+
 # Parts of a column name that suggest a time.
 TIME_NAME_PARTS = ("time", "date", "timestamp", "datetime")
 
@@ -67,14 +69,14 @@ def sample_rows(df: DataFrame, size: int = 5) -> DataFrame:
 
 def _as_time(name: str, kind: DataType) -> Column | None:
     value = F.col(f"`{name}`")
-    if isinstance(kind, (TimestampNTZType, DateType, TimestampType)):
+    if isinstance(kind, TimestampType):
+        return utc_from_instant(value)
+    if isinstance(kind, (TimestampNTZType, DateType)):
         return value.cast("timestamp_ntz")
     if isinstance(kind, StringType):
-        return value.try_cast("timestamp_ntz")
+        return utc_from_text(value)
     if isinstance(kind, NumericType):
-        # A bare number is a count of nanoseconds since the epoch.
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_add("MICROSECOND", F.floor(value / 1000).cast("long"), epoch)
+        return utc_from_nanoseconds(value)
     return None
 
 

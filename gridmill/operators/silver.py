@@ -72,7 +72,10 @@ def clean_nmi_readings(raw: DataFrame) -> DataFrame:
         },
         {"reading_timestamp": "timestamp", "demand_kw": "demand_kW", "demand_kva": "demand_kVA"},
     )
-    columns["campus_id"] = F.col("campus_id").cast("string").try_cast("long")
+    text = F.col("campus_id").cast("string")
+    # "4.0" is campus 4 too; the decimal is only tried where the text is no whole number.
+    from_decimal = F.round(text.try_cast("decimal(38,6)")).try_cast("long")
+    columns["campus_id"] = F.coalesce(text.try_cast("long"), from_decimal)
     keys = ["campus_id", "meter_id", "reading_timestamp"]
     return clean_readings(raw, columns, keys, ["consumption", "demand_kw", "demand_kva"], NMI)
 

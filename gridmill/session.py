@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the Python call site of every expression doubles the time it takes to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

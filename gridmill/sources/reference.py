@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.functions import count_where
+from gridmill.functions import count_where, utc_from_text
 from gridmill.sources.layers import write_layer
 
 # Columns a reference file must have.
@@ -38,18 +38,6 @@ def _read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, escape='"').na.fill("")
 
 
-def _utc_timestamp(text: Column) -> Column:
-    """UTC wall-clock time of a text timestamp; NULL when it cannot be read.
-
-    Text without an offset is taken as UTC. Text with one is moved to UTC by counting from the
-    epoch, so the session time zone plays no part.
-    """
-    has_offset = text.rlike(r":\d{2}(\.\d+)?\s*(Z|UTC|[+-]\d{2}:?\d{2})$")
-    micros = F.unix_micros(text.try_cast("timestamp_ltz"))
-    shifted = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.when(has_offset, shifted).otherwise(text.try_cast("timestamp_ntz"))
-
-
 def parse_emissions_factors(raw: DataFrame) -> DataFrame:
     """Typed factors from an all-text frame with the required columns."""
     _require_columns(raw, FACTOR_COLUMNS, "Emissions factor file")
@@ -86,8 +74,8 @@ def parse_grid_intensity(raw: DataFrame) -> DataFrame:
     number = F.trim("emissions_intensity_kg_co2e_per_kwh").try_cast("double")
     typed = raw.withColumns(
         {
-            "interval_start": _utc_timestamp(F.col("interval_start")),
-            "interval_end": _utc_timestamp(F.col("interval_end")),
+            "interval_start": utc_from_text(F.col("interval_start")),
+            "interval_end": utc_from_text(F.col("interval_end")),
             "emissions_intensity_kg_co2e_per_kwh": F.when(~F.isnan(number), number),
             "is_synthetic": F.lower("notes").contains("synthetic")
             | F.lower("source_name").contains("synthetic"),

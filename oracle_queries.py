@@ -6,6 +6,8 @@ Each is written against shared common table expressions that rebuild the layers
 
 from __future__ import annotations
 
+from gridmill.sources.event_feed import TABLE_SCHEMAS
+
 LAYERS = r"""
 bronze_building AS (
   SELECT 4 + user_id % 2 AS campus_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id,
@@ -355,26 +357,6 @@ PAGE_TEXT = (
     "'<[^>]*>', '', 'g') AS text FROM pages"
 )
 
-# Columns of the test tables with the type names Spark reports.
-TABLE_COLUMNS = {
-    "benchmark": "item_id bigint, text string",
-    "conversations": "conv_id bigint, turn bigint, role string, text string",
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    "embeddings": "vec_id bigint, embedding array<float>, label int",
-    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
-    "labels": "doc_id bigint, quality int, toxic int",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
-    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
-    "l_shipdate timestamp_ntz",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
-    "pages": "page_id bigint, url string, html string",
-    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
-    "region": "r_regionkey int, r_name string",
-    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-}
 HOURLY_COLUMNS = (
     "campus_id bigint, source_system string, meter_id bigint, building_id bigint, usage_hour timestamp_ntz, "
     "total_consumption double, reading_count bigint, first_reading_timestamp timestamp_ntz, "
@@ -540,13 +522,13 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
     )
     return {
         "discover_sources": " UNION ALL ".join(
-            f"SELECT '{table}.parquet' AS file_name, 'parquet' AS format" for table in TABLE_COLUMNS
+            f"SELECT '{table}.parquet' AS file_name, 'parquet' AS format" for table in TABLE_SCHEMAS
         ),
         "read_raw": plain("SELECT * FROM events", "value"),
         "ingest_bronze": " UNION ALL ".join(
             f"SELECT 'bronze.bronze_{table}' AS table_name, count(*) AS row_count, "
             f"{len(_columns(listed))} AS column_count FROM {table}"
-            for table, listed in TABLE_COLUMNS.items()
+            for table, listed in TABLE_SCHEMAS.items()
         ),
         "load_emissions_factors": over_layers("SELECT * FROM factors", "emissions_factor_kg_co2e_per_kwh"),
         "load_grid_intensity": over_layers("SELECT * FROM intensity", "emissions_intensity_kg_co2e_per_kwh"),
@@ -812,7 +794,7 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             _profile("bronze_building_consumption", BUILDING_FEED_COLUMNS, "bronze_building"), profile_doubles
         ),
         "profile_documents": plain(
-            _profile("documents", TABLE_COLUMNS["documents"], "documents"), profile_doubles
+            _profile("documents", TABLE_SCHEMAS["documents"], "documents"), profile_doubles
         ),
         "timestamp_coverage": over_layers(
             "SELECT 'bronze_building_consumption' AS table_name, 'timestamp' AS column_name, "
@@ -820,7 +802,7 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
         ),
         "profile_all": plain(
             " UNION ALL ".join(
-                _profile(f"bronze_{table}", listed, table) for table, listed in TABLE_COLUMNS.items()
+                _profile(f"bronze_{table}", listed, table) for table, listed in TABLE_SCHEMAS.items()
             ),
             profile_doubles,
         ),

@@ -58,6 +58,12 @@ def test_nmi_joins_campus_spellings_of_one_number(spark):
     assert values(clean_nmi_readings(raw), "campus_id", "consumption") == [(1, 4.0)]
 
 
+def test_nmi_reads_decimal_campus_text(spark):
+    rows = [(text, i, T0, 5.0, 1.0, 1.0) for i, text in enumerate(("4.0", " 7 ", "2.6", "x", "", "9d"))]
+    result = clean_nmi_readings(spark.createDataFrame(rows, NMI))
+    assert values(result, "meter_id", "campus_id") == [(0, 4), (1, 7), (2, 3)]
+
+
 def test_submeter_copies_and_missing_building(spark):
     row = (5, 30, 1, T0, 2.0, 1.0, 240.0, 3.0, 0.9)
     raw = spark.createDataFrame([row, row, (None, *row[1:])], SUBMETER)
