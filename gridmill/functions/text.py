@@ -35,9 +35,8 @@ def strip_whitespace(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct lower-case words of at least two characters that are not stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
-    wanted = F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
-    return F.filter(wanted, lambda word: F.length(word) > 1)
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def has_word(lower_text: Column, word: str) -> Column:
@@ -50,5 +49,4 @@ def has_word(lower_text: Column, word: str) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """The same word set for one query string, on the driver."""
-    found = re.findall(r"[a-z0-9_]+", query.lower())
-    return sorted({word for word in found if len(word) > 1 and word not in STOPWORDS})
+    return sorted(set(re.findall("[a-z0-9_]{2,}", query.lower())) - set(STOPWORDS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.functions import month_start
@@ -19,7 +21,8 @@ from gridmill.operators.reconcile import reconcile_daily, reconcile_monthly
 from gridmill.operators.scenarios import event_response_scenarios, shift_scenarios
 from gridmill.operators.silver import clean_building_readings, clean_nmi_readings, clean_submeter_readings
 from gridmill.operators.usage import daily_usage, hourly_usage, monthly_usage, peak_demand
-from gridmill.sources.layers import table_inventory, write_layer
+from gridmill.session import shared_folder
+from gridmill.sources.layers import store, table_inventory, write_layer
 from gridmill.sources.reference import register_reference
 
 
@@ -74,7 +77,9 @@ def build_all(
         emissions_time_varying(hourly, emissions, intensity, region_code),
         "gold.gold_hourly_time_varying_emissions",
     )
-    write_layer(weather_baseline(hourly, hourly_weather(weather)), "gold.gold_weather_normalized_usage")
+    # Stored first, so that the planner knows how small it is before it lays out the large side.
+    by_hour = store(hourly_weather(weather), f"{shared_folder(spark)}/gridmill/{uuid4().hex}/hourly_weather")
+    write_layer(weather_baseline(hourly, by_hour), "gold.gold_weather_normalized_usage")
     write_layer(shift_scenarios(hourly, **(shift or {})), "gold.gold_peak_shift_simulation")
     write_layer(event_response_scenarios(hourly, **(event or {})), "gold.gold_demand_response_simulation")
     return table_inventory(spark)

@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.sources.layers import row_counts, write_layer
+
 MONTH_KEYS = ("usage_month", "campus_id", "source_system")
 
 
@@ -55,3 +57,12 @@ def run_sql_reports(spark: SparkSession, query_dir: str | Path) -> dict[str, Dat
     if not files:
         raise FileNotFoundError(f"No SQL files found in {query_dir}")
     return {file.stem: spark.sql(file.read_text(encoding="utf-8").strip().rstrip(";")) for file in files}
+
+
+def save_sql_reports(spark: SparkSession, query_dir: str | Path, layer: str = "report") -> DataFrame:
+    """Run the SQL files of a folder, store each result as ``layer.<stem>``, and count its rows."""
+    stored = {
+        (layer, name): write_layer(result, f"{layer}.{name}")
+        for name, result in run_sql_reports(spark, query_dir).items()
+    }
+    return row_counts(stored)

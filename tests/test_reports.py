@@ -1,4 +1,5 @@
 from datetime import date
+from pathlib import Path
 
 import pytest
 
@@ -160,6 +161,21 @@ def test_sql_files_run_in_name_order(spark, tmp_path, monthly):
     assert (results["a"].count(), values(results["b"])) == (1, [(3,)])
     with pytest.raises(FileNotFoundError):
         marts.run_sql_reports(spark, tmp_path / "none")
+    assert values(marts.save_sql_reports(spark, tmp_path)) == [("report", "a", 1), ("report", "b", 1)]
+    assert values(spark.table("report.b")) == [(3,)]
+
+
+def test_the_shipped_sql_files_equal_the_functions(spark, monthly, emissions, peaks):
+    monthly.createOrReplaceTempView("gold_monthly_electricity_usage")
+    emissions.createOrReplaceTempView("gold_electricity_emissions")
+    peaks.createOrReplaceTempView("gold_peak_demand")
+    results = marts.run_sql_reports(spark, Path(marts.__file__).parent / "sql")
+    assert {name: frame.collect() for name, frame in results.items()} == {
+        "top_monthly_usage": marts.top_monthly_usage(monthly).collect(),
+        "peak_demand_by_meter": marts.peak_demand_by_meter(peaks).collect(),
+        "monthly_emissions_summary": marts.monthly_emissions_summary(emissions).collect(),
+        "source_usage_summary": marts.source_usage_summary(monthly).collect(),
+    }
 
 
 def test_questions_name_their_tables(monthly, peaks):
