@@ -145,18 +145,17 @@ time_varying AS (
   LEFT JOIN intensity i ON i.region_code = 'VIC1' AND i.interval_start_hour = h.usage_hour
 ),
 recon_daily AS (
-  SELECT campus_id, usage_date, n.v AS nmi_consumption, b.v AS building_consumption,
-         n.v - b.v AS consumption_difference,
-         CASE WHEN n.v <> 0 THEN (n.v - b.v) / n.v END AS difference_ratio_to_nmi
-  FROM (SELECT campus_id, usage_date, sum(total_consumption) AS v FROM daily
-        WHERE source_system = 'nmi_consumption' GROUP BY ALL) n
-  FULL JOIN (SELECT campus_id, usage_date, sum(total_consumption) AS v FROM daily
-        WHERE source_system = 'building_consumption' GROUP BY ALL) b USING (campus_id, usage_date)
+  SELECT *, nmi_consumption - building_consumption AS consumption_difference,
+         (nmi_consumption - building_consumption) / nullif(nmi_consumption, 0) AS difference_ratio_to_nmi
+  FROM (SELECT campus_id, usage_date,
+               sum(total_consumption) FILTER (WHERE source_system = 'nmi_consumption') AS nmi_consumption,
+               sum(total_consumption) FILTER (WHERE source_system = 'building_consumption')
+                 AS building_consumption
+        FROM daily WHERE source_system IN ('nmi_consumption', 'building_consumption') GROUP BY ALL)
 ),
 recon_monthly AS (
   SELECT *, nmi_consumption - building_consumption AS consumption_difference,
-         CASE WHEN nmi_consumption <> 0
-              THEN (nmi_consumption - building_consumption) / nmi_consumption END AS difference_ratio_to_nmi
+         (nmi_consumption - building_consumption) / nullif(nmi_consumption, 0) AS difference_ratio_to_nmi
   FROM (SELECT campus_id, CAST(date_trunc('month', usage_date) AS DATE) AS usage_month,
                sum(nmi_consumption) AS nmi_consumption, sum(building_consumption) AS building_consumption
         FROM recon_daily GROUP BY ALL)
@@ -177,21 +176,15 @@ usage_weather AS (
   FROM hourly h JOIN weather w USING (campus_id, usage_hour)
 ),
 expected AS (
-  SELECT campus_id, source_system, meter_id, building_id, hour_of_day, day_of_week, usage_month_number,
-         temperature_band_c, median(actual_consumption) AS expected_consumption
-  FROM usage_weather GROUP BY ALL
+  SELECT *, median(actual_consumption) OVER (
+           PARTITION BY campus_id, source_system, meter_id, building_id, hour_of_day, day_of_week,
+             usage_month_number, temperature_band_c) AS expected_consumption
+  FROM usage_weather
 ),
 residuals AS (
-  SELECT u.*, x.expected_consumption,
-         u.actual_consumption - x.expected_consumption AS residual_consumption,
-         CASE WHEN x.expected_consumption <> 0
-              THEN (u.actual_consumption - x.expected_consumption) / x.expected_consumption END
-           AS residual_percent
-  FROM usage_weather u JOIN expected x
-    ON u.campus_id = x.campus_id AND u.source_system = x.source_system AND u.meter_id = x.meter_id
-   AND u.building_id IS NOT DISTINCT FROM x.building_id AND u.hour_of_day = x.hour_of_day
-   AND u.day_of_week = x.day_of_week AND u.usage_month_number = x.usage_month_number
-   AND u.temperature_band_c = x.temperature_band_c
+  SELECT *, actual_consumption - expected_consumption AS residual_consumption,
+         (actual_consumption - expected_consumption) / nullif(expected_consumption, 0) AS residual_percent
+  FROM expected
 ),
 baseline AS (
   SELECT *, 'grouped_median_weather_time_v1' AS baseline_model_version,
@@ -200,29 +193,17 @@ baseline AS (
               ELSE least(100, round(residual_percent * 100, 2)) END AS efficiency_opportunity_score
   FROM residuals
 ),
-ranked_hours AS (
-  SELECT *, CAST(usage_hour AS DATE) AS simulation_date,
-         row_number() OVER (PARTITION BY campus_id, source_system, meter_id, building_id,
-           CAST(usage_hour AS DATE) ORDER BY total_consumption DESC, usage_hour) AS from_top,
-         row_number() OVER (PARTITION BY campus_id, source_system, meter_id, building_id,
-           CAST(usage_hour AS DATE) ORDER BY total_consumption, usage_hour) AS from_bottom,
-         sum(total_consumption) OVER (PARTITION BY campus_id, source_system, meter_id, building_id,
-           CAST(usage_hour AS DATE)) AS day_total
-  FROM hourly
-),
-peak_and_low AS (
-  SELECT p.campus_id, p.source_system, p.meter_id, p.building_id, p.simulation_date,
-         p.usage_hour AS peak_hour, l.usage_hour AS target_hour, p.day_total AS d,
-         p.total_consumption AS p, l.total_consumption AS l
-  FROM ranked_hours p JOIN ranked_hours l
-    ON p.campus_id = l.campus_id AND p.source_system = l.source_system AND p.meter_id = l.meter_id
-   AND p.building_id IS NOT DISTINCT FROM l.building_id AND p.simulation_date = l.simulation_date
-  WHERE p.from_top = 1 AND l.from_bottom = 1 AND p.usage_hour <> l.usage_hour
-    AND abs(date_diff('hour', p.usage_hour, l.usage_hour)) <= 4
+meter_days AS (
+  SELECT campus_id, source_system, meter_id, building_id, CAST(usage_hour AS DATE) AS simulation_date,
+         first(usage_hour ORDER BY total_consumption DESC, usage_hour) AS peak_hour,
+         first(usage_hour ORDER BY total_consumption, usage_hour) AS target_hour,
+         sum(total_consumption) AS d, max(total_consumption) AS p, min(total_consumption) AS l
+  FROM hourly GROUP BY ALL
 ),
 shifted AS (
   SELECT *, least(p * f, p) AS s, greatest(p - least(p * f, p), l + least(p * f, p)) AS new_peak
-  FROM peak_and_low, (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.10 AS DOUBLE)), (CAST(0.15 AS DOUBLE))) v(f)
+  FROM meter_days, (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.10 AS DOUBLE)), (CAST(0.15 AS DOUBLE))) v(f)
+  WHERE peak_hour <> target_hour AND abs(hour(peak_hour) - hour(target_hour)) <= 4
 ),
 shifts AS (
   SELECT 'peak_shift_' || campus_id || '_' || source_system || '_' || simulation_date || '_' ||
@@ -240,16 +221,11 @@ shifts AS (
   FROM shifted WHERE p - s >= 0 AND l + s >= 0 AND p >= new_peak
 ),
 event_windows AS (
-  SELECT e.*, coalesce(r.after, 0) AS after FROM
-    (SELECT campus_id, source_system, meter_id, building_id, sum(total_consumption) AS base FROM hourly
-     WHERE CAST(usage_hour AS DATE) = DATE '{event_date}' AND hour(usage_hour) >= {start_hour}
-       AND hour(usage_hour) < {end_hour} GROUP BY ALL) e
-  LEFT JOIN
-    (SELECT campus_id, source_system, meter_id, building_id, sum(total_consumption) AS after FROM hourly
-     WHERE CAST(usage_hour AS DATE) = DATE '{event_date}' AND hour(usage_hour) >= {end_hour}
-       AND hour(usage_hour) < {end_hour} + 3 GROUP BY ALL) r
-    ON e.campus_id = r.campus_id AND e.source_system = r.source_system AND e.meter_id = r.meter_id
-   AND e.building_id IS NOT DISTINCT FROM r.building_id
+  SELECT campus_id, source_system, meter_id, building_id,
+         sum(total_consumption) FILTER (WHERE hour(usage_hour) BETWEEN {start_hour} AND {end_hour} - 1) AS base,
+         coalesce(sum(total_consumption) FILTER (
+           WHERE hour(usage_hour) BETWEEN {end_hour} AND {end_hour} + 2), 0) AS after
+  FROM hourly WHERE CAST(usage_hour AS DATE) = DATE '{event_date}' GROUP BY ALL
 ),
 responses AS (
   SELECT 'demand_response_' || campus_id || '_' || source_system || '_{event_date}_{start_hour}_{end_hour}'
