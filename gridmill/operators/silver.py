@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
+from gridmill.functions import utc_from_instant
 from gridmill.names import BUILDING, NMI, SUBMETER
 
 
@@ -49,17 +51,26 @@ def _typed(types: Mapping[str, str], renamed: Mapping[str, str] | None = None) -
     return {name: F.col(renamed.get(name, name)).cast(kind) for name, kind in types.items()}
 
 
-def clean_building_readings(raw: DataFrame) -> DataFrame:
+def _wall_clock(raw: DataFrame, time_zone: str | None) -> Column:
+    """Reading time without a zone; instants take the clock of ``time_zone``, or of the session."""
+    moment = F.col("timestamp")
+    if time_zone and isinstance(raw.schema["timestamp"].dataType, TimestampType):
+        return F.convert_timezone(F.lit("UTC"), F.lit(time_zone), utc_from_instant(moment))
+    return moment.cast("timestamp_ntz")
+
+
+def clean_building_readings(raw: DataFrame, time_zone: str | None = None) -> DataFrame:
     """Building meter readings, one per campus, meter and time."""
     columns = _typed(
         {"campus_id": "long", "meter_id": "long", "reading_timestamp": "timestamp_ntz", "consumption": "double"},
         {"reading_timestamp": "timestamp"},
     )
+    columns["reading_timestamp"] = _wall_clock(raw, time_zone)
     keys = ["campus_id", "meter_id", "reading_timestamp"]
     return clean_readings(raw, columns, keys, ["consumption"], BUILDING)
 
 
-def clean_nmi_readings(raw: DataFrame) -> DataFrame:
+def clean_nmi_readings(raw: DataFrame, time_zone: str | None = None) -> DataFrame:
     """Grid-connection readings; a campus id that is not a number drops the row."""
     columns = _typed(
         {
@@ -72,6 +83,7 @@ def clean_nmi_readings(raw: DataFrame) -> DataFrame:
         },
         {"reading_timestamp": "timestamp", "demand_kw": "demand_kW", "demand_kva": "demand_kVA"},
     )
+    columns["reading_timestamp"] = _wall_clock(raw, time_zone)
     text = F.col("campus_id").cast("string")
     # "4.0" is campus 4 too; the decimal is only tried where the text is no whole number.
     from_decimal = F.round(text.try_cast("decimal(38,6)")).try_cast("long")
@@ -80,7 +92,7 @@ def clean_nmi_readings(raw: DataFrame) -> DataFrame:
     return clean_readings(raw, columns, keys, ["consumption", "demand_kw", "demand_kva"], NMI)
 
 
-def clean_submeter_readings(raw: DataFrame) -> DataFrame:
+def clean_submeter_readings(raw: DataFrame, time_zone: str | None = None) -> DataFrame:
     """Submeter readings, one per campus, building, meter and time."""
     columns = _typed(
         {
@@ -96,6 +108,7 @@ def clean_submeter_readings(raw: DataFrame) -> DataFrame:
         },
         {"meter_id": "id", "reading_timestamp": "timestamp"},
     )
+    columns["reading_timestamp"] = _wall_clock(raw, time_zone)
     keys = ["campus_id", "building_id", "meter_id", "reading_timestamp"]
     # Consumption and power decide; the rest only makes the choice among equals repeatable.
     tie_order = ["consumption", "power", "current", "voltage", "power_factor"]

@@ -26,13 +26,15 @@ from gridmill.sources.layers import store, table_inventory, write_layer
 from gridmill.sources.reference import register_reference
 
 
-def build_silver(building: DataFrame, nmi: DataFrame, submeter: DataFrame) -> tuple[DataFrame, ...]:
+def build_silver(
+    building: DataFrame, nmi: DataFrame, submeter: DataFrame, time_zone: str | None = None
+) -> tuple[DataFrame, ...]:
     """Store the three silver tables, time-ordered inside each file."""
     time = ["reading_timestamp"]
     return (
-        write_layer(clean_building_readings(building), BUILDING_TABLE, sort_by=time),
-        write_layer(clean_nmi_readings(nmi), NMI_TABLE, sort_by=time),
-        write_layer(clean_submeter_readings(submeter), SUBMETER_TABLE, sort_by=time),
+        write_layer(clean_building_readings(building, time_zone), BUILDING_TABLE, sort_by=time),
+        write_layer(clean_nmi_readings(nmi, time_zone), NMI_TABLE, sort_by=time),
+        write_layer(clean_submeter_readings(submeter, time_zone), SUBMETER_TABLE, sort_by=time),
     )
 
 
@@ -46,12 +48,16 @@ def build_all(
     factors: DataFrame,
     intensity: DataFrame,
     region_code: str = "VIC1",
+    time_zone: str | None = None,
     event: dict | None = None,
     shift: dict | None = None,
     stop_on_failed_checks: bool = True,
 ) -> DataFrame:
-    """Build silver, check it, then build gold; returns the table inventory."""
-    silver = build_silver(building, nmi, submeter)
+    """Build silver, check it, then build gold; returns the table inventory.
+
+    ``time_zone`` is the clock that readings stored as instants are read on.
+    """
+    silver = build_silver(building, nmi, submeter, time_zone)
     checks = write_layer(quality_checks(*silver, campus_meta), QUALITY_TABLE)
     if stop_on_failed_checks:
         require_quality(checks)

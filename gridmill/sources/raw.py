@@ -15,6 +15,19 @@ from gridmill.sources.layers import row_counts, write_layer
 
 FORMATS = ("csv", "json", "jsonl", "parquet")
 
+# The raw feeds the jobs read, by bronze table. Campus ids of grid connections stay text.
+FEED_SCHEMAS = {
+    "bronze_building_consumption": "campus_id bigint, meter_id bigint, timestamp timestamp_ntz, consumption double",
+    "bronze_nmi_consumption": "campus_id string, meter_id bigint, timestamp timestamp_ntz, consumption double, "
+    "demand_kW double, demand_kVA double",
+    "bronze_building_submeter_consumption": "building_id bigint, id bigint, campus_id bigint, "
+    "timestamp timestamp_ltz, consumption double, current double, voltage double, power double, "
+    "power_factor double",
+    "bronze_weather_data": "campus_id bigint, timestamp timestamp_ntz, apparent_temperature double, "
+    "air_temperature double, dew_point_temperature double, relative_humidity double, wind_speed string, "
+    "wind_direction string",
+}
+
 
 def discover_sources(spark: SparkSession, raw_dir: str) -> DataFrame:
     """Supported data sets under a folder: ``path`` and ``format``, sorted; empty if the folder is missing.
@@ -52,12 +65,15 @@ def read_raw(
     """Read one raw data set by its extension.
 
     Without ``schema`` a CSV or JSON file is read once more to infer its types; pass the schema of
-    a known feed to skip that pass on large inputs.
+    a known feed (``FEED_SCHEMAS``) to skip that pass on large inputs. A CSV header that does not
+    name the columns of the schema in its order is an error.
     """
     suffix = splitext(path)[1].lower().lstrip(".")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, nullValue=null_value, escape='"')
+        return reader.csv(
+            path, header=True, inferSchema=schema is None, enforceSchema=False, nullValue=null_value, escape='"'
+        )
     if suffix == "json":
         return reader.json(path, multiLine=True)
     if suffix == "jsonl":

@@ -82,6 +82,14 @@ def test_submeter_tie_goes_to_lowest_power(spark):
     assert values(clean_submeter_readings(raw), "power", "current") == [(2.0, 9.0)]
 
 
+def test_instants_take_the_clock_of_the_given_zone(spark):
+    text = [(5, 30, 1, "2024-01-01T00:15:00+11:00", 2.0, 1.0, 240.0, 3.0, 0.9)]
+    raw = spark.createDataFrame(text, SUBMETER.replace("timestamp timestamp_ntz", "timestamp string"))
+    raw = raw.withColumn("timestamp", raw.timestamp.cast("timestamp_ltz"))
+    moments = [values(clean_submeter_readings(raw, zone), "reading_timestamp") for zone in ("Australia/Melbourne", "UTC", None)]
+    assert moments == [[(T1,)], [(at("2023-12-31 13:15"),)], [(at("2023-12-31 13:15"),)]]
+
+
 def test_one_key_with_most_rows_collapses_before_the_shuffle(spark):
     hot = spark.range(20000).selectExpr(
         "1L AS campus_id", "10L AS meter_id", "timestamp_ntz'2024-01-01 00:00:00' AS timestamp",
