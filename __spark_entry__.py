@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from gridmill.functions import month_start  # noqa: E402
 from gridmill.names import SOURCE_SYSTEMS  # noqa: E402
 from gridmill.operators import baseline, emissions, profile, quality, reconcile, retrieval  # noqa: E402
 from gridmill.operators import scenarios, silver, usage  # noqa: E402
@@ -117,7 +118,14 @@ class Tables:
     @cached_property
     def stored_hourly(self) -> DataFrame:
         """Hourly usage, written once for queries that read it several times."""
-        return layers.store(self.hourly, f"{self.run_folder}/hourly_usage", ["source_system"])
+        return layers.store(self.hourly, f"{self.run_folder}/hourly_usage")
+
+    def layer_table(self) -> DataFrame:
+        """Hourly usage as a partitioned layer table in the shared folder, read back."""
+        hourly = self.hourly.withColumn("usage_month", month_start("usage_hour"))
+        table = "gold.gold_hourly_electricity_usage"
+        stored = layers.write_layer(hourly, table, ["usage_month"], ["usage_hour"], root=self.run_folder)
+        return stored.drop("usage_month")
 
     @cached_property
     def emissions(self) -> DataFrame:
@@ -243,7 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "register_reference": lambda t: reference.validate_grid_intensity(t.intensity)
         .withColumn("ingested_at", F.current_timestamp())
         .select("region_code", "interval_start_hour", F.col("ingested_at").isNotNull().alias("has_load_time")),
-        "write_layer": lambda t: t.stored_hourly,
+        "write_layer": lambda t: t.layer_table(),
         "table_inventory": lambda t: layers.row_counts(t.layer_frames),
         "layer_row_funnel": lambda t: layers.layer_row_funnel(layers.row_counts(t.layer_frames)),
         "describe_table": lambda t: layers.describe_frame(t.hourly, "gold.gold_hourly_electricity_usage").drop(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,18 @@ from gridmill.sources.reference import register_reference
 
 
 def build_silver(
-    building: DataFrame, nmi: DataFrame, submeter: DataFrame, time_zone: str | None = None
+    building: DataFrame,
+    nmi: DataFrame,
+    submeter: DataFrame,
+    time_zone: str | None = None,
+    root: str | None = None,
 ) -> tuple[DataFrame, ...]:
     """Store the three silver tables, time-ordered inside each file."""
-    time = ["reading_timestamp"]
+    save = partial(write_layer, sort_by=["reading_timestamp"], root=root)
     return (
-        write_layer(clean_building_readings(building, time_zone), BUILDING_TABLE, sort_by=time),
-        write_layer(clean_nmi_readings(nmi, time_zone), NMI_TABLE, sort_by=time),
-        write_layer(clean_submeter_readings(submeter, time_zone), SUBMETER_TABLE, sort_by=time),
+        save(clean_building_readings(building, time_zone), BUILDING_TABLE),
+        save(clean_nmi_readings(nmi, time_zone), NMI_TABLE),
+        save(clean_submeter_readings(submeter, time_zone), SUBMETER_TABLE),
     )
 
 
@@ -52,40 +57,45 @@ def build_all(
     event: dict | None = None,
     shift: dict | None = None,
     stop_on_failed_checks: bool = True,
+    root: str | None = None,
 ) -> DataFrame:
     """Build silver, check it, then build gold; returns the table inventory.
 
-    ``time_zone`` is the clock that readings stored as instants are read on.
+    ``time_zone`` is the clock that readings stored as instants are read on; ``root`` is where the
+    tables lie if not in the warehouse.
     """
-    silver = build_silver(building, nmi, submeter, time_zone)
-    checks = write_layer(quality_checks(*silver, campus_meta), QUALITY_TABLE)
+    save = partial(write_layer, root=root)
+    silver = build_silver(building, nmi, submeter, time_zone, root)
+    checks = save(quality_checks(*silver, campus_meta), QUALITY_TABLE)
     if stop_on_failed_checks:
         require_quality(checks)
 
     # The month is stored as a partition, so that a job on one event day opens one month of files.
-    hourly = write_layer(
+    hourly = save(
         hourly_usage(*silver).withColumn("usage_month", month_start("usage_hour")),
         "gold.gold_hourly_electricity_usage",
         partition_by=["usage_month"],
         sort_by=["usage_hour"],
     )
-    daily = write_layer(daily_usage(hourly), "gold.gold_daily_electricity_usage")
-    monthly = write_layer(monthly_usage(daily), "gold.gold_monthly_electricity_usage")
-    write_layer(peak_demand(silver[1]), "gold.gold_peak_demand")
+    daily = save(daily_usage(hourly), "gold.gold_daily_electricity_usage")
+    monthly = save(monthly_usage(daily), "gold.gold_monthly_electricity_usage")
+    save(peak_demand(silver[1]), "gold.gold_peak_demand")
 
-    daily_gap = write_layer(reconcile_daily(daily), "gold.gold_daily_nmi_building_reconciliation")
-    write_layer(reconcile_monthly(daily_gap), "gold.gold_monthly_nmi_building_reconciliation")
+    daily_gap = save(reconcile_daily(daily), "gold.gold_daily_nmi_building_reconciliation")
+    save(reconcile_monthly(daily_gap), "gold.gold_monthly_nmi_building_reconciliation")
 
-    factors = register_reference(factors, "reference_emissions_factors")
-    intensity = register_reference(intensity, "reference_grid_carbon_intensity_hourly", stamp=True)
-    emissions = write_layer(emissions_monthly(monthly, factors), "gold.gold_electricity_emissions")
-    write_layer(
+    factors = register_reference(factors, "reference_emissions_factors", root=root)
+    intensity = register_reference(
+        intensity, "reference_grid_carbon_intensity_hourly", stamp=True, root=root
+    )
+    emissions = save(emissions_monthly(monthly, factors), "gold.gold_electricity_emissions")
+    save(
         emissions_time_varying(hourly, emissions, intensity, region_code),
         "gold.gold_hourly_time_varying_emissions",
     )
     # Stored first, so that the planner knows how small it is before it lays out the large side.
     by_hour = store(hourly_weather(weather), f"{shared_folder(spark)}/gridmill/{uuid4().hex}/hourly_weather")
-    write_layer(weather_baseline(hourly, by_hour), "gold.gold_weather_normalized_usage")
-    write_layer(shift_scenarios(hourly, **(shift or {})), "gold.gold_peak_shift_simulation")
-    write_layer(event_response_scenarios(hourly, **(event or {})), "gold.gold_demand_response_simulation")
+    save(weather_baseline(hourly, by_hour), "gold.gold_weather_normalized_usage")
+    save(shift_scenarios(hourly, **(shift or {})), "gold.gold_peak_shift_simulation")
+    save(event_response_scenarios(hourly, **(event or {})), "gold.gold_demand_response_simulation")
     return table_inventory(spark)

@@ -59,10 +59,12 @@ def run_sql_reports(spark: SparkSession, query_dir: str | Path) -> dict[str, Dat
     return {file.stem: spark.sql(file.read_text(encoding="utf-8").strip().rstrip(";")) for file in files}
 
 
-def save_sql_reports(spark: SparkSession, query_dir: str | Path, layer: str = "report") -> DataFrame:
+def save_sql_reports(
+    spark: SparkSession, query_dir: str | Path, layer: str = "report", root: str | None = None
+) -> DataFrame:
     """Run the SQL files of a folder, store each result as ``layer.<stem>``, and count its rows."""
     stored = {
-        (layer, name): write_layer(result, f"{layer}.{name}")
+        (layer, name): write_layer(result, f"{layer}.{name}", root=root)
         for name, result in run_sql_reports(spark, query_dir).items()
     }
     return row_counts(stored)

@@ -16,37 +16,41 @@ def write_layer(
     table: str,
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    root: str | None = None,
 ) -> DataFrame:
     """Rebuild ``layer.table`` from a frame and return the stored table.
 
     Reading the stored table back ends the lineage of a job, so a lost executor costs one layer
     at most. ``partition_by`` rebalances first: AQE then merges small output partitions and splits
     a partition value that holds far more rows than the others. ``sort_by`` orders rows inside each
-    file so that row-group statistics let time-range filters skip data.
+    file so that row-group statistics let time-range filters skip data. The data goes to the
+    warehouse of the session, or under ``root`` where the catalog does not outlive the session.
     """
     spark = df.sparkSession
-    database = table.split(".")[0]
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    layer, name = table.split(".")
+    place = f" LOCATION '{root}/{layer}'" if root else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{place}")
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode("overwrite").format("parquet")
+    if root:
+        writer = writer.option("path", f"{root}/{layer}/{name}")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(table)
     return spark.table(table).select(*df.columns)
 
 
-def store(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def store(df: DataFrame, path: str) -> DataFrame:
     """Write a frame as parquet under a shared path and return the stored copy.
 
     For a result that several parts of one job read: it is computed once, its lineage ends, and its
     size is known to the join planner.
     """
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_counts(frames: Mapping[tuple[str, str], DataFrame]) -> DataFrame:

@@ -126,11 +126,14 @@ def bronze_summary(frames: Mapping[str, tuple[str, DataFrame]]) -> DataFrame:
 
 
 def ingest_bronze(
-    spark: SparkSession, raw_dir: str, schemas: Mapping[str, StructType | str] | None = None
+    spark: SparkSession,
+    raw_dir: str,
+    schemas: Mapping[str, StructType | str] | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Rebuild one ``bronze`` table per raw data set and return the load summary."""
     frames = bronze_frames(spark, raw_dir, schemas)
     written = {
-        name: (path, write_layer(frame, f"bronze.{name}")) for name, (path, frame) in frames.items()
+        name: (path, write_layer(frame, f"bronze.{name}", root=root)) for name, (path, frame) in frames.items()
     }
     return bronze_summary(written)
