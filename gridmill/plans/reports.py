@@ -126,7 +126,7 @@ def report_hourly_heatmap(hourly: DataFrame, campuses: Selection = None, sources
 
 
 def report_heatmap_pivot(heatmap: DataFrame) -> DataFrame:
-    """The heatmap as one row per weekday with a column per hour, rounded to one digit."""
+    """The heatmap as one row per weekday with a column per hour, rounded half-even to one digit."""
     hours = [str(hour) for hour in range(24)]
     wide = (
         heatmap.groupBy("day_of_week", "day_order")
@@ -134,7 +134,7 @@ def report_heatmap_pivot(heatmap: DataFrame) -> DataFrame:
         .agg(F.first("avg_consumption"))
     )
     return wide.orderBy("day_order").select(
-        "day_of_week", *[F.round(F.col(f"`{hour}`"), 1).alias(hour) for hour in hours]
+        "day_of_week", *[F.bround(F.col(f"`{hour}`"), 1).alias(hour) for hour in hours]
     )
 
 

@@ -480,7 +480,7 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
         + ", ".join(f"CAST(({query}) AS DOUBLE) AS {name}" for name, query in summary_subqueries.items())
     )
     hour_cells = ", ".join(
-        f'round(max(avg_consumption) FILTER (WHERE hour_of_day = {h}), 1) AS "{h}"' for h in range(24)
+        f'round_even(max(avg_consumption) FILTER (WHERE hour_of_day = {h}), 1) AS "{h}"' for h in range(24)
     )
     emission_doubles = "total_consumption emissions_factor_kg_co2e_per_kwh estimated_emissions_kg_co2e"
     recon_doubles = "nmi_consumption building_consumption consumption_difference difference_ratio_to_nmi"
