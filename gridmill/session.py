@@ -32,9 +32,11 @@ def build_session(app_name: str = "gridmill", master: str | None = None, **setti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only in local mode without it."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridmill-"))
         folder = context.getCheckpointDir()

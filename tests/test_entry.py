@@ -8,8 +8,6 @@ import pytest
 
 import __spark_entry__ as entry
 
-from helpers import values
-
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 
