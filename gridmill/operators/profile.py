@@ -9,27 +9,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from gridmill.functions import utc_from_instant, utc_from_nanoseconds, utc_from_text
+from gridmill.functions import count_where, utc_from_instant, utc_from_nanoseconds, utc_from_text
 
 # Parts of a column name that suggest a time.
 TIME_NAME_PARTS = ("time", "date", "timestamp", "datetime")
 
 
-def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """One row per column: type and missing values, with the row and repeat counts of the table.
+def duplicate_count(df: DataFrame) -> DataFrame:
+    """One row: how many rows repeat an earlier equal row.
 
-    Equal rows are folded first, on the map side where they meet; all counts are then weighted sums
-    over the distinct rows, so one scan and one shuffle serve every figure.
+    Rows are first counted by a 64-bit hash, so that what crosses the network is a number per row
+    and not a row of text. Only rows whose hash occurs more than once can be equal; those alone are
+    folded by their full values, which settles hash collisions exactly. Both counts combine on the
+    map side, so copies of one row that fill a third of the table arrive as one row per task.
     """
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    hashed = df.withColumn("_row_hash", F.xxhash64(*columns))
+    shared = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_row_hash")
+    folded = (
+        hashed.join(shared, "_row_hash", "left_semi").groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("_repeats"))
+    )
+    return folded.agg(F.coalesce(F.sum("_repeats"), F.lit(0).cast("long")).alias("duplicate_count"))
+
+
+def profile_table(df: DataFrame, name: str) -> DataFrame:
+    """One row per column: type and missing values, with the row and repeat counts of the table."""
     fields = df.schema.fields
-    folded = df.groupBy(*[F.col(f"`{field.name}`") for field in fields]).agg(F.count(F.lit(1)).alias("_copies"))
-    zero = F.lit(0).cast("long")
-    copies = F.col("_copies")
-    totals = folded.agg(
-        F.coalesce(F.sum(copies), zero).alias("_rows"),
-        F.count(F.lit(1)).alias("_distinct"),
+    totals = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
         *[
-            F.coalesce(F.sum(F.when(_missing(field.name, field.dataType), copies)), zero).alias(f"_nulls_{i}")
+            count_where(_missing(field.name, field.dataType)).alias(f"_nulls_{i}")
             for i, field in enumerate(fields)
         ],
     )
@@ -43,15 +52,16 @@ def profile_table(df: DataFrame, name: str) -> DataFrame:
             for i, field in enumerate(fields)
         ]
     )
-    return totals.select("_rows", "_distinct", F.inline(columns)).select(
+    rows = F.col("row_count")
+    return totals.select(F.col("_rows").alias("row_count"), F.inline(columns)).select(
         F.lit(name).alias("table_name"),
         "column_name",
         "data_type",
-        F.col("_rows").alias("row_count"),
+        "row_count",
         F.lit(len(fields)).alias("column_count"),
-        (F.col("_rows") - F.col("_distinct")).alias("duplicate_count"),
+        duplicate_count(df).scalar().alias("duplicate_count"),
         "null_count",
-        F.when(F.col("_rows") > 0, F.col("null_count") / F.col("_rows")).otherwise(0.0).alias("null_rate"),
+        F.when(rows > 0, F.col("null_count") / rows).otherwise(0.0).alias("null_rate"),
     )
 
 
