@@ -61,6 +61,12 @@ def table_facts(silver: DataFrame, campus_meta: DataFrame, keys: Sequence[str],
     )
 
 
+def _moment_text(moment: Column) -> Column:
+    """A time as text, with six digits where it has a fraction of a second."""
+    text = moment.cast("string")
+    return F.coalesce(F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text), F.lit("None"))
+
+
 def check_rows(facts: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     """The facts of one table as six check rows."""
 
@@ -78,9 +84,7 @@ def check_rows(facts: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
         return check(name, F.col(counter) == 0, F.col(counter), "0", description)
 
     first, last = F.col("first_ts"), F.col("last_ts")
-    coverage = F.concat_ws(
-        " to ", *[F.coalesce(moment.cast("string"), F.lit("None")) for moment in (first, last)]
-    )
+    coverage = F.concat_ws(" to ", _moment_text(first), _moment_text(last))
     # Check names, expectations and descriptions.
     checks = F.array(
         check(

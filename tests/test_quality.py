@@ -35,6 +35,12 @@ def test_clean_tables_pass(spark):
     assert building_results(result)["timestamp_coverage_present"][1] == "2024-01-01 00:00:00 to 2024-01-01 00:00:00"
 
 
+def test_coverage_shows_fractions_in_full(spark):
+    found = building_results(checks(spark, (1, 10, at("2024-01-01 00:00:07.170000"), 1.0, BUILDING)))
+    moment = "2024-01-01 00:00:07.170000"
+    assert found["timestamp_coverage_present"] == ("PASS", f"{moment} to {moment}")
+
+
 def test_repeated_keys_count_groups(spark):
     found = building_results(checks(spark, GOOD, GOOD, GOOD))
     assert found["duplicate_key_count"] == ("FAIL", "1")
