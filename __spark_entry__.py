@@ -24,6 +24,12 @@ from gridmill.sources import layers, raw, reference  # noqa: E402
 from gridmill.session import shared_folder  # noqa: E402
 from oracle_queries import build_oracles  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from gridmill.llm import queries as llm_queries
+except ImportError:  # the training-data operators are an optional part
+    llm_queries = corpus_pipeline = None
+
 CAMPUSES = [4, 5]
 SOURCES = list(SOURCE_SYSTEMS)
 EVENT = {"event_date": "2024-01-15", "start_hour": 15, "end_hour": 18}
@@ -350,9 +356,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: rounded(build(Tables(spark, sf_dir)))
 
-    return {name: runner(build) for name, build in definitions.items()}
+    registered = {name: runner(build) for name, build in definitions.items()}
+    if llm_queries:
+        registered |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return registered
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL over the raw test tables."""
-    return build_oracles(CAMPUSES, SOURCES, EVENT, SEARCH)
+    statements = build_oracles(CAMPUSES, SOURCES, EVENT, SEARCH)
+    if llm_queries:
+        statements |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
