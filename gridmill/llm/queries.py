@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm.byte_bpe import encode_documents
+from gridmill.llm.chat_format import format_conversations, loss_text, read_back
 from gridmill.llm.exact_dedup import exact_dedup
 from gridmill.llm.packing import pack_documents
+from gridmill.llm.quality_fm import fit, score
 from gridmill.llm.ring_shards import shard_documents
+from gridmill.llm.robust_rules import robust_rules
 from gridmill.llm.token_count import count_tokens
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +48,47 @@ FROM facts
 """
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formatted conversations read back; one more conversation says the control strings themselves."""
+    says = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = format_conversations(turns).select(
+        "conv_id", "formatted", read_back(F.col("formatted")).alias("turns"),
+        loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+    SELECT *, role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS merged,
+           length(regexp_replace(text, '([<\[])(\\*)(/?(?:[st]>|(?:INST|ROLE)\]))', '\1\\\2\3', 'g')) AS escaped,
+           length(regexp_replace(role, '([<\[])(\\*)(/?(?:[st]>|(?:INST|ROLE)\]))', '\1\\\2\3', 'g')) AS role_escaped
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(escaped + CASE WHEN merged THEN 3 ELSE 7 + CASE role WHEN 'user' THEN 6 WHEN 'assistant' THEN 7
+                               ELSE 13 + role_escaped END END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     return encoded.select(
@@ -63,6 +107,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, SEQUENCE)
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -70,17 +119,24 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of the session and the table folder."""
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_chat_format": op2_chat_format,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_token_counts": op6_token_counts,
+        "op7_quality_fm": op7_quality_fm,
         "op8_ring_shards": op8_ring_shards,
+        "op10_robust_rules": op10_robust_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL; queries that SQL cannot express are held against brute force in the tests."""
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}

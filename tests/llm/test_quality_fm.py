@@ -1,0 +1,79 @@
+"""The factorisation machine: identity, held-out accuracy and awkward input."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from gridmill.llm import quality_fm as fm
+
+from .cases import DOCS, TEXTS, awkward, empty
+
+
+def test_identity_equals_the_sum_over_pairs():
+    rnd = np.random.default_rng(1)
+    rows = fm.features(pa.array(["a b c a", "", "Dé f!\ng 1 g g"]), np.array([5.0, np.nan, 3.0]))
+    model = fm.Model(0.3, rnd.normal(size=fm.FEATURES), rnd.normal(size=(fm.FEATURES, fm.RANK)))
+    got, _ = fm.raw_scores(rows, model)
+    for i, (lo, hi) in enumerate(zip([0, *rows.ends[:-1]], rows.ends)):
+        index, value = rows.index[lo:hi], rows.value[lo:hi].astype(float)
+        want = model.bias + model.weights[index] @ value
+        for a in range(len(index)):
+            for b in range(a):
+                want += model.vectors[index[a]] @ model.vectors[index[b]] * value[a] * value[b]
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices(["th", "er", "on", "an", "re"], k=rnd.randint(1, 4)))
+    docs, labels = [], []
+    for i in range(1200):
+        text = " ".join(word() for _ in range(rnd.randint(5, 80))) + "."
+        if i % 5 == 0:
+            text = " ".join(w + rnd.choice(["***", "$$$"]) for w in text.split())
+        docs.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(i % 5 != 0), 0))
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_held_out_accuracy(corpus):
+    docs, labels = corpus
+    result = fm.score(docs, fm.fit(docs, labels)).collect()
+    assert len(result) == 1200
+    for r in result:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    held = [r for r in result if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 5 != 0) for r in held]) > 0.97
+
+
+def test_held_out_labels_have_no_say(spark, corpus):
+    docs, labels = corpus
+    other = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, 1 - quality, quality) quality")
+    one, two = fm.fit(docs, labels), fm.fit(docs, other)
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.vectors, two.vectors)
+
+
+def test_rejects_go_and_columns_stay(corpus):
+    docs, labels = corpus
+    left = fm.good_documents(docs, fm.fit(docs, labels))
+    assert left.columns == docs.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert sum(i % 5 == 0 for i in ids) <= 5 and sum(i % 5 != 0 for i in ids) >= 950
+
+
+def test_awkward_documents(spark, corpus):
+    model = fm.fit(*corpus)
+    assert fm.score(awkward(spark), model).count() == len(TEXTS) + 4
+    assert fm.good_documents(awkward(spark), model).columns == awkward(spark).columns
+    assert fm.score(empty(spark), model).count() == 0
+
+
+def test_no_labels(spark, corpus):
+    docs, labels = corpus
+    for none in (labels.where("false"), labels.selectExpr("doc_id", "cast(null as int) quality")):
+        assert {(r.score, r.predicted) for r in fm.score(docs, fm.fit(docs, none)).collect()} == {(0.5, 1)}
