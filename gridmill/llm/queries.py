@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.byte_bpe import encode_documents
 from gridmill.llm.chat_format import format_conversations, loss_text, read_back
 from gridmill.llm.exact_dedup import exact_dedup
+from gridmill.llm.jaccard_join import jaccard_components
 from gridmill.llm.packing import pack_documents
 from gridmill.llm.quality_fm import fit, score
 from gridmill.llm.ring_shards import shard_documents
@@ -119,6 +120,10 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op10_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules(table(spark, sf_dir, "documents"))
 
@@ -133,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_quality_fm": op7_quality_fm,
         "op8_ring_shards": op8_ring_shards,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_robust_rules": op10_robust_rules,
     }
 
