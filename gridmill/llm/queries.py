@@ -16,6 +16,7 @@ from gridmill.llm.packing import pack_documents
 from gridmill.llm.quality_fm import fit, score
 from gridmill.llm.ring_shards import shard_documents
 from gridmill.llm.robust_rules import robust_rules
+from gridmill.llm.suffix_dedup import repeated_passages
 from gridmill.llm.token_count import count_tokens
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -104,6 +105,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, END_ID, SEQUENCE)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, gram=20).drop("text_key")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, SEQUENCE)
 
@@ -135,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_quality_fm": op7_quality_fm,
         "op8_ring_shards": op8_ring_shards,

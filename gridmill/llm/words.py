@@ -117,3 +117,13 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         sums += hashes[k : len(hashes) - n + 1 + k] * up[k]
     return mix(sums)
+
+
+def rolling_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """As ``window_hashes``, in time that does not depend on ``n``."""
+    if len(hashes) < n:
+        return np.empty(0, np.uint64)
+    up, down = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
