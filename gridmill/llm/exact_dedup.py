@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.grouping import join_group_facts
+from gridmill.llm.grouping import join_group_facts, keep_rows
 from gridmill.llm.scratch import Scratch
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -149,18 +149,4 @@ def drop_copies(docs: DataFrame, fan: int = FAN) -> DataFrame:
     Rows are told apart by doc_id and text. Rows that agree in both are copies of each other, too, and one
     of them stays.
     """
-    scratch = Scratch(docs.sparkSession, "drop-copies")
-    found = scratch.store(exact_dedup(docs, fan).select("doc_id", "raw", "kept"), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw"))
-    stays = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("raw").alias("stay_raw"))
-    as_kept = gone.gone_id.eqNullSafe(stays.stay_id) & (gone.gone_raw == stays.stay_raw)
-    rows = docs.select(
-        F.struct("*").alias("document"),
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("raw"),
-    )
-    if not gone.join(stays, as_kept, "semi").isEmpty():
-        rows = rows.groupBy("doc_id", "raw").agg(F.any_value("document").alias("document"))
-        gone = gone.join(stays, as_kept, "anti")
-    same = rows.doc_id.eqNullSafe(gone.gone_id) & (rows.raw == gone.gone_raw)
-    return rows.join(gone, same, "anti").select("document.*")
+    return keep_rows(docs, exact_dedup(docs, fan).select("doc_id", "raw", "kept"))

@@ -1,4 +1,4 @@
-"""Joins and ranks that stay even when one key holds a third of all rows."""
+"""Joins, ranks and filters that stay even when one key holds a third of all rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.scratch import Scratch
+
 #: A group is hot above this share of the rows, so there are fewer hot groups than its inverse.
 HOT_SHARE = 0.001
 
@@ -47,3 +49,27 @@ def rank_in_class(items: DataFrame, kind: str, part: str, order: Sequence[str])
         .withColumn("rank", F.col("n_before") + F.col("rank_inside"))
         .drop("n_before", "rank_inside")
     )
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``verdicts`` (doc_id, raw, kept) keeps.
+
+    ``raw`` is the xxhash64 of the text (null: empty). There is one verdict for each row of ``docs``. Of rows that
+    agree in doc_id and text and have both verdicts, one stays; those are looked for, and only if there are
+    any do all rows take part in a grouping.
+    """
+    scratch = Scratch(docs.sparkSession, "kept-rows")
+    found = scratch.store(verdicts.select("doc_id", "raw", "kept"), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
+    stays = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("raw").alias("stay_raw"))
+    as_kept = gone.gone_id.eqNullSafe(stays.stay_id) & (gone.gone_raw == stays.stay_raw)
+    rows = docs.select(
+        F.struct("*").alias("document"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("raw"),
+    )
+    if not gone.join(stays, as_kept, "semi").isEmpty():
+        rows = rows.groupBy("doc_id", "raw").agg(F.any_value("document").alias("document"))
+        gone = gone.join(stays, as_kept, "anti")
+    same = rows.doc_id.eqNullSafe(gone.gone_id) & (rows.raw == gone.gone_raw)
+    return rows.join(gone, same, "anti").select("document.*")

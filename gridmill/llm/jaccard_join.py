@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm.components import connected_components
-from gridmill.llm.grouping import join_group_facts
+from gridmill.llm.grouping import join_group_facts, keep_rows
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.scratch import Scratch
 from gridmill.llm.words import mix, powers, split_words, window_hashes
@@ -316,11 +316,28 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     reached over links, the own one included; rows without doc_id take part in links and name a component only
     where all its rows are without. Equal rows are linked as equal sets; other columns are ignored.
     """
-    return _linked(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = _linked(docs, size, percent)
+    own = F.when(F.isnull("facts"), F.col("doc_id")).otherwise(F.col("facts.component_id"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each component stays.
+
+    The smallest doc_id stays (rows without one only where there is no other), of its rows that with the
+    smallest text hash; rows without words stay all. Of rows that agree in doc_id and text one stays.
+    """
+    linked = _linked(docs, size, percent)
+    first = F.col("facts.first_row")
+    is_first = first["doc_id"].eqNullSafe(F.col("doc_id")) & (first["text_key"] == F.col("text_key"))
+    kept = F.isnull("facts") | is_first
+    again = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("n")) > 1
+    verdicts = linked.select("doc_id", F.col("text_key").alias("raw"), (kept & ~(again & (F.col("n") > 0))).alias("kept"))
+    return keep_rows(docs, verdicts)
 
 
 def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Every document with its signature and the facts of its component."""
+    """Every document with its signature and, if it has words, the ``facts`` of its component."""
     rule = Rule(size, percent)
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -343,18 +360,20 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     clusters = connected_components(met, scratch, "clusters")
     links = scratch.store(_links(rule, texts, rows, nodes, clusters, scratch), "links")
     found = connected_components(links, scratch, "components")
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(
+        F.min("doc_id").alias("first_id"),
+        F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key")).alias("first_row"),
+        F.count(F.lit(1)).alias("size"),
+    )
     named = (
         classes.join(nodes.select("a", "b", "node"), ["a", "b"])
         .join(found, "node", "left")
-        .select("a", "b", "size", "first_id", F.coalesce("component", "node").alias("component"))
+        .withColumn("component", F.coalesce("component", "node"))
     )
     named = scratch.store(named, "classes")
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = scratch.store(named.join(smallest, "component").drop("component", "first_id"), "named")
-    joined = join_group_facts(rows, rows.count(), named, ["a", "b"], "size")
-    own = F.when((F.col("n") == 0) | F.isnull("facts"), F.col("doc_id")).otherwise(F.col("facts.component_id"))
-    return joined.withColumn("component_id", own)
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("first_row"))
+    named = named.select("a", "b", "size", "component").join(smallest, "component").drop("component")
+    return join_group_facts(rows, rows.count(), scratch.store(named, "named"), ["a", "b"], "size")
 
 
 def _meetings(rule: Rule, nodes: DataFrame, scratch: Scratch) -> DataFrame:

@@ -134,3 +134,36 @@ def test_words_equal_a_plain_split():
             assert hashes.setdefault(w, words.hash[at]) == words.hash[at]
             at += 1
     assert len(set(hashes.values())) == len(hashes)
+
+
+def test_dropping_keeps_one_of_each_component(spark):
+    texts = corpus(5)
+    docs = documents(spark, texts)
+    left = jj.drop_near_copies(docs, size=3, percent=90)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {c for _, _, c in brute(texts)}
+
+
+def test_dropping_with_five_words(spark):
+    texts = corpus(6)
+    sets = [shingles(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    left = jj.drop_near_copies(documents(spark, texts), size=5, percent=80)
+    assert {r.doc_id for r in left.collect()} == set(label)
+
+
+def test_dropping_awkward_rows(spark):
+    docs = awkward(spark)
+    left = jj.drop_near_copies(docs)
+    assert left.schema.names == docs.schema.names
+    rows = left.collect()
+    plain = {" ".join(WORDS.findall(r.text or "")) for r in rows}
+    assert {" ".join(WORDS.findall(r.text or "")) for r in docs.collect()} >= plain
+    assert sum((r.text or "").startswith("same") for r in rows) == 1
+    assert sum(not WORDS.search(r.text or "") for r in rows) >= 4
+    assert jj.drop_near_copies(empty(spark)).count() == 0
