@@ -219,11 +219,11 @@ def join_cluster(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
     tokens, of = np.unique(np.concatenate(sets), return_inverse=True)
     lists = np.bincount(of, minlength=len(tokens))
     shared = lists[of] > 1  # a shingle of one set only adds to no overlap
-    order = np.argsort(of[shared], kind="stable")
-    members = owner[shared][order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(of[shared], minlength=len(tokens)))])
-    ends = np.searchsorted(owner[shared], np.arange(m + 1))
-    mine = [of[shared][lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+    of, owner = of[shared], owner[shared]
+    members = owner[np.argsort(of, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(tokens)))])
+    ends = np.searchsorted(owner, np.arange(m + 1))
+    mine = [of[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
 
     def count(own: np.ndarray) -> np.ndarray:
         """How many of the given shingles each set has."""
