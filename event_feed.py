@@ -1,9 +1,12 @@
 """Meter, weather and reference feeds projected from general event, supplier and region tables.
 
-Event types play the meters: ``view`` building meters, ``purchase`` grid connections, ``click``
-submeters, ``error`` weather stations. Loads are whole watt-hours, so sums do not depend on order.
-Quarter-hour rounding makes repeated keys; small values make negative loads, every 97th event a
-missing load, and every 101st grid reading a campus id that is not a number.
+Event types play the meters: ``view`` and ``signup`` building meters, ``purchase`` grid connections,
+``click`` submeters, ``error`` weather stations. Every event is used. The days of the one month of events
+are dealt over four months and one month ten years before, so that there are months to compare, and
+usage older than any factor that is no default. Loads are whole watt-hours, so sums do not depend on order.
+Quarter-hour rounding makes repeated keys; small values make negative loads, every 97th event a missing
+load, every 101st grid reading a campus id that is not a number, and some observations have no
+air temperature.
 """
 
 from __future__ import annotations
@@ -37,8 +40,14 @@ TABLE_SCHEMAS = {
 }
 
 
+def spread_months(events: DataFrame) -> DataFrame:
+    """The events with their times moved by whole months."""
+    months = F.when(F.col("event_id") % 11 == 0, -114).otherwise(F.col("event_id") % 4).cast("int")
+    return events.withColumn("ts", F.col("ts") + F.make_ym_interval(F.lit(0), months))
+
+
 def _campus() -> Column:
-    return 4 + F.col("user_id") % 2
+    return 1 + F.col("user_id") % 6
 
 
 def _meter() -> Column:
@@ -50,8 +59,8 @@ def _load() -> Column:
     return F.when(F.col("event_id") % 97 != 0, F.round(F.col("value") * 100) - 100)
 
 
-def _reading(events: DataFrame, kind: str, *columns: Column) -> DataFrame:
-    return events.where(F.col("event_type") == kind).select(
+def _reading(events: DataFrame, kinds: list[str], *columns: Column) -> DataFrame:
+    return events.where(F.col("event_type").isin(kinds)).select(
         *columns, floor_time("ts", "15 minutes").alias("timestamp"), _load().alias("consumption"),
         "event_id", "value",
     )
@@ -59,13 +68,13 @@ def _reading(events: DataFrame, kind: str, *columns: Column) -> DataFrame:
 
 def building_feed(events: DataFrame) -> DataFrame:
     meter = _meter().alias("meter_id")
-    return _reading(events, "view", _campus().alias("campus_id"), meter).drop("event_id", "value")
+    return _reading(events, ["view", "signup"], _campus().alias("campus_id"), meter).drop("event_id", "value")
 
 
 def nmi_feed(events: DataFrame) -> DataFrame:
     campus = F.when(F.col("event_id") % 101 == 0, "N/A").otherwise(_campus().cast("string"))
     return (
-        _reading(events, "purchase", campus.alias("campus_id"), _meter().alias("meter_id"))
+        _reading(events, ["purchase"], campus.alias("campus_id"), _meter().alias("meter_id"))
         .withColumns({"demand_kW": F.col("consumption") * 4, "demand_kVA": F.col("consumption") * 4.2})
         .drop("event_id", "value")
     )
@@ -74,7 +83,7 @@ def nmi_feed(events: DataFrame) -> DataFrame:
 def submeter_feed(events: DataFrame) -> DataFrame:
     return (
         _reading(
-            events, "click", _campus().alias("campus_id"),
+            events, ["click"], _campus().alias("campus_id"),
             (F.col("user_id") % 8).alias("building_id"), _meter().alias("id"),
         )
         .withColumns(
@@ -91,18 +100,18 @@ def submeter_feed(events: DataFrame) -> DataFrame:
 
 def weather_feed(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    air = (15 + k % 10).cast("double")
+    air = F.when(k % 13 != 0, (15 + k % 10).cast("double"))
     return events.where("event_type = 'error'").select(
         _campus().alias("campus_id"),
         F.col("ts").alias("timestamp"),
         air.alias("air_temperature"),
-        (air - 1).alias("apparent_temperature"),
+        (14 + k % 10).cast("double").alias("apparent_temperature"),
         k.cast("double").alias("relative_humidity"),
     )
 
 
 def campus_meta_feed(region: DataFrame) -> DataFrame:
-    """Campuses 0 to 4; campus 5 has readings but no metadata."""
+    """Campuses 0 to 4; campuses 5 and 6 have readings but no metadata."""
     return region.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
 
 
@@ -119,7 +128,10 @@ def factor_text_feed(supplier: DataFrame) -> DataFrame:
         "emissions_factor_kg_co2e_per_kwh": F.concat(F.lit("0."), (20 + key % 60).cast("string")),
         "factor_source_name": F.col("s_name"),
         "factor_source_url": F.lit(""),
-        "is_default": F.element_at(F.array(*map(F.lit, ("TRUE", "no", "Yes", "false", "1", "0", ""))), (key % 7 + 1).cast("int")),
+        # No wildcard factor is a default, so submeters have none in the oldest month.
+        "is_default": F.when(key % 3 == 0, "no").otherwise(
+            F.element_at(F.array(*map(F.lit, ("TRUE", "no", "Yes", "false", "1", "0", ""))), (key % 7 + 1).cast("int"))
+        ),
         "notes": F.concat(F.lit("Factor of "), F.col("s_name")),
     }
     return supplier.select(*[values[name].alias(name) for name in FACTOR_COLUMNS])
@@ -143,17 +155,17 @@ def _intensity_text(hours: DataFrame, value: Column) -> DataFrame:
 
 
 def _station_hours(events: DataFrame) -> DataFrame:
+    """Few stations lie in the first region, so many of its hours have no value."""
     return events.where("event_type = 'error'").select(
-        F.when(F.col("user_id") % 2 == 0, "VIC1").otherwise("NSW1").alias("region_code"),
+        F.when(F.col("user_id") % 20 == 0, "VIC1").otherwise("NSW1").alias("region_code"),
         floor_to_hour("ts").alias("hour"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
 
 
 def intensity_text_feed(events: DataFrame) -> DataFrame:
-    """One valid row per region and hour, for the hours before 11 January."""
-    first_days = _station_hours(events).where(F.col("hour") < F.lit("2024-01-11").cast("timestamp_ntz"))
-    by_hour = first_days.groupBy("region_code", "hour").agg(F.min("k").alias("k"))
+    """One valid row per region and observed hour."""
+    by_hour = _station_hours(events).groupBy("region_code", "hour").agg(F.min("k").alias("k"))
     return _intensity_text(by_hour, F.concat(F.lit("0."), (10 + F.col("k") % 80).cast("string")))
 
 

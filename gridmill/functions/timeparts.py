@@ -48,16 +48,25 @@ def utc_from_instant(instant: Column) -> Column:
 
 
 def utc_from_nanoseconds(number: Column) -> Column:
-    """UTC wall-clock time of a number of nanoseconds since the epoch."""
-    return _since_epoch(F.floor(number / 1000).cast("long"))
+    """UTC wall-clock time of a number of nanoseconds since the epoch, in whole numbers throughout."""
+    nanos = number.cast("long")
+    return _since_epoch(F.call_function("div", nanos - F.pmod(nanos, F.lit(1000)), F.lit(1000)))
 
 
 def utc_from_text(text: Column) -> Column:
     """UTC wall-clock time of a text timestamp; NULL when it cannot be read.
 
-    Text without an offset is taken as UTC, text with one is moved to UTC.
+    A date, or a date and time, is taken as UTC. A date and time with anything after it that names a zone
+    (``Z``, ``+10``, ``+1000``, ``+10:00``, ``UTC``, ``Australia/Melbourne``) is an instant and is moved to UTC. Other
+    text, unknown zones included, is NULL.
     """
-    has_offset = text.rlike(r":\d{2}(\.\d+)?\s*(Z|UTC|[+-]\d{2}:?\d{2})$")
-    return F.when(has_offset, utc_from_instant(text.try_cast("timestamp_ltz"))).otherwise(
-        text.try_cast("timestamp_ntz")
+    text = F.trim(text)
+    time = r"\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
+    plain = text.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}([ T]{time})?$")
+    zoned = text.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}[ T]{time}\s*[A-Za-z+-].*$")
+    # The cast wants a colon in the offset and, before a zone, the seconds.
+    colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    colon = F.regexp_replace(colon, r"^(\S+[ T]\d{1,2}:\d{1,2})(\s*[A-Za-z+-])", "$1:00$2")
+    return F.when(plain, text.try_cast("timestamp_ntz")).when(
+        zoned, utc_from_instant(colon.try_cast("timestamp_ltz"))
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from pathlib import Path
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,24 +49,39 @@ def source_usage_summary(monthly: DataFrame) -> DataFrame:
     )
 
 
-def run_sql_reports(spark: SparkSession, query_dir: str | Path) -> dict[str, DataFrame]:
-    """File stem -> lazy result for every ``*.sql`` file of a folder, in name order.
+def run_sql_report(spark: SparkSession, file: Path, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Lazy result of one SQL file.
 
-    The statements read whatever tables and views the session knows. Results are frames, to be
-    stored with ``write_layer``; nothing is pulled to the driver.
+    A name in braces stands for the frame of that name in ``tables``, or else for the stored table of the
+    layer it begins with (``{gold_peak_demand}``: ``gold.gold_peak_demand``). No view of the session is touched.
     """
-    files = sorted(Path(query_dir).glob("*.sql"))
-    if not files:
-        raise FileNotFoundError(f"No SQL files found in {query_dir}")
-    return {file.stem: spark.sql(file.read_text(encoding="utf-8").strip().rstrip(";")) for file in files}
+    text = file.read_text(encoding="utf-8").strip().rstrip(";")
+    names = {name for _, name, _, _ in Formatter().parse(text) if name}
+    given = tables or {}
+    frames = {n: given[n] if n in given else spark.table(f"{n.partition('_')[0]}.{n}") for n in names}
+    return spark.sql(text, **frames)
+
+
+def run_sql_reports(
+    spark: SparkSession, query_dir: str | Path, tables: Mapping[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """File stem -> lazy result for every ``*.sql`` file of a folder, in name order."""
+    reports = {file.stem: file for file in sorted(Path(query_dir).glob("*.sql"))}
+    if not reports:
+        raise FileNotFoundError(f"{query_dir} holds no report files (*.sql)")
+    return {name: run_sql_report(spark, file, tables) for name, file in reports.items()}
 
 
 def save_sql_reports(
-    spark: SparkSession, query_dir: str | Path, layer: str = "report", root: str | None = None
+    spark: SparkSession,
+    query_dir: str | Path,
+    layer: str = "report",
+    root: str | None = None,
+    tables: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Run the SQL files of a folder, store each result as ``layer.<stem>``, and count its rows."""
     stored = {
         (layer, name): write_layer(result, f"{layer}.{name}", root=root)
-        for name, result in run_sql_reports(spark, query_dir).items()
+        for name, result in run_sql_reports(spark, query_dir, tables).items()
     }
     return row_counts(stored)

@@ -24,12 +24,13 @@ def write_layer(
     at most. ``partition_by`` rebalances first: AQE then merges small output partitions and splits
     a partition value that holds far more rows than the others. ``sort_by`` orders rows inside each
     file so that row-group statistics let time-range filters skip data. The data goes to the
-    warehouse of the session, or under ``root`` where the catalog does not outlive the session.
+    warehouse of the session, or under ``root`` where the catalog does not outlive the session. A table
+    of that name that lies anywhere else is not replaced: that is an error.
     """
     spark = df.sparkSession
     layer, name = table.split(".")
-    place = f" LOCATION '{root}/{layer}'" if root else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{place}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+    _refuse_other_place(spark, table, f"{root}/{layer}/{name}" if root else None)
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     if sort_by:
@@ -43,6 +44,18 @@ def write_layer(
     return spark.table(table).select(*df.columns)
 
 
+def _refuse_other_place(spark: SparkSession, table: str, path: str | None) -> None:
+    """Raise if ``table`` exists at another place than ``path``, or is external where no path is given."""
+    if not spark.catalog.tableExists(table):
+        return
+    facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    here = facts.get("Location", "").rstrip("/")
+    plain = lambda p: p.removeprefix("file:").replace("//", "/")
+    fits = facts.get("Type") == "MANAGED" if path is None else plain(here) == plain(path.rstrip("/"))
+    if not fits:
+        raise ValueError(f"{table} lies at {here}; drop it or write it there")
+
+
 def store(df: DataFrame, path: str) -> DataFrame:
     """Write a frame as parquet under a shared path and return the stored copy.
 
@@ -104,13 +117,9 @@ def describe_frame(df: DataFrame, name: str) -> DataFrame:
 
 def describe_table(spark: SparkSession, table: str) -> DataFrame:
     """Columns and row count of one stored layer table; other names are refused."""
-    layer, dot, name = table.partition(".")
-    if not dot:
-        raise ValueError("Table name must include its layer, for example gold.gold_peak_demand")
-    if layer not in LAYERS:
-        raise ValueError(f"Layer must be one of {', '.join(LAYERS)}")
-    if not name.replace("_", "").isalnum():
-        raise ValueError("Table name contains invalid characters")
-    if not spark.catalog.tableExists(table):
-        raise ValueError(f"Unknown table: {table}")
+    layer = table.split(".")[0]
+    stored = spark.catalog.listTables(layer) if layer in LAYERS and spark.catalog.databaseExists(layer) else []
+    known = sorted(f"{layer}.{t.name}" for t in stored if not t.isTemporary)
+    if table not in known:
+        raise ValueError(f"No layer table {table!r}; {layer} has: {', '.join(known) or 'none'}")
     return describe_frame(spark.table(table), table)

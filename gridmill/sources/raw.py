@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
-from posixpath import basename, splitext
+from posixpath import splitext
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridmill.sources.layers import row_counts, write_layer
 
 FORMATS = ("csv", "json", "jsonl", "parquet")
+BAD_RECORD = "_bad_record"
 
 # The raw feeds the jobs read, by bronze table. Campus ids of grid connections stay text.
 FEED_SCHEMAS = {
@@ -60,40 +61,69 @@ def discover_sources(spark: SparkSession, raw_dir: str) -> DataFrame:
 
 
 def read_raw(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, null_value: str = "N/A"
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    null_value: str = "N/A",
+    multi_line: bool = False,
+    keep_bad: bool = False,
 ) -> DataFrame:
     """Read one raw data set by its extension.
 
+    A record that does not fit ``schema`` fails the job that reads it; with ``keep_bad`` its text is in the
+    column ``BAD_RECORD`` instead, and what could not be read is NULL. ``multi_line`` is for CSV feeds whose quoted
+    texts hold line breaks; such files are not split over tasks. Parquet and JSON data sets have to have
+    the columns of the schema, which costs JSON one more pass.
+
     Without ``schema`` a CSV or JSON file is read once more to infer its types; pass the schema of
     a known feed (``FEED_SCHEMAS``) to skip that pass on large inputs. A CSV header that does not
     name the columns of the schema in its order is an error.
     """
     suffix = splitext(path)[1].lower().lstrip(".")
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    if suffix not in FORMATS:
+        raise ValueError(f"{path}: no reader for {suffix or 'a name without suffix'}, only for {', '.join(FORMATS)}")
+    options: dict = {}
     if suffix == "csv":
-        return reader.csv(
-            path, header=True, inferSchema=schema is None, enforceSchema=False, nullValue=null_value, escape='"'
-        )
-    if suffix == "json":
-        return reader.json(path, multiLine=True)
-    if suffix == "jsonl":
-        return reader.json(path)
+        options = {"header": True, "nullValue": null_value, "escape": '"', "multiLine": multi_line}
+        options |= {"inferSchema": schema is None, "enforceSchema": False}
+    elif suffix == "json":
+        options = {"multiLine": True}
+    reader = spark.read.options(**options)
+    if schema is None:
+        return reader.format("json" if suffix == "jsonl" else suffix).load(path)
+    wanted = spark.createDataFrame([], schema).schema
+    if suffix != "csv":
+        # A CSV file is held against the schema by its header; the others by the columns they have.
+        own = {f.name: f.dataType for f in reader.format("json" if suffix == "jsonl" else suffix).load(path).schema}
+        absent = [f.name for f in wanted if f.name not in own]
+        other = [f.name for f in wanted if suffix == "parquet" and own.get(f.name, f.dataType) != f.dataType]
+        if absent or other:
+            raise ValueError(f"{path}: without column {absent}, of another type {other}")
     if suffix == "parquet":
-        return reader.parquet(path)
-    raise ValueError(f"Unsupported file extension '.{suffix}'. Supported: {', '.join('.' + f for f in FORMATS)}")
+        return reader.schema(wanted).parquet(path)
+    if keep_bad:
+        wanted = StructType([*wanted.fields, StructField(BAD_RECORD, StringType())])
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_RECORD)
+    else:
+        reader = reader.options(mode="FAILFAST")
+    return reader.schema(wanted).format("json" if suffix == "jsonl" else suffix).load(path)
 
 
 def bronze_table_name(path: str) -> str:
     """``bronze_`` plus the file stem in lower case with other characters than letters and digits as ``_``."""
-    stem = splitext(basename(path.rstrip("/")))[0]
-    cleaned = re.sub(r"[^a-zA-Z0-9]+", "_", stem).strip("_").lower()
-    if not cleaned:
-        raise ValueError(f"Cannot derive table name from path: {path}")
-    return f"bronze_{cleaned}"
+    file_name = path.rstrip("/").rpartition("/")[2]
+    words = re.findall(r"[a-z0-9]+", file_name.rpartition(".")[0].lower())
+    if not words:
+        raise ValueError(f"{file_name!r} has no letter or digit to name a table by")
+    return "_".join(["bronze", *words])
 
 
 def bronze_frames(
-    spark: SparkSession, raw_dir: str, schemas: Mapping[str, StructType | str] | None = None
+    spark: SparkSession,
+    raw_dir: str,
+    schemas: Mapping[str, StructType | str] | None = None,
+    multi_line: bool = False,
+    keep_bad: bool = False,
 ) -> dict[str, tuple[str, DataFrame]]:
     """Bronze table name -> (source path, frame) for every data set found."""
     frames: dict[str, tuple[str, DataFrame]] = {}
@@ -102,9 +132,10 @@ def bronze_frames(
         name = bronze_table_name(row.path)
         if name in frames:
             raise ValueError(f"{frames[name][0]} and {row.path} would both become {name}")
-        frames[name] = (row.path, read_raw(spark, row.path, (schemas or {}).get(name)))
+        schema = (schemas or {}).get(name)
+        frames[name] = (row.path, read_raw(spark, row.path, schema, multi_line=multi_line, keep_bad=keep_bad))
     if not frames:
-        raise FileNotFoundError(f"No supported raw files found under {raw_dir}")
+        raise FileNotFoundError(f"{raw_dir} holds no file of a known format")
     return frames
 
 
@@ -130,10 +161,27 @@ def ingest_bronze(
     raw_dir: str,
     schemas: Mapping[str, StructType | str] | None = None,
     root: str | None = None,
+    max_bad_records: int = 0,
+    multi_line: bool = False,
+    layer: str = "bronze",
 ) -> DataFrame:
-    """Rebuild one ``bronze`` table per raw data set and return the load summary."""
-    frames = bronze_frames(spark, raw_dir, schemas)
-    written = {
-        name: (path, write_layer(frame, f"bronze.{name}", root=root)) for name, (path, frame) in frames.items()
-    }
-    return bronze_summary(written)
+    """Rebuild one table per raw data set; returns the load summary with ``bad_record_count``.
+
+    Bad records are counted while the table is written. More than ``max_bad_records`` in one data set are an
+    error; its table then holds what could be read, and the data sets after it are not loaded.
+    """
+    frames = bronze_frames(spark, raw_dir, schemas, multi_line, keep_bad=True)
+    written, bad = {}, {}
+    for name, (path, frame) in frames.items():
+        bad[name] = 0
+        if BAD_RECORD in frame.columns:
+            seen = Observation()
+            counted = frame.observe(seen, F.count(BAD_RECORD).alias("n")).drop(BAD_RECORD)
+            written[name] = (path, write_layer(counted, f"{layer}.{name}", root=root))
+            bad[name] = seen.get["n"]
+        else:
+            written[name] = (path, write_layer(frame, f"{layer}.{name}", root=root))
+        if bad[name] > max_bad_records:
+            raise ValueError(f"{path}: {bad[name]} records do not fit the schema, {max_bad_records} are allowed")
+    counts = F.create_map(*[F.lit(x) for name, n in bad.items() for x in (f"bronze.{name}", n)])
+    return bronze_summary(written).withColumn("bad_record_count", counts[F.col("table_name")].cast("bigint"))

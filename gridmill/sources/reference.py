@@ -28,19 +28,19 @@ INTENSITY_SCHEMA = (
 
 
 def _require_columns(df: DataFrame, required: Sequence[str], what: str) -> None:
-    missing = sorted(set(required) - set(df.columns))
-    if missing:
-        raise ValueError(f"{what} missing required columns: {', '.join(missing)}")
+    absent = [name for name in required if name not in df.columns]
+    if absent:
+        raise ValueError(f"{what}: no column {' or '.join(absent)}")
 
 
 def _read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with every column as text and blanks as empty strings, never NULL."""
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"').na.fill("")
+    """A CSV file with every column as text and blanks as empty strings, never NULL; quotes may hold line breaks."""
+    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True).na.fill("")
 
 
 def parse_emissions_factors(raw: DataFrame) -> DataFrame:
     """Typed factors from an all-text frame with the required columns."""
-    _require_columns(raw, FACTOR_COLUMNS, "Emissions factor file")
+    _require_columns(raw, FACTOR_COLUMNS, "Factors")
     return raw.withColumns(
         {
             "factor_year": F.trim("factor_year").cast("int"),
@@ -56,21 +56,21 @@ def load_emissions_factors(spark: SparkSession, path: str) -> DataFrame:
         raw = _read_text_csv(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Emissions factor file not found: {path}") from error
+            raise FileNotFoundError(path) from error
         raise
-    _require_columns(raw, FACTOR_COLUMNS, "Emissions factor file")
+    _require_columns(raw, FACTOR_COLUMNS, "Factors")
     unreadable = raw.where(
         F.trim("factor_year").try_cast("int").isNull()
         | F.trim("emissions_factor_kg_co2e_per_kwh").try_cast("double").isNull()
     )
     if not unreadable.isEmpty():
-        raise ValueError("Emissions factor file contains a year or factor that is not a number")
+        raise ValueError(f"Factors: a year or a factor in {path} is no number")
     return parse_emissions_factors(raw)
 
 
 def parse_grid_intensity(raw: DataFrame) -> DataFrame:
     """Typed intensity rows from an all-text frame; unreadable values become NULL."""
-    _require_columns(raw, INTENSITY_COLUMNS, "Grid carbon-intensity file")
+    _require_columns(raw, INTENSITY_COLUMNS, "Intensities")
     number = F.trim("emissions_intensity_kg_co2e_per_kwh").try_cast("double")
     typed = raw.withColumns(
         {
@@ -107,18 +107,11 @@ def grid_intensity_problems(intensity: DataFrame) -> DataFrame:
 
 
 def validate_grid_intensity(intensity: DataFrame) -> DataFrame:
-    """Raise ``ValueError`` for the first broken rule, else return the frame."""
-    found = grid_intensity_problems(intensity).first()
-    messages = {
-        "null_interval_start": "null or unparseable interval_start values",
-        "null_interval_end": "null or unparseable interval_end values",
-        "null_intensity": "null or non-numeric intensity values",
-        "negative_intensity": "negative emissions intensity values",
-        "duplicate_region_hours": "duplicate region/hour rows",
-    }
-    for rule, message in messages.items():
-        if found[rule]:
-            raise ValueError(f"Grid carbon-intensity file contains {message}")
+    """Raise ``ValueError`` with the number of offences against every broken rule, else return the frame."""
+    found = grid_intensity_problems(intensity).drop("row_count").first().asDict()
+    broken = [f"{rule} {n}" for rule, n in found.items() if n]
+    if broken:
+        raise ValueError(f"Intensities: {', '.join(broken)}")
     return intensity
 
 
@@ -131,7 +124,7 @@ def load_grid_intensity(spark: SparkSession, path: str) -> DataFrame:
             return spark.createDataFrame([], INTENSITY_SCHEMA)
         raise
     if raw.isEmpty():
-        raise ValueError(f"Grid carbon-intensity file is empty: {path}")
+        raise ValueError(f"Intensities: {path} has a header and no rows")
     return validate_grid_intensity(parse_grid_intensity(raw))
 
 

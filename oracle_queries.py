@@ -6,31 +6,35 @@ Each is written against shared common table expressions that rebuild the layers
 
 from __future__ import annotations
 
-from gridmill.sources.event_feed import TABLE_SCHEMAS
+from event_feed import TABLE_SCHEMAS
 
 LAYERS = r"""
+spread_events AS (
+  SELECT * REPLACE (ts + to_months(CAST(CASE WHEN event_id % 11 = 0 THEN -114 ELSE event_id % 4 END AS INTEGER)) AS ts)
+  FROM events
+),
 bronze_building AS (
-  SELECT 4 + user_id % 2 AS campus_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id,
+  SELECT 1 + user_id % 6 AS campus_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id,
          time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption
-  FROM events WHERE event_type = 'view'
+  FROM spread_events WHERE event_type IN ('view', 'signup')
 ),
 bronze_nmi AS (
-  SELECT CASE WHEN event_id % 101 = 0 THEN 'N/A' ELSE CAST(4 + user_id % 2 AS VARCHAR) END AS campus_id,
+  SELECT CASE WHEN event_id % 101 = 0 THEN 'N/A' ELSE CAST(1 + user_id % 6 AS VARCHAR) END AS campus_id,
          CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id, time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption
-  FROM events WHERE event_type = 'purchase'
+  FROM spread_events WHERE event_type = 'purchase'
 ),
 bronze_submeter AS (
-  SELECT 4 + user_id % 2 AS campus_id, user_id % 8 AS building_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS id,
+  SELECT 1 + user_id % 6 AS campus_id, user_id % 8 AS building_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS id,
          time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption,
          value / 240 AS "current", value AS power
-  FROM events WHERE event_type = 'click'
+  FROM spread_events WHERE event_type = 'click'
 ),
 bronze_weather AS (
-  SELECT 4 + user_id % 2 AS campus_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
-  FROM events WHERE event_type = 'error'
+  SELECT 1 + user_id % 6 AS campus_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM spread_events WHERE event_type = 'error'
 ),
 building AS (
   SELECT campus_id, meter_id, "timestamp" AS reading_timestamp, consumption,
@@ -94,7 +98,7 @@ factors AS (
          CAST(2015 + s_suppkey % 15 AS INTEGER) AS factor_year,
          CAST('0.' || (20 + s_suppkey % 60) AS DOUBLE) AS emissions_factor_kg_co2e_per_kwh,
          s_name AS factor_source_name, '' AS factor_source_url,
-         s_suppkey % 7 IN (0, 2, 4) AS is_default, 'Factor of ' || s_name AS notes
+         s_suppkey % 3 <> 0 AND s_suppkey % 7 IN (0, 2, 4) AS is_default, 'Factor of ' || s_name AS notes
   FROM supplier
 ),
 emissions AS (
@@ -114,9 +118,9 @@ emissions AS (
              f.is_default, f.factor_year DESC, f.factor_id) = 1
 ),
 station_hours AS (
-  SELECT CASE WHEN user_id % 2 = 0 THEN 'VIC1' ELSE 'NSW1' END AS region_code,
+  SELECT CASE WHEN user_id % 20 = 0 THEN 'VIC1' ELSE 'NSW1' END AS region_code,
          date_trunc('hour', ts) AS "hour", CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
-  FROM events WHERE event_type = 'error'
+  FROM spread_events WHERE event_type = 'error'
 ),
 intensity AS (
   SELECT region_code, CASE region_code WHEN 'VIC1' THEN 'Victoria' ELSE 'New South Wales' END AS region_name,
@@ -125,7 +129,7 @@ intensity AS (
          'Grid feed ' || region_code AS source_name, '' AS source_url, '1' AS data_version,
          hour("hour") < 12 AS is_synthetic,
          CASE WHEN hour("hour") < 12 THEN 'Synthetic morning row' ELSE 'Afternoon row' END AS notes
-  FROM station_hours WHERE "hour" < TIMESTAMP '2024-01-11' GROUP BY region_code, "hour"
+  FROM station_hours GROUP BY region_code, "hour"
 ),
 time_varying AS (
   SELECT h.usage_hour, h.campus_id, h.source_system, h.meter_id, h.building_id, h.total_consumption,
@@ -163,7 +167,7 @@ recon_monthly AS (
 weather AS (
   SELECT campus_id, date_trunc('hour', ts) AS usage_hour, avg(15 + k % 10) AS air_temperature,
          avg(14 + k % 10) AS apparent_temperature, avg(k) AS relative_humidity
-  FROM bronze_weather GROUP BY ALL
+  FROM bronze_weather WHERE k % 13 <> 0 GROUP BY ALL
 ),
 usage_weather AS (
   SELECT h.campus_id, h.source_system, h.meter_id, h.building_id, h.usage_hour,

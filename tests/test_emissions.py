@@ -27,8 +27,8 @@ INTENSITY_HEADER = (
     "region_code,region_name,interval_start,interval_end,emissions_intensity_kg_co2e_per_kwh,"
     "source_name,source_url,data_version,notes"
 )
-DEFAULT = "default_au,Australia,Australia,*,electricity,2024,0.50,Demo,,true,Default"
-SPECIFIC = f"building_au,Australia,Australia,{BUILDING},electricity,2024,0.25,Demo,,false,Specific"
+DEFAULT = "any_meter,Australia,Tasmania,*,electricity,2024,0.62,State tables,,true,where nothing else fits"
+SPECIFIC = f"rooms,Australia,Queensland,{BUILDING},electricity,2024,0.31,State tables,,false,rooms only"
 
 
 def write_csv(path, header, *rows):
@@ -51,7 +51,7 @@ def chosen(spark, tmp_path, *rows, usage=None):
 
 def test_factor_file_needs_its_columns(spark, tmp_path):
     path = write_csv(tmp_path / "bad.csv", "factor_id,country", "bad,Australia")
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="no column"):
         load_emissions_factors(spark, path)
 
 
@@ -61,12 +61,12 @@ def test_factor_file_must_exist(spark, tmp_path):
 
 
 def test_factor_file_rejects_text_for_numbers(spark, tmp_path):
-    with pytest.raises(ValueError, match="not a number"):
+    with pytest.raises(ValueError, match="is no number"):
         factors(spark, tmp_path, DEFAULT.replace("2024", "soon"))
 
 
 def test_factor_types_and_blanks(spark, tmp_path):
-    rows = [DEFAULT.replace(",true,", f",{flag},").replace("default_au", flag) for flag in ("TRUE", "1", "Yes", "no", "0")]
+    rows = [DEFAULT.replace(",true,", f",{flag},").replace("any_meter", flag) for flag in ("TRUE", "1", "Yes", "no", "0")]
     loaded = factors(spark, tmp_path, *rows)
     assert dict(values(loaded, "factor_id", "is_default")) == {
         "TRUE": True, "1": True, "Yes": True, "no": False, "0": False,
@@ -75,15 +75,15 @@ def test_factor_types_and_blanks(spark, tmp_path):
 
 
 def test_specific_factor_beats_wildcard(spark, tmp_path):
-    assert chosen(spark, tmp_path, DEFAULT, SPECIFIC) == [("building_au", False, 25.0)]
+    assert chosen(spark, tmp_path, DEFAULT, SPECIFIC) == [("rooms", False, 31.0)]
 
 
 def test_default_is_the_fallback(spark, tmp_path):
-    assert chosen(spark, tmp_path, DEFAULT) == [("default_au", True, 50.0)]
+    assert chosen(spark, tmp_path, DEFAULT) == [("any_meter", True, 62.0)]
 
 
 def test_default_of_a_later_year_is_allowed(spark, tmp_path):
-    assert chosen(spark, tmp_path, DEFAULT.replace("2024", "2026")) == [("default_au", True, 50.0)]
+    assert chosen(spark, tmp_path, DEFAULT.replace("2024", "2026")) == [("any_meter", True, 62.0)]
 
 
 def test_specific_factor_of_a_later_year_is_not(spark, tmp_path):
@@ -92,7 +92,7 @@ def test_specific_factor_of_a_later_year_is_not(spark, tmp_path):
 
 def test_exact_year_then_not_default_then_newest(spark, tmp_path):
     def row(name, year, default):
-        return SPECIFIC.replace("building_au", name).replace("2024", str(year)).replace("false", default)
+        return SPECIFIC.replace("rooms", name).replace("2024", str(year)).replace("false", default)
 
     old, newer = row("old", 2020, "false"), row("newer", 2022, "false")
     assert chosen(spark, tmp_path, old, newer)[0][0] == "newer"
@@ -110,12 +110,12 @@ def test_many_factors_keep_one_row_per_usage_row(spark, tmp_path):
     usage = monthly(
         spark, *[(c, s, date(y, m, 1), 10.0, 1, 1) for c in (1, 2) for s in (BUILDING, NMI) for y in (2023, 2024) for m in (1, 2)]
     )
-    rows = [DEFAULT.replace("default_au", f"d{y}").replace("2024", str(y)) for y in range(2018, 2027)] + [SPECIFIC]
+    rows = [DEFAULT.replace("any_meter", f"d{y}").replace("2024", str(y)) for y in range(2018, 2027)] + [SPECIFIC]
     result = emissions_monthly(usage, factors(spark, tmp_path, *rows))
     assert result.count() == usage.count()
     picked = {(r.source_system, r.usage_month.year): r.factor_id for r in result.collect()}
     assert picked == {
-        (BUILDING, 2023): "d2023", (BUILDING, 2024): "building_au", (NMI, 2023): "d2023", (NMI, 2024): "d2024",
+        (BUILDING, 2023): "d2023", (BUILDING, 2024): "rooms", (NMI, 2023): "d2023", (NMI, 2024): "d2024",
     }
 
 
@@ -127,7 +127,7 @@ def test_monthly_stats(spark, tmp_path):
 
 # grid intensity
 
-HOUR_8 = "VIC1,Victoria,2024-01-01 08:00:00,2024-01-01 09:00:00,0.40,Synthetic fixture,,test,row"
+HOUR_8 = "QLD1,Queensland,2024-01-01 08:00:00,2024-01-01 09:00:00,0.73,Synthetic market,,v3,made up"
 
 
 def intensity(spark, tmp_path, *rows):
@@ -137,12 +137,12 @@ def intensity(spark, tmp_path, *rows):
 @pytest.mark.parametrize(
     ("rows", "message"),
     [
-        ((HOUR_8.replace("0.40", "-0.10"),), "negative emissions intensity"),
-        ((HOUR_8.replace("0.40", "lots"),), "null or non-numeric"),
-        ((HOUR_8.replace("2024-01-01 08:00:00", "soon"),), "interval_start"),
-        ((HOUR_8.replace("2024-01-01 09:00:00", ""),), "interval_end"),
-        ((HOUR_8, HOUR_8.replace("08:00:00", "08:15:00")), "duplicate region/hour"),
-        ((), "is empty"),
+        ((HOUR_8.replace("0.73", "-0.10"),), "negative_intensity 1"),
+        ((HOUR_8.replace("0.73", "lots"),), "null_intensity 1"),
+        ((HOUR_8.replace("2024-01-01 08:00:00", "soon"),), "null_interval_start 1"),
+        ((HOUR_8.replace("2024-01-01 09:00:00", ""),), "null_interval_end 1"),
+        ((HOUR_8, HOUR_8.replace("08:00:00", "08:15:00")), "duplicate_region_hours 1"),
+        ((), "no rows"),
     ],
 )
 def test_intensity_file_is_checked(spark, tmp_path, rows, message):
@@ -152,7 +152,7 @@ def test_intensity_file_is_checked(spark, tmp_path, rows, message):
 
 def test_intensity_file_needs_its_columns(spark, tmp_path):
     path = write_csv(tmp_path / "bad.csv", "region_code,region_name", "VIC1,Victoria")
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="no column"):
         load_grid_intensity(spark, path)
 
 
@@ -165,7 +165,7 @@ def test_intensity_times_are_utc_and_synthetic_is_seen(spark, tmp_path):
     picked = values(loaded, "region_code", "interval_start", "interval_end", "interval_start_hour", "is_synthetic")
     assert picked == [
         ("NSW1", at("2024-01-01 08:15"), at("2024-01-01 09:00"), at("2024-01-01 08:00"), False),
-        ("VIC1", at("2024-01-01 08:20:30"), at("2024-01-01 09:00"), at("2024-01-01 08:00"), True),
+        ("QLD1", at("2024-01-01 08:20:30"), at("2024-01-01 09:00"), at("2024-01-01 08:00"), True),
     ]
 
 
@@ -188,21 +188,21 @@ def test_problem_counts(spark):
 
 def static_emissions(spark, tmp_path):
     usage = monthly(spark, (1, BUILDING, date(2024, 1, 1), 150.0, 4, 1))
-    return emissions_monthly(usage, factors(spark, tmp_path, DEFAULT.replace("0.50", "0.78")))
+    return emissions_monthly(usage, factors(spark, tmp_path, DEFAULT))
 
 
 def test_time_varying_matches_and_falls_back(spark, tmp_path):
     hourly = hourly_frame(spark, {"2024-01-01 08:00": 100, "2024-01-01 09:00": 50})
-    other_region = HOUR_8.replace("VIC1", "NSW1").replace("08:00:00", "09:00:00")
+    other_region = HOUR_8.replace("QLD1", "NSW1").replace("08:00:00", "09:00:00")
     by_hour = intensity(spark, tmp_path, HOUR_8, other_region)
-    result = emissions_time_varying(hourly, static_emissions(spark, tmp_path), by_hour)
+    result = emissions_time_varying(hourly, static_emissions(spark, tmp_path), by_hour, "QLD1")
     rows = values(
         result, "usage_hour", "static_estimated_emissions_kg_co2e",
         "time_varying_estimated_emissions_kg_co2e", "factor_match_status", "factor_source_name",
     )
     assert [row[1:] for row in rows] == [
-        (78.0, 40.0, "matched_hourly_factor", "Synthetic fixture"),
-        (39.0, None, "fallback_static_factor", "Demo"),
+        (62.0, 73.0, "matched_hourly_factor", "Synthetic market"),
+        (31.0, None, "fallback_static_factor", "State tables"),
     ]
     assert values(emissions_match_stats(result, by_hour)) == [(2, 2, 1, 1, 0)]
 

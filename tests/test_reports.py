@@ -155,7 +155,7 @@ def test_response_reports_without_events(spark):
 def test_sql_files_run_in_name_order(spark, tmp_path, monthly):
     monthly.createOrReplaceTempView("report_months")
     (tmp_path / "b.sql").write_text("SELECT count(*) AS n FROM report_months;\n", encoding="utf-8")
-    (tmp_path / "a.sql").write_text("FROM report_months |> WHERE campus_id = 2", encoding="utf-8")
+    (tmp_path / "a.sql").write_text("SELECT * FROM report_months WHERE campus_id = 2", encoding="utf-8")
     results = marts.run_sql_reports(spark, tmp_path)
     assert list(results) == ["a", "b"]
     assert (results["a"].count(), values(results["b"])) == (1, [(3,)])
@@ -166,10 +166,10 @@ def test_sql_files_run_in_name_order(spark, tmp_path, monthly):
 
 
 def test_the_shipped_sql_files_equal_the_functions(spark, monthly, emissions, peaks):
-    monthly.createOrReplaceTempView("gold_monthly_electricity_usage")
-    emissions.createOrReplaceTempView("gold_electricity_emissions")
-    peaks.createOrReplaceTempView("gold_peak_demand")
-    results = marts.run_sql_reports(spark, Path(marts.__file__).parent / "sql")
+    tables = {
+        "gold_monthly_electricity_usage": monthly, "gold_electricity_emissions": emissions, "gold_peak_demand": peaks,
+    }
+    results = marts.run_sql_reports(spark, Path(marts.__file__).parent / "sql", tables)
     assert {name: frame.collect() for name, frame in results.items()} == {
         "top_monthly_usage": marts.top_monthly_usage(monthly).collect(),
         "peak_demand_by_meter": marts.peak_demand_by_meter(peaks).collect(),
