@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm.components import connected_components
-from gridmill.llm.grouping import join_group_facts, keep_rows
+from gridmill.llm.grouping import join_group_facts, keep_rows, likely_rows
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.scratch import Scratch
 from gridmill.llm.words import mix, powers, split_words, window_hashes
@@ -419,8 +419,9 @@ def _links(
     )
     wanted = scratch.store(wanted, "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_key") == F.col("wanted_key"))
+    likely = likely_rows(texts, wanted.select(F.col("wanted_id").alias("doc_id"), F.col("wanted_key").alias("text_key")))
     found = (
-        texts.join(wanted, same)
+        likely.join(wanted, same)
         .select("text", "cluster", "part", "parts", "node", "a", "b")
         .mapInArrow(_wanted_sets(rule.size), "cluster bigint, part int, parts int, node bigint, tokens array<bigint>")
     )
