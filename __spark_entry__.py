@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import cached_property
 from pathlib import Path
 from uuid import uuid4
@@ -15,13 +16,13 @@ from pyspark.sql.types import DoubleType
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from gridmill.functions import month_start  # noqa: E402
-from gridmill.names import SOURCE_SYSTEMS  # noqa: E402
+from gridmill.functions import floor_to_hour, month_start  # noqa: E402
+from gridmill.names import LAYERS, SOURCE_SYSTEMS  # noqa: E402
 from gridmill.operators import baseline, emissions, profile, quality, reconcile, retrieval  # noqa: E402
 from gridmill.operators import scenarios, silver, usage  # noqa: E402
 from gridmill.plans import marts, questions, reports  # noqa: E402
 from gridmill.sources import layers, raw, reference  # noqa: E402
-from gridmill.session import shared_folder  # noqa: E402
+from gridmill.session import run_folder  # noqa: E402
 import event_feed as feed  # noqa: E402
 from oracle_queries import build_oracles  # noqa: E402
 
@@ -121,19 +122,21 @@ class Tables:
     @cached_property
     def run_folder(self) -> str:
         """A folder of this run's own in the shared storage of the cluster."""
-        return f"{shared_folder(self.spark)}/gridmill/{uuid4().hex}"
+        return run_folder(self.spark, "queries")
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return layers.store(df, f"{self.run_folder}/{name}")
 
     @cached_property
     def stored_hourly(self) -> DataFrame:
         """Hourly usage, written once for queries that read it several times."""
-        return layers.store(self.hourly, f"{self.run_folder}/hourly_usage")
+        return self.store(self.hourly, "hourly_usage")
 
     def layer_table(self) -> DataFrame:
         """Hourly usage as a partitioned layer table, read back; its database is this run's own and is dropped."""
         hourly = self.hourly.withColumn("usage_month", month_start("usage_hour"))
-        layer = f"run_{uuid4().hex}"
-        layers.write_layer(hourly, f"{layer}.hourly", ["usage_month"], ["usage_hour"], root=self.run_folder)
-        self.spark.sql(f"DROP DATABASE {layer} CASCADE")
+        with self.own_databases("run") as (layer,):
+            layers.write_layer(hourly, f"{layer}.hourly", ["usage_month"], ["usage_hour"], root=self.run_folder)
         return self.spark.read.parquet(f"{self.run_folder}/{layer}/hourly").select(*self.hourly.columns)
 
     @cached_property
@@ -142,10 +145,15 @@ class Tables:
 
     @cached_property
     def time_varying(self) -> DataFrame:
+        # As in the full build, the small sides are stored first, so that the planner knows their size.
         hourly = self.stored_hourly
         monthly = usage.monthly_usage(usage.daily_usage(hourly))
-        static = emissions.emissions_monthly(monthly, self.factors)
-        return emissions.emissions_time_varying(hourly, static, self.intensity)
+        static = self.store(emissions.emissions_monthly(monthly, self.factors), "static")
+        return emissions.emissions_time_varying(hourly, static, self.stored_intensity)
+
+    @cached_property
+    def stored_intensity(self) -> DataFrame:
+        return self.store(self.intensity, "intensity")
 
     def executive_summary(self, **selection) -> DataFrame:
         hourly = self.stored_hourly
@@ -154,7 +162,7 @@ class Tables:
             monthly,
             emissions.emissions_monthly(monthly, self.factors),
             self.peaks,
-            baseline.weather_baseline(hourly, self.weather),
+            baseline.weather_baseline(hourly, self.stored_weather),
             scenarios.shift_scenarios(hourly),
             **selection,
         )
@@ -171,9 +179,13 @@ class Tables:
     def weather(self) -> DataFrame:
         return baseline.hourly_weather(self.bronze_weather)
 
+    @cached_property
+    def stored_weather(self) -> DataFrame:
+        return self.store(self.weather, "weather")
+
     @cached_property
     def baseline(self) -> DataFrame:
-        return baseline.weather_baseline(self.hourly, self.weather)
+        return baseline.weather_baseline(self.hourly, self.stored_weather)
 
     @cached_property
     def shifts(self) -> DataFrame:
@@ -195,27 +207,79 @@ class Tables:
     def page_chunks(self) -> DataFrame:
         return retrieval.chunk_documents(feed.page_markdown(self.table("pages")), "page_id")
 
-    @cached_property
-    def layer_frames(self) -> dict[tuple[str, str], DataFrame]:
-        return {
-            ("bronze", "bronze_building_consumption"): self.bronze_building,
-            ("bronze", "bronze_nmi_consumption"): self.bronze_nmi,
-            ("bronze", "bronze_building_submeter_consumption"): self.bronze_submeter,
-            ("bronze", "bronze_weather_data"): self.bronze_weather,
-            ("silver", "silver_building_electricity_readings"): self.building,
-            ("silver", "silver_nmi_electricity_readings"): self.nmi,
-            ("silver", "silver_submeter_electricity_readings"): self.submeter,
-            ("gold", "gold_hourly_electricity_usage"): self.hourly,
-            ("gold", "gold_daily_electricity_usage"): self.daily,
-            ("gold", "gold_peak_demand"): self.peaks,
-            ("reference", "reference_emissions_factors"): self.factors,
-            ("reference", "reference_grid_carbon_intensity_hourly"): self.intensity,
-        }
+    @contextmanager
+    def own_databases(self, *names: str):
+        """Databases of this run's own, one for each name, that are gone at the end; their files stay for the run."""
+        run = uuid4().hex
+        own = [f"{name}_{run}" for name in names]
+        try:
+            yield own
+        finally:
+            for name in own:
+                self.spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+    def layer_inventory(self) -> DataFrame:
+        """The catalog's row counts after every layer was written to this run's databases, each from the one before."""
+        with self.own_databases(*LAYERS) as own:
+            place = dict(zip(LAYERS, own))
+            save = lambda layer, name, df: layers.write_layer(df, f"{place[layer]}.{name}", root=self.run_folder)
+            building = save("bronze", "bronze_building_consumption", self.bronze_building)
+            nmi = save("bronze", "bronze_nmi_consumption", self.bronze_nmi)
+            submeter = save("bronze", "bronze_building_submeter_consumption", self.bronze_submeter)
+            save("bronze", "bronze_weather_data", self.bronze_weather)
+            silver_tables = [
+                save("silver", "silver_building_electricity_readings", silver.clean_building_readings(building)),
+                save("silver", "silver_nmi_electricity_readings", silver.clean_nmi_readings(nmi)),
+                save("silver", "silver_submeter_electricity_readings", silver.clean_submeter_readings(submeter)),
+            ]
+            hourly = save("gold", "gold_hourly_electricity_usage", usage.hourly_usage(*silver_tables))
+            save("gold", "gold_daily_electricity_usage", usage.daily_usage(hourly))
+            save("gold", "gold_peak_demand", usage.peak_demand(silver_tables[1]))
+            save("reference", "reference_emissions_factors", self.factors)
+            save("reference", "reference_grid_carbon_intensity_hourly", self.intensity)
+            counted = layers.table_inventory(self.spark, own)
+            layer = F.split("schema_name", "_")[0].alias("schema_name")
+            return self.store(counted.select(layer, "table_name", "row_count"), "inventory")
+
+    def described(self) -> DataFrame:
+        with self.own_databases("gold") as own:
+            table = f"{own[0]}.gold_hourly_electricity_usage"
+            layers.write_layer(self.hourly, table, root=self.run_folder)
+            found = layers.describe_table(self.spark, table, own)
+            name = F.concat(F.lit("gold."), F.element_at(F.split("table_name", "[.]"), 2))
+            return found.withColumn("table_name", name)
+
+    def registered(self) -> DataFrame:
+        with self.own_databases("reference") as own:
+            table = "reference_grid_carbon_intensity_hourly"
+            checked = reference.validate_grid_intensity(self.stored_intensity)
+            stored = reference.register_reference(checked, table, stamp=True, root=self.run_folder, layer=own[0])
+            return stored.select(
+                "region_code", "interval_start_hour", F.col("ingested_at").isNotNull().alias("has_load_time")
+            )
+
+    def ingested(self) -> DataFrame:
+        """The load summary of the feeds, written as CSV files and loaded; some records are spoilt on the way."""
+        feeds = {"building_consumption": self.bronze_building, "nmi_consumption": self.bronze_nmi}
+        spoilt = F.when(F.col("meter_id") == 7, "7?").otherwise(F.col("meter_id").cast("string"))
+        for name, frame in feeds.items():
+            frame.withColumn("meter_id", spoilt).write.csv(f"{self.run_folder}/raw/{name}.csv", header=True)
+        with self.own_databases("bronze") as own:
+            summary = raw.ingest_bronze(
+                self.spark, f"{self.run_folder}/raw", raw.FEED_SCHEMAS, root=self.run_folder,
+                max_bad_records=2**40, layer=own[0],
+            )
+            return self.store(summary.drop("source_path"), "summary")
+
+    def csv_file(self, df: DataFrame, name: str) -> str:
+        path = f"{self.run_folder}/{name}.csv"
+        df.write.csv(path, header=True, quoteAll=True)
+        return path
 
     @cached_property
     def gold(self) -> dict[str, DataFrame]:
         """The tables that the SQL files name, over one stored copy of the monthly usage."""
-        monthly = layers.store(self.monthly, f"{self.run_folder}/monthly_usage")
+        monthly = self.store(self.monthly, "monthly_usage")
         return {
             "gold_monthly_electricity_usage": monthly,
             "gold_electricity_emissions": emissions.emissions_monthly(monthly, self.factors),
@@ -259,25 +323,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             F.element_at(F.split("path", "/"), -1).alias("file_name"), "format"
         ),
         "read_raw": lambda t: t.table("events"),
-        "ingest_bronze": lambda t: raw.bronze_summary(t.all_tables).drop("source_path"),
-        "load_emissions_factors": lambda t: t.factors,
-        "load_grid_intensity": lambda t: t.intensity,
+        "ingest_bronze": lambda t: t.ingested(),
+        "load_emissions_factors": lambda t: reference.load_emissions_factors(
+            t.spark, t.csv_file(feed.factor_text_feed(t.table("supplier")), "factors")
+        ),
+        "load_grid_intensity": lambda t: reference.load_grid_intensity(
+            t.spark, t.csv_file(feed.intensity_text_feed(t.events), "intensity_feed")
+        ),
         "validate_grid_intensity": lambda t: reference.grid_intensity_problems(t.dirty_intensity),
-        "register_reference": lambda t: reference.validate_grid_intensity(t.intensity)
-        .withColumn("ingested_at", F.current_timestamp())
-        .select("region_code", "interval_start_hour", F.col("ingested_at").isNotNull().alias("has_load_time")),
+        "register_reference": lambda t: t.registered(),
         "write_layer": lambda t: t.layer_table(),
-        "table_inventory": lambda t: layers.row_counts(t.layer_frames),
-        "layer_row_funnel": lambda t: layers.layer_row_funnel(layers.row_counts(t.layer_frames)),
-        "describe_table": lambda t: layers.describe_frame(t.hourly, "gold.gold_hourly_electricity_usage").drop(
-            "nullable"
-        ),
+        "table_inventory": lambda t: t.layer_inventory(),
+        "layer_row_funnel": lambda t: layers.layer_row_funnel(t.layer_inventory()),
+        "describe_table": lambda t: t.described(),
         # silver
         "clean_building_readings": lambda t: t.building,
         "clean_nmi_readings": lambda t: t.nmi,
         "clean_submeter_readings": lambda t: t.submeter,
-        "clean_readings": lambda t: layers.row_counts(
-            {key: frame for key, frame in t.layer_frames.items() if key[0] == "silver"}
+        "clean_readings": lambda t: silver.clean_readings(
+            t.bronze_weather,
+            {
+                "campus_id": F.col("campus_id"), "hour": floor_to_hour("timestamp"),
+                "consumption": F.col("relative_humidity"), "air_temperature": F.col("air_temperature"),
+            },
+            ["campus_id", "hour"], ["consumption", "air_temperature"], "weather_data",
         ),
         # gold
         "hourly_usage": lambda t: t.hourly,
@@ -287,7 +356,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "emissions_monthly": lambda t: t.emissions,
         "emissions_monthly_stats": lambda t: emissions.emissions_monthly_stats(t.emissions, t.factors),
         "emissions_time_varying": lambda t: t.time_varying,
-        "emissions_match_stats": lambda t: emissions.emissions_match_stats(t.time_varying, t.intensity),
+        "emissions_match_stats": lambda t: emissions.emissions_match_stats(t.time_varying, t.stored_intensity),
         "reconcile_daily": lambda t: t.recon_daily,
         "reconcile_monthly": lambda t: t.recon_monthly,
         "hourly_weather": lambda t: t.weather,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import partial
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +21,10 @@ from gridmill.operators.reconcile import reconcile_daily, reconcile_monthly
 from gridmill.operators.scenarios import event_response_scenarios, shift_scenarios
 from gridmill.operators.silver import clean_building_readings, clean_nmi_readings, clean_submeter_readings
 from gridmill.operators.usage import daily_usage, hourly_usage, monthly_usage, peak_demand
-from gridmill.session import shared_folder
+from gridmill.session import run_folder
 from gridmill.sources.layers import store, table_inventory, write_layer
-from gridmill.sources.reference import register_reference
+from gridmill.sources.raw import BRONZE_METADATA, FEED_SCHEMAS, ingest_bronze
+from gridmill.sources.reference import load_emissions_factors, load_grid_intensity, register_reference
 
 
 def build_silver(
@@ -89,13 +89,39 @@ def build_all(
         intensity, "reference_grid_carbon_intensity_hourly", stamp=True, root=root
     )
     emissions = save(emissions_monthly(monthly, factors), "gold.gold_electricity_emissions")
+    by_month = {"partition_by": ["usage_month"], "sort_by": ["usage_hour"]}
+    varying = emissions_time_varying(hourly, emissions, intensity, region_code)
     save(
-        emissions_time_varying(hourly, emissions, intensity, region_code),
+        varying.withColumn("usage_month", month_start("usage_hour")),
         "gold.gold_hourly_time_varying_emissions",
+        **by_month,
     )
     # Stored first, so that the planner knows how small it is before it lays out the large side.
-    by_hour = store(hourly_weather(weather), f"{shared_folder(spark)}/gridmill/{uuid4().hex}/hourly_weather")
-    save(weather_baseline(hourly, by_hour), "gold.gold_weather_normalized_usage")
+    by_hour = store(hourly_weather(weather), f"{run_folder(spark, 'build')}/hourly_weather")
+    scored = weather_baseline(hourly, by_hour)
+    save(scored.withColumn("usage_month", month_start("usage_hour")), "gold.gold_weather_normalized_usage", **by_month)
     save(shift_scenarios(hourly, **(shift or {})), "gold.gold_peak_shift_simulation")
     save(event_response_scenarios(hourly, **(event or {})), "gold.gold_demand_response_simulation")
     return table_inventory(spark)
+
+
+def build_from_raw(
+    spark: SparkSession,
+    raw_dir: str,
+    factors_path: str,
+    intensity_path: str,
+    max_bad_records: int = 0,
+    root: str | None = None,
+    **options,
+) -> DataFrame:
+    """From a folder of raw files and two reference files to all layers; returns the table inventory.
+
+    The folder has the feeds of ``FEED_SCHEMAS`` and the campus metadata by their names. ``options`` go to
+    ``build_all``.
+    """
+    ingest_bronze(spark, raw_dir, FEED_SCHEMAS, root=root, max_bad_records=max_bad_records)
+    feeds = [spark.table(f"bronze.{name}") for name in FEED_SCHEMAS]
+    campus_meta = spark.table(f"bronze.{BRONZE_METADATA}")
+    factors = load_emissions_factors(spark, factors_path)
+    intensity = load_grid_intensity(spark, intensity_path)
+    return build_all(spark, *feeds, campus_meta, factors, intensity, root=root, **options)

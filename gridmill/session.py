@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from uuid import uuid4
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -41,3 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridmill-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of one run's own in the shared folder; Hadoop deletes it when the driver ends."""
+    folder = f"{shared_folder(spark)}/gridmill/{name}-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

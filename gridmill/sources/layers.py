@@ -115,10 +115,10 @@ def describe_frame(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def describe_table(spark: SparkSession, table: str) -> DataFrame:
+def describe_table(spark: SparkSession, table: str, layers: Sequence[str] = LAYERS) -> DataFrame:
     """Columns and row count of one stored layer table; other names are refused."""
     layer = table.split(".")[0]
-    stored = spark.catalog.listTables(layer) if layer in LAYERS and spark.catalog.databaseExists(layer) else []
+    stored = spark.catalog.listTables(layer) if layer in layers and spark.catalog.databaseExists(layer) else []
     known = sorted(f"{layer}.{t.name}" for t in stored if not t.isTemporary)
     if table not in known:
         raise ValueError(f"No layer table {table!r}; {layer} has: {', '.join(known) or 'none'}")

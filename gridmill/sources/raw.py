@@ -28,6 +28,8 @@ FEED_SCHEMAS = {
     "air_temperature double, dew_point_temperature double, relative_humidity double, wind_speed string, "
     "wind_direction string",
 }
+# Fixed value: the table of campuses that the quality checks refer to.
+BRONZE_METADATA = "bronze_campus_meta"
 
 
 def discover_sources(spark: SparkSession, raw_dir: str) -> DataFrame:

@@ -128,8 +128,10 @@ def load_grid_intensity(spark: SparkSession, path: str) -> DataFrame:
     return validate_grid_intensity(parse_grid_intensity(raw))
 
 
-def register_reference(df: DataFrame, table: str, stamp: bool = False, root: str | None = None) -> DataFrame:
-    """Store a reference frame as a table of the ``reference`` layer, with the load time if asked."""
+def register_reference(
+    df: DataFrame, table: str, stamp: bool = False, root: str | None = None, layer: str = "reference"
+) -> DataFrame:
+    """Store a reference frame as a table of its layer, with the load time if asked."""
     if stamp:
         df = df.withColumn("ingested_at", F.current_timestamp())
-    return write_layer(df, f"reference.{table}", root=root)
+    return write_layer(df, f"{layer}.{table}", root=root)

@@ -378,7 +378,7 @@ def _profile(table: str, listed: str, source: str) -> str:
 def _describe(table: str, listed: str, source: str) -> str:
     rows = ", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kind) in enumerate(_columns(listed), start=1))
     return (
-        f"SELECT '{table}' AS table_name, (SELECT count(*) FROM {source}) AS row_count, v.* "
+        f"SELECT '{table}' AS table_name, (SELECT count(*) FROM {source}) AS row_count, TRUE AS nullable, v.* "
         f"FROM (VALUES {rows}) v(column_position, column_name, data_type)"
     )
 
@@ -505,10 +505,10 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             f"SELECT '{table}.parquet' AS file_name, 'parquet' AS format" for table in TABLE_SCHEMAS
         ),
         "read_raw": plain("SELECT * FROM events", "value"),
-        "ingest_bronze": " UNION ALL ".join(
-            f"SELECT 'bronze.bronze_{table}' AS table_name, count(*) AS row_count, "
-            f"{len(_columns(listed))} AS column_count FROM {table}"
-            for table, listed in TABLE_SCHEMAS.items()
+        "ingest_bronze": over_layers(
+            "SELECT 'bronze.bronze_building_consumption' AS table_name, count(*) AS row_count, 4 AS column_count, "
+            "count(*) FILTER (WHERE meter_id = 7) AS bad_record_count FROM bronze_building UNION ALL "
+            "SELECT 'bronze.bronze_nmi_consumption', count(*), 6, count(*) FILTER (WHERE meter_id = 7) FROM bronze_nmi"
         ),
         "load_emissions_factors": over_layers("SELECT * FROM factors", "emissions_factor_kg_co2e_per_kwh"),
         "load_grid_intensity": over_layers("SELECT * FROM intensity", "emissions_intensity_kg_co2e_per_kwh"),
@@ -534,7 +534,12 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
         "clean_submeter_readings": over_layers(
             "SELECT * FROM submeter", "consumption current voltage power power_factor"
         ),
-        "clean_readings": over_layers(_counts({k: v for k, v in LAYER_SOURCES.items() if k[0] == "silver"})),
+        "clean_readings": over_layers(
+            "SELECT campus_id, date_trunc('hour', ts) AS \"hour\", CAST(k AS DOUBLE) AS consumption, "
+            "CAST(15 + k % 10 AS DOUBLE) AS air_temperature, 'weather_data' AS source_system FROM bronze_weather "
+            "WHERE k >= 0 AND k % 13 <> 0 QUALIFY row_number() OVER (PARTITION BY campus_id, \"hour\" ORDER BY k) = 1",
+            "consumption air_temperature",
+        ),
         "hourly_usage": over_layers("SELECT * FROM hourly", "total_consumption"),
         "daily_usage": over_layers("SELECT * FROM daily", "total_consumption"),
         "monthly_usage": over_layers("SELECT * FROM monthly", "total_consumption"),
