@@ -10,10 +10,13 @@ Sets of word shingles are compared without comparing all pairs:
   maps, whose distance is never more than that of the sets.
 * Lists of frequent shingles are not read pair by pair; a node only meets the first node of its part of
   the list.
-* The nodes that met form clusters. A cluster is joined exactly in one task, or, if it is large, part by
-  part: the overlaps of a set with all others are derived from those of a highly similar set by adding and
-  taking away the lists of the few shingles in which the two differ. Sets that are linked already, directly
-  or over others, are not compared any more.
+* The nodes that met form clusters. A cluster is joined exactly in one task: the overlaps of a set with all
+  others are derived from those of a highly similar set by adding and taking away the lists of the few
+  shingles in which the two differ. Sets that are linked already, directly or over others, are not compared
+  any more.
+* The sets of a large cluster are compared with a few of its own first. Those that this links are one group;
+  a group is not compared with itself, so of a large group of near copies only the few sets that were not
+  linked meet all the others, part by part.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from gridmill.llm.words import mix, powers, split_words, window_hashes
 
 #: Shingles of a part of a cluster; a larger cluster is joined part by part.
 PART = 1 << 20
+#: How many of its own sets all sets of a large cluster are compared with first.
+PIVOTS = 4
 #: Most shingles that are treated as frequent, whatever the corpus; the order has no bearing on the result.
 FREQUENT = 100_000
 SHARED_TEXT = 8_000_000
@@ -210,11 +215,17 @@ def _bit_filter(rule: Rule):
     return run
 
 
-def join_cluster(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """For each set the index of the first set that it is linked with, directly or over others."""
+def join_cluster(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = None) -> np.ndarray:
+    """For each set the index of the first set that it is linked with, directly or over others.
+
+    Sets of equal ``groups`` are known to be linked.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     label = np.arange(m)
+    if groups is not None:
+        _, first_of, group = np.unique(groups, return_index=True, return_inverse=True)
+        label = first_of[group]
     owner = np.repeat(np.arange(m), sizes)
     tokens, of = np.unique(np.concatenate(sets), return_inverse=True)
     lists = np.bincount(of, minlength=len(tokens))
@@ -258,31 +269,56 @@ def join_cluster(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
 def _join_clusters(rule: Rule):
     """Links from clusters that arrive sorted by cluster and part."""
 
-    def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        label = join_cluster(sets, rule) if len(sets) > 1 else np.zeros(len(sets), int)
+    def links(nodes: list[int], groups: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        label = join_cluster(sets, rule, groups) if len(sets) > 1 else np.zeros(len(sets), int)
         return [(nodes[i], nodes[k]) for i, k in enumerate(label.tolist()) if i != k]
 
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        u, v = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, found = None, [], [], []
+        key, nodes, groups, sets, found = None, [], [], [], []
         for batch in batches:
-            keys = zip(*[batch.column(c).to_pylist() for c in ("cluster", "low", "high")])
-            tokens = batch.column("tokens")
-            flat = tokens.flatten().to_numpy().view(np.uint64)
-            ends = np.cumsum([0, *tokens.value_lengths().to_pylist()])
-            for i, (own, node) in enumerate(zip(keys, batch.column("node").to_pylist())):
+            flat, ends = _flat(batch.column("tokens"))
+            rows = zip(*[batch.column(c).to_pylist() for c in ("pair", "node", "group")])
+            for i, (own, node, group) in enumerate(rows):
                 if own != key:
-                    found += links(nodes, sets)
-                    key, nodes, sets = own, [], []
+                    found += links(nodes, groups, sets)
+                    key, nodes, groups, sets = own, [], [], []
                 nodes.append(node)
+                groups.append(group)
                 sets.append(flat[ends[i] : ends[i + 1]].copy())
             if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                yield batch_of(found)
                 found = []
-        found += links(nodes, sets)
+        found = links(nodes, groups, sets)
         if found:
-            u, v = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            yield batch_of(found)
+
+    return run
+
+
+def _flat(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a column of sets, and where each set starts in them."""
+    lengths = tokens.value_lengths().to_numpy()
+    return tokens.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _test_pivots(rule: Rule):
+    """Links between sets and the pivots of their clusters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at = _flat(batch.column("tokens"))
+            pivot, pivot_at = _flat(batch.column("pivot_tokens"))
+            x, y = np.diff(at), np.diff(pivot_at)
+            both = np.array([
+                len(np.intersect1d(own[at[i] : at[i + 1]], pivot[pivot_at[i] : pivot_at[i + 1]], assume_unique=True))
+                for i in range(len(x))
+            ], np.int64)
+            linked = pa.array(100 * both >= rule.percent * (x + y - both))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivot")], ["u", "v"]).filter(linked)
 
     return run
 
@@ -299,7 +335,7 @@ def _wanted_sets(size: int):
                 if right:
                     ends = np.cumsum([0, *(len(sets[i]) for i in right)], dtype=np.int32)
                     flat = np.concatenate([sets[i] for i in right]).astype(np.int64)
-                    rows = part.select(["cluster", "part", "parts", "node"]).take(pa.array(right))
+                    rows = part.select(["cluster", "parts", "node"]).take(pa.array(right))
                     tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([*rows.columns, tokens], [*rows.schema.names, "tokens"])
 
@@ -409,27 +445,69 @@ def _links(
     """Links (u, v) that connect exactly the nodes that are linked inside each cluster."""
     sized = clusters.join(nodes.select("node", "n", "a", "b"), "node")
     totals = sized.groupBy("component").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
-    placed = sized.join(totals, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # The document to read a node's set from: any row of the class, with an id if there is one.
     row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key")
     source = rows.where("n > 0").groupBy("a", "b").agg(F.min(row).alias("row"))
-    wanted = placed.join(source, ["a", "b"]).select(
-        F.col("component").alias("cluster"), "part", "parts", "node", "a", "b",
+    wanted = sized.join(totals, "component").join(source, ["a", "b"]).select(
+        F.col("component").alias("cluster"), "parts", "node", "a", "b",
         F.col("row.doc_id").alias("wanted_id"), F.col("row.text_key").alias("wanted_key"),
     )
     wanted = scratch.store(wanted, "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_key") == F.col("wanted_key"))
     likely = likely_rows(texts, wanted.select(F.col("wanted_id").alias("doc_id"), F.col("wanted_key").alias("text_key")))
-    found = (
+    sets = (
         likely.join(wanted, same)
-        .select("text", "cluster", "part", "parts", "node", "a", "b")
-        .mapInArrow(_wanted_sets(rule.size), "cluster bigint, part int, parts int, node bigint, tokens array<bigint>")
-    )
-    spread = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "tokens"
-    )
-    return (
-        spread.repartition("cluster", "low", "high")
-        .sortWithinPartitions("cluster", "low", "high", "node")
-        .mapInArrow(_join_clusters(rule), "u bigint, v bigint")
+        .select("text", "cluster", "parts", "node", "a", "b")
+        .mapInArrow(_wanted_sets(rule.size), "cluster bigint, parts int, node bigint, tokens array<bigint>")
     )
+    sets = scratch.store(sets, "sets")
+    small = sets.where("parts = 1").select(F.col("cluster").alias("pair"), "node", F.col("node").alias("group"), "tokens")
+    large = sets.where("parts > 1")
+    if large.isEmpty():
+        return _compared(rule, small)
+    by_pivots = _pivot_links(rule, large, scratch)
+    return _compared(rule, small.unionByName(_pairs_of_parts(large, by_pivots, scratch))).unionByName(by_pivots)
+
+
+def _compared(rule: Rule, pairs: DataFrame) -> DataFrame:
+    in_pairs = pairs.repartition("pair").sortWithinPartitions("pair", "node")
+    return in_pairs.mapInArrow(_join_clusters(rule), "u bigint, v bigint")
+
+
+def _pivot_links(rule: Rule, large: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of the sets of large clusters with a few sets of their own, each new one not linked so far."""
+    links = None
+    for turn in range(PIVOTS):
+        free = large.select("cluster", "node")
+        if links is not None:
+            free = free.join(links.select(F.col("u").alias("node")), "node", "anti")
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"]
+        chosen = free.groupBy("cluster").agg(first.alias("pivot"))
+        tokens = large.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+        pivots = scratch.store(chosen.join(tokens, "pivot"), f"pivots{turn}")
+        tested = large.join(pivots, "cluster").select("node", "tokens", "pivot", "pivot_tokens")
+        found = scratch.store(tested.mapInArrow(_test_pivots(rule), "u bigint, v bigint"), f"pivot-links{turn}")
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
+def _pairs_of_parts(large: DataFrame, by_pivots: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sets of large clusters, once for each pair of parts in which they have to be compared."""
+    known = connected_components(by_pivots, scratch, "groups").withColumnRenamed("component", "group")
+    grouped = large.join(known, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = grouped.select("cluster", "group", "node", "tokens")
+    sums = grouped.groupBy("cluster", "group").agg(F.sum(F.size("tokens")).alias("total"))
+    sums = scratch.store(sums, "group-sums")
+    # A group that fills a part has parts of its own; all other sets of the cluster share theirs.
+    homes = sums.where(F.col("total") > PART).select("cluster", "group", F.col("group").alias("home"), F.ceil(F.col("total") / PART).alias("k"))
+    rest = sums.where(F.col("total") <= PART).groupBy("cluster").agg(F.ceil(F.sum("total") / PART).alias("rest_k"))
+    placed = grouped.join(homes, ["cluster", "group"], "left").join(rest, "cluster", "left")
+    number = F.pmod(F.xxhash64("node"), F.coalesce("k", "rest_k"))
+    placed = placed.withColumn("part", F.xxhash64("cluster", F.coalesce("home", F.lit(-1)), number))
+    placed = scratch.store(placed.select("cluster", "home", "part", "node", "group", "tokens"), "placed")
+    parts = placed.select("cluster", "home", "part").distinct()
+    other = parts.toDF("cluster", "other_home", "other")
+    met = parts.join(other, "cluster").where("part <= other and (home is null or not home <=> other_home)")
+    met = met.select("part", "other", F.xxhash64("part", "other").alias("pair"))
+    both = met.select("part", "pair").unionByName(met.select(F.col("other").alias("part"), "pair")).distinct()
+    return placed.join(both, "part").select("pair", "node", "group", "tokens")

@@ -59,7 +59,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_components_equal_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(jj, "PART", 6000 if seed else jj.PART)  # the large group in several parts
+    monkeypatch.setattr(jj, "PART", [jj.PART, 6000, 900][seed])  # the large group in several parts
     texts = corpus(seed)
     result = jj.jaccard_components(documents(spark, texts).repartition(5))
     assert {tuple(r) for r in result.collect()} == brute(texts)
@@ -167,3 +167,12 @@ def test_dropping_awkward_rows(spark):
     assert sum((r.text or "").startswith("same") for r in rows) == 1
     assert sum(not WORDS.search(r.text or "") for r in rows) >= 4
     assert jj.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_a_large_cluster_that_pivots_link_in_part(spark, monkeypatch):
+    monkeypatch.setattr(jj, "PART", 1500)
+    rnd = random.Random(12)
+    words = [f"v{i}" for i in range(100)]
+    texts = [*near_copies(rnd, words, 120, 6)] + [*near_copies(rnd, words[:50] + words[55:], 60, 2)]
+    rnd.shuffle(texts)
+    assert {tuple(r) for r in jj.jaccard_components(documents(spark, texts)).collect()} == brute(texts)
