@@ -5,63 +5,83 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from gridmill.functions import count_where, utc_from_instant, utc_from_nanoseconds, utc_from_text
+from gridmill.functions.bitmap import bit_map, rows_in_map
+from gridmill.session import run_folder
+from gridmill.sources.layers import store
 
 # Parts of a column name that suggest a time.
 TIME_NAME_PARTS = ("time", "date", "timestamp", "datetime")
 
 
+def _repeated_hashes(hashed: DataFrame) -> DataFrame:
+    """The 64-bit row hashes that occur more than once, stored."""
+    counts = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_row_hash")
+    return store(counts, f"{run_folder(hashed.sparkSession, 'profile')}/hashes")
+
+
+def _repeats(hashed: DataFrame, columns: list[Column], repeated: DataFrame) -> DataFrame:
+    """Rows that may be equal to others, folded by their full values, which settles equal hashes exactly."""
+    likely = rows_in_map(hashed, F.col("_row_hash"), bit_map(F.col("_row_hash"), repeated))
+    folded = likely.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("_repeats"))
+    return folded.agg(F.coalesce(F.sum("_repeats"), F.lit(0).cast("long")).alias("duplicate_count"))
+
+
+def _hashed(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    return df.withColumn("_row_hash", F.xxhash64(*columns)), columns
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier equal row.
 
-    Rows are first counted by a 64-bit hash, so that what crosses the network is a number per row
-    and not a row of text. Only rows whose hash occurs more than once can be equal; those alone are
-    folded by their full values, which settles hash collisions exactly. Both counts combine on the
-    map side, so copies of one row that fill a third of the table arrive as one row per task.
+    The table is read twice. The first pass counts 64-bit row hashes, so that a number per row crosses the
+    network and not a row of text, and stores those that repeat. The second reads only rows whose hash is in a
+    map of them, before any shuffle, and folds equal ones; both counts combine on the map side, so copies of
+    one row that fill a third of the table arrive as one row per task.
     """
-    columns = [F.col(f"`{name}`") for name in df.columns]
-    hashed = df.withColumn("_row_hash", F.xxhash64(*columns))
-    shared = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_row_hash")
-    folded = (
-        hashed.join(shared, "_row_hash", "left_semi").groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("_repeats"))
-    )
-    return folded.agg(F.coalesce(F.sum("_repeats"), F.lit(0).cast("long")).alias("duplicate_count"))
+    hashed, columns = _hashed(df)
+    return _repeats(hashed, columns, _repeated_hashes(hashed))
 
 
 def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """One row per column: type and missing values, with the row and repeat counts of the table."""
+    """One row per column: type and missing values, with the row and repeat counts of the table.
+
+    The row and missing counts are observed in the pass that counts row hashes; see ``duplicate_count``.
+    """
     fields = df.schema.fields
-    totals = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[
-            count_where(_missing(field.name, field.dataType)).alias(f"_nulls_{i}")
-            for i, field in enumerate(fields)
-        ],
-    )
-    columns = F.array(
+    hashed, columns = _hashed(df)
+    seen = Observation()
+    nulls = [count_where(_missing(f.name, f.dataType)).alias(f"_nulls_{i}") for i, f in enumerate(fields)]
+    observed = hashed.observe(seen, F.count(F.lit(1)).alias("_rows"), *nulls)
+    repeated = _repeated_hashes(observed)
+    # Spark drops an observation with a plan that turns out to be empty.
+    counts = dict.fromkeys(["_rows", *[f"_nulls_{i}" for i in range(len(fields))]], 0) if df.isEmpty() else seen.get
+    facts = F.array(
         *[
             F.struct(
                 F.lit(field.name).alias("column_name"),
                 F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.col(f"_nulls_{i}").alias("null_count"),
+                F.lit(counts[f"_nulls_{i}"]).cast("long").alias("null_count"),
             )
             for i, field in enumerate(fields)
         ]
     )
-    rows = F.col("row_count")
-    return totals.select(F.col("_rows").alias("row_count"), F.inline(columns)).select(
+    rows = F.lit(counts["_rows"]).cast("long")
+    listed = _repeats(hashed, columns, repeated).select("duplicate_count", F.inline(facts))
+    return listed.select(
         F.lit(name).alias("table_name"),
         "column_name",
         "data_type",
-        "row_count",
+        rows.alias("row_count"),
         F.lit(len(fields)).alias("column_count"),
-        duplicate_count(df).scalar().alias("duplicate_count"),
+        "duplicate_count",
         "null_count",
-        F.when(rows > 0, F.col("null_count") / rows).otherwise(0.0).alias("null_rate"),
+        F.when(rows > 0, F.try_divide(F.col("null_count"), rows)).otherwise(0.0).alias("null_rate"),
     )
 
 

@@ -180,7 +180,7 @@ def ingest_bronze(
             seen = Observation()
             counted = frame.observe(seen, F.count(BAD_RECORD).alias("n")).drop(BAD_RECORD)
             written[name] = (path, write_layer(counted, f"{layer}.{name}", root=root))
-            bad[name] = seen.get["n"]
+            bad[name] = 0 if frame.isEmpty() else seen.get["n"]
         else:
             written[name] = (path, write_layer(frame, f"{layer}.{name}", root=root))
         if bad[name] > max_bad_records:
