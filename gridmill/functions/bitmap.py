@@ -32,3 +32,14 @@ def rows_in_map(rows: DataFrame, hashes: Column, marked: DataFrame) -> DataFrame
         F.broadcast(marked.withColumnRenamed("word", "_word")), "_word"
     )
     return tested.where(F.getbit("marks", F.col("_place")) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def split_by_map(rows: DataFrame, hashes: Column, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash is in the map, and all others; only the first may have a key of the set."""
+    word, place = _bit(hashes)
+    tested = rows.withColumns({"_word": word, "_place": place}).join(
+        F.broadcast(marked.withColumnRenamed("word", "_word")), "_word", "left"
+    )
+    inside = F.coalesce(F.getbit("marks", F.col("_place")) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return tested.where(inside).select(*columns), tested.where(~inside).select(*columns)
