@@ -32,7 +32,7 @@ try:
 except ImportError:  # the training-data operators are an optional part
     llm_queries = corpus_pipeline = None
 
-# Some of the six campuses and two of the three sources, so that a report that ignored its selection would show.
+# Some of the five campuses and two of the three sources, so that a report that ignored its selection would show.
 CAMPUSES = [2, 5]
 SOURCES = [SOURCE_SYSTEMS[0], SOURCE_SYSTEMS[2]]
 EVENT = {"event_date": "2024-01-15", "start_hour": 15, "end_hour": 18}

@@ -10,30 +10,30 @@ from event_feed import TABLE_SCHEMAS
 
 LAYERS = r"""
 spread_events AS (
-  SELECT * REPLACE (ts + to_months(CAST(CASE WHEN event_id % 11 = 0 THEN -114 ELSE event_id % 4 END AS INTEGER)) AS ts)
+  SELECT * REPLACE (ts + to_months(CAST(CASE WHEN event_id % 11 = 0 THEN -114 WHEN event_id % 4 = 1 THEN 1 WHEN event_id % 12 = 3 THEN 2 ELSE 0 END AS INTEGER)) AS ts)
   FROM events
 ),
 bronze_building AS (
-  SELECT 1 + user_id % 6 AS campus_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id,
+  SELECT CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 + (user_id >> 1) % 5 END AS campus_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id,
          time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption
   FROM spread_events WHERE event_type IN ('view', 'signup')
 ),
 bronze_nmi AS (
-  SELECT CASE WHEN event_id % 101 = 0 THEN 'N/A' ELSE CAST(1 + user_id % 6 AS VARCHAR) END AS campus_id,
+  SELECT CASE WHEN event_id % 101 = 0 THEN 'N/A' ELSE CAST(CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 + (user_id >> 1) % 5 END AS VARCHAR) END AS campus_id,
          CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS meter_id, time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption
   FROM spread_events WHERE event_type = 'purchase'
 ),
 bronze_submeter AS (
-  SELECT 1 + user_id % 6 AS campus_id, user_id % 8 AS building_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS id,
+  SELECT CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 + (user_id >> 1) % 5 END AS campus_id, user_id % 8 AS building_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS id,
          time_bucket(INTERVAL '15 minutes', ts) AS "timestamp",
          CASE WHEN event_id % 97 <> 0 THEN round(value * 100) - 100 END AS consumption,
          value / 240 AS "current", value AS power
   FROM spread_events WHERE event_type = 'click'
 ),
 bronze_weather AS (
-  SELECT 1 + user_id % 6 AS campus_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  SELECT CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 + (user_id >> 1) % 5 END AS campus_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM spread_events WHERE event_type = 'error'
 ),
 building AS (
