@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.functions.bitmap import bit_map, rows_in_map, split_by_map
 from gridmill.llm.scratch import Scratch
 
 #: A group is hot above this share of the rows, so there are fewer hot groups than its inverse.
 HOT_SHARE = 0.001
-#: Bits of the map that tells which rows a join may want.
-MAP_BITS = 1 << 24
 
 
 def join_group_facts(rows: DataFrame, n_rows: int, groups: DataFrame, key: Sequence[str], size: str) -> DataFrame:
@@ -73,20 +72,19 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     if not gone.join(stays, as_kept, "semi").isEmpty():
         rows = rows.groupBy("doc_id", "raw").agg(F.any_value("document").alias("document"))
         gone = gone.join(stays, as_kept, "anti")
-    same = rows.doc_id.eqNullSafe(gone.gone_id) & (rows.raw == gone.gone_raw)
-    return rows.join(gone, same, "anti").select("document.*")
+    # Only rows that may be gone take part in the join; the texts of all others are not shuffled.
+    marked = bit_map(F.xxhash64("gone_id", "gone_raw"), gone)
+    maybe, others = split_by_map(rows, F.xxhash64("doc_id", "raw"), marked)
+    same = maybe.doc_id.eqNullSafe(gone.gone_id) & (maybe.raw == gone.gone_raw)
+    return maybe.join(gone, same, "anti").unionByName(others).select("document.*")
 
 
 def likely_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose (doc_id, text_key) may be in ``wanted``: all that are, and few others.
 
-    For joins that want few of many long texts: the others need not be shuffled. The map of hashed keys has
-    ``MAP_BITS`` bits whatever the input, which bounds its broadcast to ``MAP_BITS / 64`` rows; with many more
-    keys than that it lets more rows pass, and the join after it decides as before.
+    For joins that want few of many long texts: the others need not be shuffled. The map behind it has a
+    fixed size; with very many keys it lets more rows pass, and the join after it decides as before.
     """
-    bit = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(MAP_BITS))
-    word, place = F.floor(bit / 64), F.pmod(bit, F.lit(64)).cast("int")
-    marked = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("mark"))
-    words = marked.groupBy("word").agg(F.bit_or("mark").alias("marks"))
-    tested = rows.withColumn("word", word).join(F.broadcast(words), "word")
-    return tested.where(F.getbit("marks", place) == 1).select(*rows.columns)
+    key = F.xxhash64("doc_id", "text_key")
+    return rows_in_map(rows, key, bit_map(key, wanted))
+

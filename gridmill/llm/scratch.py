@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.session import shared_folder
+from gridmill.session import run_folder
 from gridmill.sources.layers import store
 
 
 class Scratch:
-    """Tables of one run under ``spark.checkpoint.dir``; Hadoop deletes them when the driver ends.
+    """Tables of one run under ``spark.checkpoint.dir``; they are deleted when the driver ends.
 
     Storing a step ends its lineage: a lost executor costs what it ran, not the steps before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.root = f"{shared_folder(spark)}/gridmill-llm/{name}-{uuid4().hex}"
-        self._jvm = spark._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._files.deleteOnExit(self._path(self.root))
+        self.root = run_folder(spark, name)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         return store(df, f"{self.root}/{name}")
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        self._files.delete(self._path(f"{self.root}/{name}"), True)

@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.functions.bitmap import bit_map, split_by_map
+from gridmill.llm.grouping import likely_rows
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.scratch import Scratch
 from gridmill.llm.words import Words, mix, rolling_hashes, split_words, text_bytes
@@ -285,8 +287,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, gram: int = 20) -> D
     matched = scratch.store(sorted_suffixes.mapInArrow(_neighbours, MATCHED), "matched")
     place = F.struct("at", "settled", "copied", "copy_of")
     by_text = matched.groupBy("doc_id", "text_key").agg(F.collect_set(place).alias("places"))
-    same = texts.doc_id.eqNullSafe(by_text.doc_id) & (texts.text_key == by_text.text_key)
-    held = texts.join(by_text, same).select(texts.doc_id, texts.text_key, "text", "places")
+    likely = likely_rows(texts, matched.select("doc_id", "text_key").distinct())
+    same = likely.doc_id.eqNullSafe(by_text.doc_id) & (likely.text_key == by_text.text_key)
+    held = likely.join(by_text, same).select(likely.doc_id, likely.text_key, "text", "places")
     stretches = scratch.store(held.mapInArrow(_stretches(rule), STRETCHES), "stretches")
     looked_up = (
         stretches.where("hash is not null").repartition("hash").sortWithinPartitions("hash", "doc_id", "text_key", "low")
@@ -339,8 +342,11 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 20) -> Data
         F.struct("*").alias("document"), F.col("doc_id").cast("bigint").alias("cut_id_of"),
         F.xxhash64(text).alias("key_of"), text.alias("whole"),
     )
+    # Only rows that may have cuts take part in the join; the texts of all others are not shuffled.
+    marked = bit_map(F.xxhash64("doc_id", "text_key"), found.select("doc_id", "text_key").distinct())
+    maybe, others = split_by_map(rows, F.xxhash64("cut_id_of", "key_of"), marked)
     same = F.col("cut_id_of").eqNullSafe(F.col("cut_id")) & (F.col("key_of") == F.col("cut_key"))
-    joined = rows.join(cuts, same, "left")
+    joined = maybe.join(cuts, same, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,6 +361,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 20) -> Data
 
     document = joined.select("document", F.lit(None).cast("string").alias("left")).schema
     cut = joined.select("document", "whole", "cuts").mapInArrow(run, document)
+    cut = cut.unionByName(others.select("document", F.lit(None).cast("string").alias("left")))
     changed = {"text": F.coalesce("left", "document.text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
