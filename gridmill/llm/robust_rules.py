@@ -1,14 +1,17 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Base rules look at one document. The method then fits, for each language and source, the mean and the
-covariance of transformed statistics on the most central part of the documents (minimum covariance
-determinant by concentration steps) and rejects those whose Mahalanobis distance is too large. Means and
+covariance of transformed statistics on the most central half of the documents (minimum covariance
+determinant by concentration steps) and rejects those whose Mahalanobis distance is too large. Copies of a
+text count once in the fit, so that one group of them cannot take the place of the others. Means and
 covariances are sums that combine before the shuffle. Quantiles are read from counts of fixed-width
 buckets, which combine, too, so a source with a third of all rows costs no task more than another.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +30,45 @@ PRIOR = 50
 BUCKETS = 32
 
 
+def chi_square(x: float, p: int) -> float:
+    """The chi-square distribution function with ``p`` degrees of freedom."""
+    k = 2 - p % 2
+    below = math.erf(math.sqrt(x / 2)) if k == 1 else -math.expm1(-x / 2)
+    for df in range(k, p, 2):
+        below -= (x / 2) ** (df / 2) * math.exp(-x / 2) / math.gamma(df / 2 + 1)
+    return below
+
+
+def chi_square_quantile(share: float, p: int) -> float:
+    low, high = 0.0, 1.0
+    while chi_square(high, p) < share:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, p) < share else (low, middle)
+    return high
+
+
+def consistency(central: float, p: int) -> float:
+    """What makes up for the covariance of the ``central`` part of normal data of ``p`` statistics being too small."""
+    return central / chi_square(chi_square_quantile(central, p), p + 2) if central < 1 else 1.0
+
+
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of the base rules; ``n_capitals`` and ``n_lines`` besides."""
+    """doc_id, lang, source and the counts of the base rules; ``n_capitals``, ``n_lines`` and the text's hash ``raw`` besides."""
     text = F.coalesce("text", F.lit(""))
     split = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
+        F.xxhash64(text).alias("raw"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("bigint").alias("n_capitals"),
         F.array_remove(F.split(text, SPACE), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"),
     )
     counted = split.select(
-        "doc_id", "lang", "source", "n_symbols", "n_capitals",
+        "doc_id", "lang", "source", "raw", "n_symbols", "n_capitals",
         F.size("words").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.size("lines").cast("bigint").alias("n_lines"),
@@ -98,7 +126,7 @@ def _middle(values: DataFrame) -> DataFrame:
 
 def _cells(stats: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """Adds ``cell``: language and source, or where those have few rows to fit on, the language, or all."""
-    fits = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
+    fits = F.count_distinct(F.when(~F.col("base_failed"), F.col("raw")))
     groups = scratch.store(stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"), fits.alias("fits")), "groups")
     rest = groups.where(F.col("fits") < least).groupBy("lang").agg(F.sum("fits").alias("rest_fits"))
     cell = (
@@ -146,19 +174,18 @@ def robust_rules(
     docs: DataFrame,
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    central: float = 0.75,
+    central: float = 0.5,
     steps: int = 3,
-    scale: float = 1.5,
     cutoff: float = 40.0,
     least: int = 100,
 ) -> DataFrame:
     """The base counts of every document, whether it fails a base rule, its distance and whether it is kept.
 
     Base rules: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of the words in 8-word
-    windows that occur twice or more. ``central`` is the part of each cell the covariance is fitted on,
-    ``steps`` the number of concentration steps, ``scale`` makes up for the part left out, ``cutoff`` is the largest
-    squared distance that is kept. A language and source with fewer than ``least`` documents to fit on is
-    taken together with the other such sources of the language. Null text, language or source count as
+    windows that occur twice or more. ``central`` is the part of each cell the covariance is fitted on (with a
+    half, nearly as many may be junk), ``steps`` the number of concentration steps, ``cutoff`` the largest squared
+    distance that is kept. The covariance is multiplied by what makes up for the part left out in normal data. A
+    language and source with fewer than ``least`` different texts to fit on is taken together with the other such sources of the language. Null text, language or source count as
     empty; an empty text fails the base rules; equal rows are judged alike; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "robust-rules")
@@ -166,8 +193,8 @@ def robust_rules(
     stats = statistic_vector(base_statistics(docs).withColumn("base_failed", failed))
     stats = scratch.store(stats.withColumn("values", F.array(*VECTOR)).drop(*VECTOR), "stats")
     stats = scratch.store(_cells(stats, least, scratch), "in_cells")
-    fit = stats.where("not base_failed").select("cell", "values")
-    n_rows = stats.count()
+    fit = scratch.store(stats.where("not base_failed").select("cell", "raw", "values").distinct().drop("raw"), "fit")
+    n_rows, scale = stats.count(), consistency(central, len(VECTOR))
     sizes = stats.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
 
     def with_facts(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 import re
 from collections import Counter
+from statistics import NormalDist
 
 import pytest
 
-from gridmill.llm.robust_rules import base_statistics, robust_rules
+from gridmill.llm.robust_rules import base_statistics, chi_square_quantile, consistency, robust_rules
 
 from .cases import DOCS, TEXTS, awkward, documents, empty
 
@@ -64,6 +65,29 @@ def test_outliers_go_and_clean_documents_stay(spark, clean):
     assert all(result[1000 + i].kept for i in range(30))
 
 
+def starred(text, every=1):
+    return " ".join(w + "***" if i % every == 0 else w for i, w in enumerate(text.split()))
+
+
+@pytest.mark.parametrize("percent", [30, 40])
+def test_much_junk_goes(spark, clean, percent):
+    long = [t for t in clean if t.count(" ") > 100]
+    n = len(clean) * percent // (100 - percent)
+    bad = [starred(long[i % len(long)], 1 + i % 3) for i in range(n)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean + bad)]
+    kept = {r.doc_id for r in robust_rules(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
+    assert kept == set(range(len(clean)))
+
+
+@pytest.mark.parametrize("junk", [True, False])
+def test_copies_of_one_text_do_not_move_the_fit(spark, clean, junk):
+    long = next(t for t in clean if t.count(" ") > 250)
+    copies = [starred(long, 2) if junk else long] * (len(clean) // 2)
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean + copies)]
+    kept = {r.doc_id for r in robust_rules(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
+    assert kept == set(range(len(clean) if junk else len(rows)))
+
+
 def test_awkward_documents(spark):
     rows = robust_rules(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 4
@@ -74,3 +98,11 @@ def test_awkward_documents(spark):
 
 def test_empty_table(spark):
     assert robust_rules(empty(spark)).count() == 0
+
+
+def test_chi_square():
+    assert chi_square_quantile(0.999, 5) == pytest.approx(20.515, abs=1e-3)
+    assert chi_square_quantile(0.5, 6) == pytest.approx(5.348, abs=1e-3)
+    q = NormalDist().inv_cdf(0.75)
+    inner_variance = 1 - 4 * q * NormalDist().pdf(q)  # of a normal variable between its quartiles
+    assert consistency(1, 5) == 1 and consistency(0.5, 1) == pytest.approx(1 / inner_variance, rel=1e-6)
