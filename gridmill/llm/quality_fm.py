@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.pretokens import text_slices
-from gridmill.llm.words import split_words, text_bytes
+from gridmill.llm.words import hash_ranges, split_words, text_bytes
 
 WORD_BUCKETS = 1 << 14
 RANK = 4
@@ -66,6 +66,21 @@ def _repeat_share(doc: np.ndarray, keys: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(d[1:][again], minlength=n_docs) / np.maximum(np.bincount(doc, minlength=n_docs), 1)
 
 
+def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every line, in order, and a hash of its bytes; what follows the last line feed is a line, too."""
+    newline = np.flatnonzero(data == 10)
+    open_end = np.flatnonzero(at[1:] > at[:-1])
+    open_end = open_end[data[at[open_end + 1] - 1] != 10]
+    doc = np.concatenate([np.searchsorted(at, newline, "right") - 1, open_end])
+    stop = np.concatenate([newline, at[open_end + 1]])
+    order = np.lexsort((stop, doc))
+    doc, stop = doc[order], stop[order]
+    start = at[doc]
+    same = doc[1:] == doc[:-1]
+    start[1:][same] = stop[:-1][same] + 1
+    return doc, hash_ranges(data, start, stop, lower=False)
+
+
 def features(texts: pa.StringArray, recorded: np.ndarray) -> Rows:
     """Features of whole texts; ``recorded`` is the column n_chars, NaN where it is null."""
     n = len(texts)
@@ -87,9 +102,7 @@ def features(texts: pa.StringArray, recorded: np.ndarray) -> Rows:
         per_byte[name] = (sums[at[1:]] - sums[at[:-1]]) / n_bytes
     same_doc = words.doc[1:] == words.doc[:-1]
     pair = (words.hash[1:] * np.uint64(3) + words.hash[:-1])[same_doc]
-    newline = np.flatnonzero(data == 10)
-    line_doc = np.searchsorted(at, newline, "right") - 1
-    line_key = np.diff(np.concatenate([[0], newline]))  # lines of one length are taken as alike
+    line_doc, line_key = _lines(data, at)
     known = ~np.isnan(recorded)
     stats = {
         "no_words": (n_words == 0).astype(float),

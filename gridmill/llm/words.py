@@ -88,11 +88,11 @@ def split_words(texts: pa.StringArray, lower: bool = False) -> Words:
     start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     doc = np.searchsorted(at, start, "right") - 1
     counts = np.bincount(doc, minlength=len(texts))
-    return Words(doc, start - at[doc], stop - at[doc], _hashes(data, start, stop, lower), counts)
+    return Words(doc, start - at[doc], stop - at[doc], hash_ranges(data, start, stop, lower), counts)
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
-    """A polynomial of the bytes of each word, worked out in blocks of about a megabyte of text."""
+def hash_ranges(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
+    """A polynomial of the bytes of each word or line, worked out in blocks of about a megabyte of text."""
     values, out = _values(lower), np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):

@@ -26,6 +26,23 @@ def test_identity_equals_the_sum_over_pairs():
         assert got[i] == pytest.approx(want, rel=1e-4)
 
 
+def test_lines_are_compared_by_their_bytes_within_a_text():
+    texts = ["a b", "", "\nab\ncd\nab", "ab\ncd\nef\n", "x\nx", "x\nx\n", "\n\n\n", "ab\ncdé\ncdé\nab ", "x"]
+
+    def brute(text):
+        lines = text.split("\n")[: None if text and text[-1] != "\n" else -1]
+        return sum(x in lines[:i] for i, x in enumerate(lines)) / max(len(lines), 1)
+
+    def shares(texts):
+        rows = fm.features(pa.array(texts), np.full(len(texts), np.nan))
+        return rows.value[rows.index == fm.WORD_BUCKETS + fm.STATISTICS.index("line_share")].tolist()
+
+    want = pytest.approx([brute(t) for t in texts])
+    assert shares(texts) == want
+    assert [shares([t])[0] for t in texts] == want
+    assert shares(texts[::-1])[::-1] == want
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rnd = random.Random(3)
