@@ -22,11 +22,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
-VECTOR = ["word_length", "symbols", "dup_lines", "repeats", "capitals"]
+VECTOR = ["word_length", "symbols", "dup_lines", "repeats", "capitals", "same_words"]
 #: Standard deviations that every statistic is granted, as many clean texts have none of a kind.
-FLOORS = [0.15, 0.25, 0.25, 0.25, 0.25]
-#: Pseudo-words that pull the statistics of short texts to the middle.
-PRIOR = 50
+FLOORS = [0.15, 0.25, 0.25, 0.25, 0.25, 0.15]
+#: Pseudo-words that pull the statistics of short texts to the middle: as many as the shortest text that passes has words.
+PRIOR = 20
 BUCKETS = 32
 
 
@@ -55,7 +55,8 @@ def consistency(central: float, p: int) -> float:
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of the base rules; ``n_capitals``, ``n_lines`` and the text's hash ``raw`` besides."""
+    """doc_id, lang, source and the counts of the base rules; besides ``n_capitals``, ``n_lines``,
+    ``n_word_pairs`` (pairs of places with one word) and the text's hash ``raw``."""
     text = F.coalesce("text", F.lit(""))
     split = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -78,6 +79,14 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     # Each step reads arrays that are columns: inside a lambda an expression would be worked out per element.
     n = F.size("hashes") - (WINDOW - 1)
     none = F.array().cast("array<bigint>")
+    counted = counted.withColumn("sorted", F.sort_array("hashes"))
+    start = F.struct(F.lit(None).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("pairs"))
+
+    def next_word(a: Column, word: Column) -> Column:
+        run = F.when(a["word"] == word, a["run"] + 1).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(word.alias("word"), run.alias("run"), (a["pairs"] + run).alias("pairs"))
+
+    counted = counted.withColumn("n_word_pairs", F.aggregate("sorted", start, next_word)["pairs"]).drop("sorted")
     windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))
     counted = counted.withColumn("windows", F.when(n > 0, windows).otherwise(none)).drop("hashes")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("hash"), i.alias("place"))))
@@ -102,6 +111,8 @@ def statistic_vector(stats: DataFrame) -> DataFrame:
             "dup_lines": share("n_dup_lines", F.col("n_lines") + 5),
             "repeats": share("n_repeat_words", words),
             "capitals": share("n_capitals", chars),
+            # The chance that two words are one; its root is near the share of a word that stands out.
+            "same_words": F.log1p(10 * F.sqrt(2 * F.col("n_word_pairs") / (words * (words - 1)))),
         }
     )
 
@@ -139,19 +150,14 @@ def _cells(stats: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     return joined.withColumn("cell", F.col("facts.cell")).drop("facts")
 
 
-def _distance(values: Column, center: Column, factor: Column) -> Column:
-    """Squared distance by forward substitution in the lower triangular ``factor`` (rows of rows)."""
-    z: list[Column] = []
-    for i in range(len(VECTOR)):
-        rest = values[i] - center[i]
-        for j, known in enumerate(z):
-            rest = rest - factor[i][j] * known
-        z.append(rest / factor[i][i])
-    return sum((x * x for x in z[1:]), z[0] * z[0])
+def _distance(values: Column, center: Column, whiten: Column) -> Column:
+    """Squared distance: the length of the centered values times the lower triangular ``whiten`` (rows of rows)."""
+    z = [sum(((values[j] - center[j]) * whiten[i][j] for j in range(1, i + 1)), (values[0] - center[0]) * whiten[i][0]) for i in range(len(VECTOR))]
+    return sum((F.pow(x, F.lit(2.0)) for x in z[1:]), F.pow(z[0], F.lit(2.0)))
 
 
 def _estimate(rows: DataFrame, scale: float) -> DataFrame:
-    """Center and Cholesky factor of the covariance of every cell, over (cell, values)."""
+    """Center and inverse Cholesky factor of the covariance of every cell, over (cell, values)."""
     p = len(VECTOR)
     sums = {f"m{i}": F.avg(F.col("values")[i]) for i in range(p)}
     sums |= {f"c{i}{j}": F.avg(F.col("values")[i] * F.col("values")[j]) for i in range(p) for j in range(i + 1)}
@@ -165,9 +171,13 @@ def _estimate(rows: DataFrame, scale: float) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             value = F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}")
             found = found.withColumn(f"l{i}{j}", value)
+    for i in range(p):
+        for j in range(i + 1):
+            rest = sum((-F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(float(i == j)))
+            found = found.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
     zero = F.lit(0.0)
-    factor = F.array(*[F.array(*[F.col(f"l{i}{j}") if j <= i else zero for j in range(p)]) for i in range(p)])
-    return found.select("cell", F.array(*[F.col(f"m{i}") for i in range(p)]).alias("center"), factor.alias("factor"))
+    whiten = F.array(*[F.array(*[F.col(f"w{i}{j}") if j <= i else zero for j in range(p)]) for i in range(p)])
+    return found.select("cell", F.array(*[F.col(f"m{i}") for i in range(p)]).alias("center"), whiten.alias("whiten"))
 
 
 def robust_rules(
@@ -176,15 +186,16 @@ def robust_rules(
     max_repeat_percent: int = 30,
     central: float = 0.5,
     steps: int = 3,
-    cutoff: float = 40.0,
+    quantile: float = 0.999,
     least: int = 100,
 ) -> DataFrame:
     """The base counts of every document, whether it fails a base rule, its distance and whether it is kept.
 
     Base rules: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of the words in 8-word
     windows that occur twice or more. ``central`` is the part of each cell the covariance is fitted on (with a
-    half, nearly as many may be junk), ``steps`` the number of concentration steps, ``cutoff`` the largest squared
-    distance that is kept. The covariance is multiplied by what makes up for the part left out in normal data. A
+    half, nearly as many may be junk), ``steps`` the number of concentration steps, ``quantile`` sets the largest squared
+    distance that is kept: that of the chi-square distribution with one degree of freedom for each of the six
+    statistics (22.46 for 0.999), as squared distances of normal data follow it. The covariance is multiplied by what makes up for the part left out in normal data. A
     language and source with fewer than ``least`` different texts to fit on is taken together with the other such sources of the language. Null text, language or source count as
     empty; an empty text fails the base rules; equal rows are judged alike; other columns are ignored.
     """
@@ -195,6 +206,7 @@ def robust_rules(
     stats = scratch.store(_cells(stats, least, scratch), "in_cells")
     fit = scratch.store(stats.where("not base_failed").select("cell", "raw", "values").distinct().drop("raw"), "fit")
     n_rows, scale = stats.count(), consistency(central, len(VECTOR))
+    cutoff = chi_square_quantile(quantile, len(VECTOR))
     sizes = stats.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
 
     def with_facts(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
@@ -217,7 +229,7 @@ def robust_rules(
         inner = bound.where(F.col("bucket") <= F.col("facts.bucket"))
         estimate = with_facts(stats if step == steps - 1 else fit, _estimate(inner, scale), f"estimate{step}")
         ranked = estimate.withColumn(
-            "distance", _distance(F.col("values"), F.col("facts.center"), F.col("facts.factor"))
+            "distance", _distance(F.col("values"), F.col("facts.center"), F.col("facts.whiten"))
         )
     near = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return ranked.select(

@@ -88,6 +88,24 @@ def test_copies_of_one_text_do_not_move_the_fit(spark, clean, junk):
     assert kept == set(range(len(clean) if junk else len(rows)))
 
 
+def test_short_and_monotonous_texts_go(spark, clean):
+    rnd = random.Random(4)
+    words = [t.split() for t in clean if t.count(" ") > 100]
+    piped = [" ".join(w + " |" if i % 2 else w for i, w in enumerate(ws[: rnd.randint(50, 65)])) for ws in words[:20]]
+    few = [" ".join(rnd.choices(ws[:4], k=100)) for ws in words[20:40]]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean + piped + few)]
+    result = robust_rules(spark.createDataFrame(rows, DOCS)).where("not base_failed").collect()
+    assert sum(r.doc_id >= len(clean) for r in result) >= 30
+    assert {r.doc_id for r in result if r.kept} == set(range(len(clean)))
+
+
+def test_pairs_of_one_word(spark):
+    texts = [*TEXTS, *repeated_texts()]
+    rows = base_statistics(documents(spark, texts)).select("doc_id", "n_word_pairs").collect()
+    pairs = lambda t: sum(n * (n - 1) // 2 for n in Counter(WORDS.findall(t or "")).values())
+    assert {tuple(r) for r in rows} == {(i, pairs(t)) for i, t in enumerate(texts)}
+
+
 def test_awkward_documents(spark):
     rows = robust_rules(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 4
