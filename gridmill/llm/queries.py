@@ -12,12 +12,16 @@ from gridmill.llm.byte_bpe import encode_documents
 from gridmill.llm.chat_format import format_conversations, loss_text, read_back
 from gridmill.llm.exact_dedup import exact_dedup
 from gridmill.llm.jaccard_join import jaccard_components
+from gridmill.llm.language_id import fit as fit_languages
+from gridmill.llm.language_id import held_out, identify
 from gridmill.llm.packing import pack_documents
 from gridmill.llm.quality_fm import fit, score
 from gridmill.llm.ring_shards import shard_documents
 from gridmill.llm.robust_rules import robust_rules
 from gridmill.llm.suffix_dedup import repeated_passages
 from gridmill.llm.token_count import count_tokens
+from gridmill.llm.vector_codes import fit_codes, with_label_errors
+from gridmill.llm.whitening import whiten
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -133,6 +137,52 @@ def op10_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit_languages(docs), with_spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_label_errors(fit_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """Every round spelled out: nearest entries by squared distance and number, then floors of the means."""
+    apart = " + ".join(f"(v[{i}] - c[{i}]) * (v[{i}] - c[{i}])" for i in range(1, 9))
+    means = ", ".join(f"CAST(floor(sum(v[{i}]) / count(*)) AS BIGINT)" for i in range(1, 9))
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT r, q.p, min(({apart}) * 16 + j) AS m FROM q JOIN b{i} b ON q.p = b.p GROUP BY r, q.p)"
+        )
+        if i < rounds:
+            steps.append(
+                f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(s.c, b.c) AS c FROM b{i} b LEFT JOIN ("
+                f"SELECT q.p, m % 16 AS j, [{means}] AS c FROM q JOIN a{i} a ON q.r = a.r AND q.p = a.p GROUP BY 1, 2"
+                ") s ON b.p = s.p AND b.j = s.j)"
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), q AS MATERIALIZED (
+    SELECT r, p, list_transform(embedding[8 * p + 1 : 8 * p + 8], c -> CAST(floor(CAST(c AS DOUBLE) * 4096) AS BIGINT)) AS v
+    FROM kept, range(8) t(p)
+), b0 AS MATERIALIZED (SELECT p, r - 1 AS j, v AS c FROM q WHERE r <= 16),
+{", ".join(steps)},
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b{rounds}),
+codes AS (SELECT r, string_agg(printf('%02x', CAST(m % 16 AS INT)), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error
+          FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), book
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of the session and the table folder."""
     return {
@@ -146,9 +196,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ring_shards": op8_ring_shards,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_robust_rules": op10_robust_rules,
+        "op11_language_id": op11_language_id,
+        "op12_whitening": op12_whitening,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL; queries that SQL cannot express are held against brute force in the tests."""
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op13_vector_codes": _op13_sql()}

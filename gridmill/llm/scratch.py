@@ -15,7 +15,14 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
         self.root = run_folder(spark, name)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         return store(df, f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Delete a table that no later step reads."""
+        spark = self.spark
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
