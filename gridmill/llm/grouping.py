@@ -25,12 +25,11 @@ def join_group_facts(rows: DataFrame, n_rows: int, groups: DataFrame, key: Seque
     hot = F.col(size) > F.lit(HOT_SHARE) * n_rows
     few = groups.where(hot).select(*key, facts.alias("hot_facts"))
     rest = groups.where(~hot).select(*key, facts.alias("rest_facts"))
-    return (
-        rows.join(F.broadcast(few), list(key), "left")
-        .join(rest, list(key), "left")
-        .withColumn("facts", F.coalesce("hot_facts", "rest_facts"))
-        .drop("hot_facts", "rest_facts")
-    )
+    tested = rows.join(F.broadcast(few), list(key), "left")
+    # Rows of hot groups are done here and stay out of the shuffle; only the others meet the other groups.
+    found = tested.where("hot_facts IS NOT NULL").withColumnRenamed("hot_facts", "facts")
+    others = tested.where("hot_facts IS NULL").drop("hot_facts").join(rest, list(key), "left")
+    return found.unionByName(others.withColumnRenamed("rest_facts", "facts"))
 
 
 def rank_in_class(items: DataFrame, kind: str, part: str, order: Sequence[str]) -> DataFrame:
