@@ -169,9 +169,9 @@ def _op13_sql(rounds: int = 6) -> str:
     return f"""
 WITH kept AS MATERIALIZED (
     SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings
-    WHERE len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), q AS MATERIALIZED (
-    SELECT r, p, list_transform(embedding[8 * p + 1 : 8 * p + 8], c -> CAST(floor(CAST(c AS DOUBLE) * 4096) AS BIGINT)) AS v
+    SELECT r, p, list_transform(embedding[8 * p + 1 : 8 * p + 8], lambda c: CAST(floor(CAST(c AS DOUBLE) * 4096) AS BIGINT)) AS v
     FROM kept, range(8) t(p)
 ), b0 AS MATERIALIZED (SELECT p, r - 1 AS j, v AS c FROM q WHERE r <= 16),
 {", ".join(steps)},
