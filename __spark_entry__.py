@@ -216,7 +216,31 @@ class Tables:
             yield own
         finally:
             for name in own:
-                self.spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+                for database in (name, raw.QUARANTINE.format(name)):
+                    self.spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+
+    def refused_refresh(self) -> DataFrame:
+        """Daily usage of 2024 after two refreshes that failed: one in its job, one in its check."""
+        with self.own_databases("run") as (layer,):
+            save = lambda df, **options: layers.write_layer(df, f"{layer}.daily", root=self.run_folder, **options)
+            save(self.daily.where("usage_date >= '2024-01-01'"))
+
+            def refuse(stored: DataFrame) -> None:
+                raise ValueError(f"{stored.count()} rows refused")
+
+            broken = F.when(F.col("meter_count") > 1, F.raise_error("broken feed").cast("long")).otherwise(F.col("meter_count"))
+            for attempt in (
+                lambda: save(self.daily.withColumn("meter_count", broken)), lambda: save(self.daily, check=refuse)
+            ):
+                try:
+                    attempt()
+                except Exception as error:  # noqa: BLE001 - both have to fail, by what they were given
+                    if "broken feed" not in str(error) and "rows refused" not in str(error):
+                        raise
+                else:
+                    raise AssertionError("a refresh that fails was stored")
+            kept = self.store(self.spark.table(f"{layer}.daily"), "kept_daily")
+            return kept.withColumn("recorded_rows", F.lit(layers.stored_rows(self.spark, f"{layer}.daily")).cast("long"))
 
     def layer_inventory(self) -> DataFrame:
         """The catalog's row counts after every layer was written to this run's databases, each from the one before."""
@@ -258,8 +282,8 @@ class Tables:
                 "region_code", "interval_start_hour", F.col("ingested_at").isNotNull().alias("has_load_time")
             )
 
-    def ingested(self) -> DataFrame:
-        """The load summary of the feeds, written as CSV files and loaded; some records are spoilt on the way."""
+    def ingested(self) -> tuple[DataFrame, DataFrame]:
+        """Load summary and quarantine of the feeds, written as CSV files and loaded; some records are spoilt on the way."""
         feeds = {"building_consumption": self.bronze_building, "nmi_consumption": self.bronze_nmi}
         spoilt = F.when(F.col("meter_id") == 7, "7?").otherwise(F.col("meter_id").cast("string"))
         for name, frame in feeds.items():
@@ -269,7 +293,17 @@ class Tables:
                 self.spark, f"{self.run_folder}/raw", raw.FEED_SCHEMAS, root=self.run_folder,
                 max_bad_records=2**40, layer=own[0],
             )
-            return self.store(summary.drop("source_path"), "summary")
+            table = F.concat(F.lit("bronze."), F.element_at(F.split("table_name", "[.]"), 2)).alias("table_name")
+            summary = summary.select(table, "row_count", "column_count", "bad_record_count")
+            return summary, self.store(raw.bad_records(self.spark, own[0]), "quarantine")
+
+    def quarantined(self) -> DataFrame:
+        """The texts of the spoilt records: their first three fields and the data set of their file."""
+        field = F.split("record", ",")
+        return self.ingested()[1].select(
+            "table_name", F.regexp_extract("source_file", "/raw/([^/]+)/", 1).alias("source"), field[0].alias("campus"),
+            field[1].alias("meter"), field[2].alias("moment"), F.size(field).alias("n_fields"),
+        )
 
     def csv_file(self, df: DataFrame, name: str) -> str:
         path = f"{self.run_folder}/{name}.csv"
@@ -323,7 +357,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             F.element_at(F.split("path", "/"), -1).alias("file_name"), "format"
         ),
         "read_raw": lambda t: t.table("events"),
-        "ingest_bronze": lambda t: t.ingested(),
+        "ingest_bronze": lambda t: t.ingested()[0],
+        "ingest_bronze_bad_records": lambda t: t.quarantined(),
+        "write_layer_refused": lambda t: t.refused_refresh(),
         "load_emissions_factors": lambda t: reference.load_emissions_factors(
             t.spark, t.csv_file(feed.factor_text_feed(t.table("supplier")), "factors")
         ),

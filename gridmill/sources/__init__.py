@@ -1,9 +1,17 @@
 """Readers and writers: raw files, layer tables and reference files."""
 
-from gridmill.sources.layers import describe_table, layer_row_funnel, row_counts, table_inventory, write_layer
+from gridmill.sources.layers import (
+    describe_table,
+    layer_row_funnel,
+    row_counts,
+    stored_rows,
+    table_inventory,
+    write_layer,
+)
 from gridmill.sources.raw import (
+    IngestError,
+    bad_records,
     bronze_frames,
-    bronze_summary,
     bronze_table_name,
     discover_sources,
     ingest_bronze,
@@ -20,8 +28,9 @@ from gridmill.sources.reference import (
 )
 
 __all__ = [
+    "IngestError",
+    "bad_records",
     "bronze_frames",
-    "bronze_summary",
     "bronze_table_name",
     "describe_table",
     "discover_sources",
@@ -35,6 +44,7 @@ __all__ = [
     "read_raw",
     "register_reference",
     "row_counts",
+    "stored_rows",
     "table_inventory",
     "validate_grid_intensity",
     "write_layer",

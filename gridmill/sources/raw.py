@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from posixpath import splitext
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridmill.sources.layers import row_counts, write_layer
+from gridmill.sources.layers import stored_rows, write_layer
 
 FORMATS = ("csv", "json", "jsonl", "parquet")
-BAD_RECORD = "_bad_record"
+BAD_RECORD, BAD_FILE = "_bad_record", "_bad_file"
+#: The database, next to that of a layer, whose tables list the records of the layer's tables that did not fit.
+QUARANTINE = "{}_quarantine"
 
 # The raw feeds the jobs read, by bronze table. Campus ids of grid connections stay text.
 FEED_SCHEMAS = {
@@ -28,6 +32,9 @@ FEED_SCHEMAS = {
     "air_temperature double, dew_point_temperature double, relative_humidity double, wind_speed string, "
     "wind_direction string",
 }
+#: Parquet and JSON data sets found to have the columns of a schema: session, path, schema.
+_FITTING: set[tuple[str, str, str]] = set()
+
 # Fixed value: the table of campuses that the quality checks refer to.
 BRONZE_METADATA = "bronze_campus_meta"
 
@@ -75,7 +82,7 @@ def read_raw(
     A record that does not fit ``schema`` fails the job that reads it; with ``keep_bad`` its text is in the
     column ``BAD_RECORD`` instead, and what could not be read is NULL. ``multi_line`` is for CSV feeds whose quoted
     texts hold line breaks; such files are not split over tasks. Parquet and JSON data sets have to have
-    the columns of the schema, which costs JSON one more pass.
+    the columns of the schema; they are looked at once a session, which costs JSON one more pass.
 
     Without ``schema`` a CSV or JSON file is read once more to infer its types; pass the schema of
     a known feed (``FEED_SCHEMAS``) to skip that pass on large inputs. A CSV header that does not
@@ -94,13 +101,15 @@ def read_raw(
     if schema is None:
         return reader.format("json" if suffix == "jsonl" else suffix).load(path)
     wanted = spark.createDataFrame([], schema).schema
-    if suffix != "csv":
-        # A CSV file is held against the schema by its header; the others by the columns they have.
+    known = (spark.sparkContext.applicationId, path, wanted.json())
+    if suffix != "csv" and known not in _FITTING:
+        # A CSV file is held against the schema by its header; the others, once a session, by the columns they have.
         own = {f.name: f.dataType for f in reader.format("json" if suffix == "jsonl" else suffix).load(path).schema}
         absent = [f.name for f in wanted if f.name not in own]
         other = [f.name for f in wanted if suffix == "parquet" and own.get(f.name, f.dataType) != f.dataType]
         if absent or other:
             raise ValueError(f"{path}: without column {absent}, of another type {other}")
+        _FITTING.add(known)
     if suffix == "parquet":
         return reader.schema(wanted).parquet(path)
     if keep_bad:
@@ -120,42 +129,39 @@ def bronze_table_name(path: str) -> str:
     return "_".join(["bronze", *words])
 
 
+def data_sets(spark: SparkSession, raw_dir: str) -> dict[str, str]:
+    """Bronze table name -> source path for every data set found."""
+    found: dict[str, str] = {}
+    # One short row per data set, not per part file.
+    for row in discover_sources(spark, raw_dir).collect():
+        name = bronze_table_name(row.path)
+        if name in found:
+            raise ValueError(f"{found[name]} and {row.path} would both become {name}")
+        found[name] = row.path
+    if not found:
+        raise FileNotFoundError(f"{raw_dir} holds no file of a known format")
+    return found
+
+
 def bronze_frames(
     spark: SparkSession,
     raw_dir: str,
     schemas: Mapping[str, StructType | str] | None = None,
     multi_line: bool = False,
-    keep_bad: bool = False,
 ) -> dict[str, tuple[str, DataFrame]]:
     """Bronze table name -> (source path, frame) for every data set found."""
-    frames: dict[str, tuple[str, DataFrame]] = {}
-    # One short row per data set, not per part file.
-    for row in discover_sources(spark, raw_dir).collect():
-        name = bronze_table_name(row.path)
-        if name in frames:
-            raise ValueError(f"{frames[name][0]} and {row.path} would both become {name}")
-        schema = (schemas or {}).get(name)
-        frames[name] = (row.path, read_raw(spark, row.path, schema, multi_line=multi_line, keep_bad=keep_bad))
-    if not frames:
-        raise FileNotFoundError(f"{raw_dir} holds no file of a known format")
-    return frames
+    return {
+        name: (path, read_raw(spark, path, (schemas or {}).get(name), multi_line=multi_line))
+        for name, path in data_sets(spark, raw_dir).items()
+    }
 
 
-def bronze_summary(frames: Mapping[str, tuple[str, DataFrame]]) -> DataFrame:
-    """One row per bronze table: source, name, rows, columns."""
-    counts = row_counts({("bronze", name): frame for name, (_, frame) in frames.items()})
-    facts = {name: (path, len(frame.columns)) for name, (path, frame) in frames.items()}
+class IngestError(ValueError):
+    """Some data sets could not be loaded: ``failures`` tells why, by table; ``loaded`` is the summary of the others."""
 
-    def fact(position: int):
-        pairs = [F.lit(x) for name, values in facts.items() for x in (name, values[position])]
-        return F.create_map(*pairs)[F.col("table_name")]
-
-    return counts.select(
-        fact(0).alias("source_path"),
-        F.concat_ws(".", "schema_name", "table_name").alias("table_name"),
-        "row_count",
-        fact(1).alias("column_count"),
-    )
+    def __init__(self, failures: Mapping[str, Exception], loaded: DataFrame):
+        super().__init__("; ".join(f"{name}: {error}" for name, error in failures.items()))
+        self.failures, self.loaded = dict(failures), loaded
 
 
 def ingest_bronze(
@@ -166,24 +172,72 @@ def ingest_bronze(
     max_bad_records: int = 0,
     multi_line: bool = False,
     layer: str = "bronze",
+    at_once: int = 4,
 ) -> DataFrame:
     """Rebuild one table per raw data set; returns the load summary with ``bad_record_count``.
 
-    Bad records are counted while the table is written. More than ``max_bad_records`` in one data set are an
-    error; its table then holds what could be read, and the data sets after it are not loaded.
+    Each data set is read once. A record that does not fit the schema keeps what could be read as a row of the
+    table; its text and file are listed by the table of the same name in the quarantine database of the layer.
+    More than ``max_bad_records`` of them in one data set refuse it: the table stays as it was before.
+
+    ``at_once`` data sets load at the same time. One that fails does not stop the others; ``IngestError`` is
+    raised when all have ended.
     """
-    frames = bronze_frames(spark, raw_dir, schemas, multi_line, keep_bad=True)
-    written, bad = {}, {}
-    for name, (path, frame) in frames.items():
-        bad[name] = 0
+
+    def load(name: str, path: str) -> tuple[str, str, int, int, int]:
+        frame = read_raw(spark, path, (schemas or {}).get(name), multi_line=multi_line, keep_bad=True)
+        hidden, n_bad = [], 0
         if BAD_RECORD in frame.columns:
-            seen = Observation()
-            counted = frame.observe(seen, F.count(BAD_RECORD).alias("n")).drop(BAD_RECORD)
-            written[name] = (path, write_layer(counted, f"{layer}.{name}", root=root))
-            bad[name] = 0 if frame.isEmpty() else seen.get["n"]
-        else:
-            written[name] = (path, write_layer(frame, f"{layer}.{name}", root=root))
-        if bad[name] > max_bad_records:
-            raise ValueError(f"{path}: {bad[name]} records do not fit the schema, {max_bad_records} are allowed")
-    counts = F.create_map(*[F.lit(x) for name, n in bad.items() for x in (f"bronze.{name}", n)])
-    return bronze_summary(written).withColumn("bad_record_count", counts[F.col("table_name")].cast("bigint"))
+            hidden = [BAD_RECORD, BAD_FILE]
+            file = F.when(F.col(BAD_RECORD).isNotNull(), F.col("_metadata.file_path"))
+            frame = frame.select("*", file.alias(BAD_FILE))
+
+        def allowed(stored: DataFrame) -> None:
+            nonlocal n_bad
+            # Row groups without a bad record are skipped by their statistics.
+            n_bad = stored.where(F.col(BAD_RECORD).isNotNull()).count()
+            if n_bad > max_bad_records:
+                raise ValueError(f"{path}: {n_bad} records do not fit the schema, {max_bad_records} are allowed")
+
+        table = f"{layer}.{name}"
+        written = write_layer(frame, table, root=root, check=allowed if hidden else None, hidden=hidden)
+        if hidden:
+            _list_bad_records(spark, table)
+        return path, table, stored_rows(spark, table), len(written.columns), n_bad
+
+    found = data_sets(spark, raw_dir)
+    results, failures = [], {}
+    with ThreadPoolExecutor(at_once) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(load), name, path) for name, path in found.items()}
+        for name, job in running.items():
+            try:
+                results.append(job.result())
+            except Exception as error:  # noqa: BLE001 - the other data sets go on; it is raised below
+                failures[name] = error
+    schema = "source_path string, table_name string, row_count bigint, column_count int, bad_record_count bigint"
+    summary = spark.createDataFrame(results, schema)
+    if failures:
+        raise IngestError(failures, summary)
+    return summary
+
+
+def _list_bad_records(spark: SparkSession, table: str) -> None:
+    """A view over the stored files of a bronze table: file and text of the records that did not fit."""
+    layer, name = table.split(".")
+    side = QUARANTINE.format(layer)
+    place = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first().data_type
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {side}")
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {side}.{name} AS SELECT {BAD_FILE} AS source_file, {BAD_RECORD} AS record "
+        f"FROM parquet.`{place}` WHERE {BAD_RECORD} IS NOT NULL"
+    )
+
+
+def bad_records(spark: SparkSession, layer: str = "bronze") -> DataFrame:
+    """table_name, source_file and record of every record in the quarantine of a layer."""
+    side = QUARANTINE.format(layer)
+    names = [t.name for t in spark.catalog.listTables(side)] if spark.catalog.databaseExists(side) else []
+    found = spark.createDataFrame([], "table_name string, source_file string, record string")
+    for name in sorted(names):
+        found = found.unionByName(spark.table(f"{side}.{name}").select(F.lit(name).alias("table_name"), "source_file", "record"))
+    return found

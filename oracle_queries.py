@@ -510,6 +510,21 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             "count(*) FILTER (WHERE meter_id = 7) AS bad_record_count FROM bronze_building UNION ALL "
             "SELECT 'bronze.bronze_nmi_consumption', count(*), 6, count(*) FILTER (WHERE meter_id = 7) FROM bronze_nmi"
         ),
+        "ingest_bronze_bad_records": over_layers(
+            " UNION ALL ".join(
+                f"SELECT 'bronze_{name}' AS table_name, '{name}.csv' AS source, {campus} AS campus, '7?' AS meter, "
+                "strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.000') AS moment, "
+                f"{n} AS n_fields FROM {cte} WHERE meter_id = 7"
+                for name, campus, n, cte in (
+                    ("building_consumption", "CAST(campus_id AS VARCHAR)", 4, "bronze_building"),
+                    ("nmi_consumption", "campus_id", 6, "bronze_nmi"),
+                )
+            )
+        ),
+        "write_layer_refused": over_layers(
+            "SELECT *, count(*) OVER () AS recorded_rows FROM daily WHERE usage_date >= DATE '2024-01-01'",
+            "total_consumption",
+        ),
         "load_emissions_factors": over_layers("SELECT * FROM factors", "emissions_factor_kg_co2e_per_kwh"),
         "load_grid_intensity": over_layers("SELECT * FROM intensity", "emissions_intensity_kg_co2e_per_kwh"),
         "validate_grid_intensity": over_layers(
