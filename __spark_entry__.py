@@ -207,6 +207,12 @@ class Tables:
     def page_chunks(self) -> DataFrame:
         return retrieval.chunk_documents(feed.page_markdown(self.table("pages")), "page_id")
 
+    def searched(self, search: Callable[[retrieval.DocumentIndex], DataFrame]) -> DataFrame:
+        """The result of a search in an index of the documents' lines, stored in this run's folder."""
+        with self.own_databases("documents") as (own,):
+            retrieval.build_document_index(self.line_chunks, own, "doc_id", root=self.run_folder)
+            return self.store(search(retrieval.open_document_index(self.spark, own)), "hits")
+
     @contextmanager
     def own_databases(self, *names: str):
         """Databases of this run's own, one for each name, that are gone at the end; their files stay for the run."""
@@ -464,6 +470,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tokenize": lambda t: retrieval.tokenize(t.table("documents"), "doc_id").select(
             "doc_id", F.size("terms").alias("term_count"), F.array_join("terms", " ").alias("terms")
         ),
+        "keyword_search_index": lambda t: t.searched(lambda index: retrieval.index_search(index, SEARCH, limit=40)),
+        "keyword_search_batch": lambda t: t.searched(
+            lambda index: retrieval.index_search_all(
+                index, t.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), limit=3
+            ).select("query_id", "rank", "score", "doc_id", "section_no", "paragraph_no", "heading")
+        ),
         "keyword_search": lambda t: retrieval.keyword_search(t.line_chunks, SEARCH, id_column="doc_id"),
     }
 

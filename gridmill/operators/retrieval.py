@@ -1,13 +1,23 @@
-"""Keyword retrieval over heading-aware document chunks."""
+"""Keyword retrieval over heading-aware document chunks, by a scan or by a stored inverted index."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import has_word, query_terms, strip_whitespace, unify_newlines, word_set
+from gridmill.sources.layers import write_layer
+
+#: Folders that the terms of an index are dealt to.
+TERM_BUCKETS = 64
+#: Bits of a chunk number below the number of the part that has the chunk.
+PART_BITS = 33
 
 BLANK_LINE = r"\n\s*\n"
 DEFAULT_HEADING = "Overview"
@@ -23,6 +33,30 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _path_pattern(glob: str) -> str:
+    """A path pattern as a regular expression: ``*`` stays in its folder, ``**`` goes through all."""
+    pieces = [".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in re.split(r"(\*\*|\*)", glob)]
+    return f"^{''.join(pieces)}$"
+
+
+def read_documents(spark: SparkSession, root: str, declared: Sequence[str]) -> DataFrame:
+    """The text files under a folder that fit one of the ``declared`` patterns, as (source, text).
+
+    ``source`` is (position, path): the place of the first pattern that the path fits, and the path relative to
+    ``root``. Its order, and so that of chunks with equal scores, is the declared one, then that of the paths. A
+    pattern that no file fits is no error; optional files are the patterns that a caller adds or leaves out.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    # Without scheme and host, and with the characters that a path in a URI can't have.
+    place = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^[a-z0-9]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    path = F.substr(place, F.lit(len(top) + 2))
+    position = F.coalesce(*[F.when(path.rlike(_path_pattern(glob)), F.lit(i)) for i, glob in enumerate(declared)])
+    found = files.select(F.struct(position.alias("position"), path.alias("path")).alias("source"), F.col("value").alias("text"))
+    return found.where("source.position IS NOT NULL")
+
+
 def chunk_documents(
     documents: DataFrame, id_column: str = "source_path", text_column: str = "text", separator: str = BLANK_LINE
 ) -> DataFrame:
@@ -75,3 +109,89 @@ def keyword_search(chunks: DataFrame, query: str, limit: int = 5, id_column: str
         # the ranking would be pushed down and work out every score twice.
         .where("score > 0")
     )
+
+
+class DocumentIndex(NamedTuple):
+    """Stored tables: chunks with ``chunk_no``, which follows the order of the documents, and (term, chunk_no)."""
+
+    chunks: DataFrame
+    postings: DataFrame
+
+
+def _bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % TERM_BUCKETS
+
+
+def build_document_index(
+    chunks: DataFrame, database: str = "documents", id_column: str = "source_path", parts: int | None = None, root: str | None = None
+) -> DocumentIndex:
+    """Store chunks and their inverted index as the tables ``chunks`` and ``postings`` of a database.
+
+    Chunks are range-dealt in document order, so that their numbers follow it; the upper bits of a number name
+    the part, and with it the folder, of the chunk. Postings are range-dealt by (bucket of the term, term,
+    chunk): a term that is in a third of all chunks is written by many tasks, and one search opens only the
+    folders of its terms and in them the row groups of its terms. ``parts`` is the number of write tasks
+    (default: the session's shuffle partitions). Null headings and texts have no terms; repeated chunks count each.
+    """
+    spark = chunks.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [id_column, "section_no", "paragraph_no"]
+    numbered = chunks.repartitionByRange(parts, *order, "text").sortWithinPartitions(*order, "heading", "text")
+    numbered = numbered.withColumn("chunk_no", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("part", F.shiftright("chunk_no", PART_BITS).cast("int"))
+    stored = write_layer(numbered, f"{database}.chunks", partition_by=["part"], root=root, rebalance=False)
+    terms = word_set(F.concat_ws(" ", "heading", "text"))
+    postings = stored.select(F.explode(terms).alias("term"), "chunk_no")
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+    postings = postings.withColumn("bucket", bucket)
+    dealt = postings.repartitionByRange(parts, "bucket", "term", "chunk_no").sortWithinPartitions("bucket", "term", "chunk_no")
+    kept = write_layer(dealt, f"{database}.postings", partition_by=["bucket"], root=root, rebalance=False)
+    return DocumentIndex(stored, kept)
+
+
+def open_document_index(spark: SparkSession, database: str = "documents") -> DocumentIndex:
+    """The index that ``build_document_index`` stored."""
+    return DocumentIndex(spark.table(f"{database}.chunks"), spark.table(f"{database}.postings"))
+
+
+def posting_scores(index: DocumentIndex, terms: Sequence[str]) -> DataFrame:
+    """chunk_no and score, the number of the terms it has, of every chunk that has any."""
+    buckets = sorted({_bucket(term) for term in terms})
+    hits = index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+    return hits.groupBy("chunk_no").agg(F.count(F.lit(1)).cast("int").alias("score"))
+
+
+def index_search(index: DocumentIndex, query: str, limit: int = 5) -> DataFrame:
+    """The same rows as ``keyword_search``, from a stored index.
+
+    The best ``limit`` chunk numbers are found first, by one job over the postings of the terms; the frame that
+    is returned reads these chunks only.
+    """
+    terms = query_terms(query)
+    columns = [c for c in index.chunks.columns if c not in ("chunk_no", "part")]
+    best = []
+    if terms:
+        best = posting_scores(index, terms).orderBy(F.desc("score"), "chunk_no").limit(limit).collect()
+    spark = index.chunks.sparkSession
+    scores = spark.createDataFrame([(r.chunk_no, r.score) for r in best], "chunk_no bigint, score int")
+    wanted = F.col("part").isin([r.chunk_no >> PART_BITS for r in best]) & F.col("chunk_no").isin([r.chunk_no for r in best])
+    found = index.chunks.where(wanted).join(F.broadcast(scores), "chunk_no")
+    return found.orderBy(F.desc("score"), "chunk_no").select(*columns, "score")
+
+
+def index_search_all(index: DocumentIndex, queries: DataFrame, limit: int = 5) -> DataFrame:
+    """The best ``limit`` chunks of many queries: query_id, rank (from 1), score and the columns of the chunks.
+
+    ``queries`` has query_id and query. Queries meet postings by term and add up per query and chunk; a rank
+    window with a limit keeps the best of each task before they are brought together. A query without terms
+    or hits has no rows; repeated query_ids count as one query with all their terms.
+    """
+    terms = queries.select("query_id", F.explode(word_set(F.col("query"))).alias("term")).distinct()
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+    hits = index.postings.join(terms.withColumn("bucket", bucket), ["bucket", "term"])
+    scores = hits.groupBy("query_id", "chunk_no").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_no")
+    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = best.withColumn("part", F.shiftright("chunk_no", PART_BITS).cast("int"))
+    columns = [c for c in index.chunks.columns if c not in ("chunk_no", "part")]
+    return index.chunks.join(best, ["part", "chunk_no"]).select("query_id", "rank", "score", *columns)

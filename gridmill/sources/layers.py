@@ -27,6 +27,7 @@ def write_layer(
     root: str | None = None,
     check: Callable[[DataFrame], None] | None = None,
     hidden: Sequence[str] = (),
+    rebalance: bool = True,
 ) -> DataFrame:
     """Rebuild ``layer.table`` from a frame and return the stored table.
 
@@ -38,8 +39,8 @@ def write_layer(
     other ones than before, the table is dropped and created instead of moved. One table has one writer at a time.
 
     Reading the stored table back ends the lineage of a job, so a lost executor costs one layer
-    at most. ``partition_by`` rebalances first: AQE then merges small output partitions and splits
-    a partition value that holds far more rows than the others. ``sort_by`` orders rows inside each
+    at most. ``partition_by`` rebalances first (unless the caller has dealt the rows already and says so): AQE
+    then merges small output partitions and splits a partition value that holds far more rows than the others. ``sort_by`` orders rows inside each
     file so that row-group statistics let time-range filters skip data. Columns named in ``hidden`` are in the
     files and are no columns of the table. A table of that name that lies anywhere else is not replaced: that
     is an error.
@@ -52,7 +53,7 @@ def write_layer(
     if before and not _inside(before, base):
         raise ValueError(f"{table} lies at {before}; drop it or write it there")
     columns = df.columns
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)

@@ -7,6 +7,7 @@ Each is written against shared common table expressions that rebuild the layers
 from __future__ import annotations
 
 from event_feed import TABLE_SCHEMAS
+from gridmill.functions.text import STOPWORDS
 
 LAYERS = r"""
 spread_events AS (
@@ -288,10 +289,7 @@ CHECK = """
 
 # Text shapes: whitespace as the Spark side strips it, then sections and paragraphs by array functions.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-STOP = (
-    "'a', 'an', 'and', 'are', 'as', 'for', 'from', 'how', 'in', 'is', 'of', 'or', 'the', 'to', "
-    "'what', 'when', 'where', 'why'"
-)
+STOP = ", ".join(f"'{word}'" for word in STOPWORDS)
 
 
 def _chunks(name: str, source: str, key: str, separator: str) -> str:
@@ -500,6 +498,11 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
         "estimated_emissions_kg_co2e FROM emissions "
         f"ORDER BY estimated_emissions_kg_co2e DESC, {month_order} LIMIT 20"
     )
+    searched = (
+        f"WITH {line_chunks}\nSELECT * FROM (SELECT *, CAST(len(list_intersect("
+        f"{_words("heading || ' ' || text")}, [{terms}])) AS INTEGER) AS score FROM chunks) "
+        "WHERE score > 0 ORDER BY score DESC, doc_id, section_no, paragraph_no LIMIT "
+    )
     return {
         "discover_sources": " UNION ALL ".join(
             f"SELECT '{table}.parquet' AS file_name, 'parquet' AS format" for table in TABLE_SCHEMAS
@@ -810,7 +813,12 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
         "chunk_pages": f"WITH {page_chunks}\nSELECT * FROM chunks",
         "tokenize": "SELECT doc_id, CAST(len(terms) AS INTEGER) AS term_count, "
         f"array_to_string(terms, ' ') AS terms FROM (SELECT doc_id, {_words('text')} AS terms FROM documents)",
-        "keyword_search": f"WITH {line_chunks}\nSELECT * FROM (SELECT *, CAST(len(list_intersect("
-        f"{_words("heading || ' ' || text")}, [{terms}])) AS INTEGER) AS score FROM chunks) "
-        "WHERE score > 0 ORDER BY score DESC, doc_id, section_no, paragraph_no LIMIT 5",
+        "keyword_search_index": f"{searched}40",
+        "keyword_search_batch": f"WITH {line_chunks}, hits AS (SELECT item_id AS query_id, doc_id, section_no, "
+        "paragraph_no, heading, count(*) AS score "
+        f"FROM (SELECT *, unnest({_words("heading || ' ' || text")}) AS term FROM chunks) c "
+        f"JOIN (SELECT item_id, unnest({_words('text')}) AS term FROM benchmark) q USING (term) GROUP BY ALL) "
+        "SELECT * REPLACE (CAST(score AS INTEGER) AS score), CAST(row_number() OVER (PARTITION BY query_id "
+        "ORDER BY score DESC, doc_id, section_no, paragraph_no) AS INTEGER) AS rank FROM hits QUALIFY rank <= 3",
+        "keyword_search": f"{searched}5",
     }

@@ -1,7 +1,23 @@
+import random
+import zlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from gridmill.functions import query_terms
-from gridmill.operators.retrieval import chunk_documents, keyword_search, read_markdown, tokenize
+from gridmill.operators.retrieval import (
+    TERM_BUCKETS,
+    build_document_index,
+    chunk_documents,
+    index_search,
+    index_search_all,
+    keyword_search,
+    open_document_index,
+    posting_scores,
+    read_documents,
+    read_markdown,
+    tokenize,
+)
 
 from helpers import values
 
@@ -94,3 +110,65 @@ def test_markdown_files(spark, tmp_path):
     read = read_markdown(spark, str(tmp_path))
     assert sorted(path.rsplit("/", 1)[1] for path, _ in values(read)) == ["README.md", "a.md"]
     assert values(chunk_documents(read), "heading", "text") == [("A", "Text."), ("Plant", "Boiler 2.")]
+
+
+@pytest.fixture
+def library(spark):
+    """Chunks of random words; one word is in most of them, and some documents repeat."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, "common " * rnd.randint(0, 1) + " ".join(rnd.choices(vocabulary, k=5)) + "\n\n# H w1\nlast") for i in range(80)]
+    rows += [rows[7], rows[7], (900, ""), (901, None)]
+    yield chunk_documents(spark.createDataFrame(rows, "source_path bigint, text string"))
+    spark.sql("DROP DATABASE IF EXISTS test_library CASCADE")
+
+
+def plain(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_index_gives_what_the_scan_gives(spark, library):
+    built = build_document_index(library, "test_library", parts=6)
+    index = open_document_index(spark, "test_library")
+    assert built.chunks.columns == index.chunks.columns
+    for query, limit in (("common w1 w2", 5), ("w3 W4 w5 the w3", 100), ("w1", 3), ("nothing", 5), ("of the", 5), ("common", 70)):
+        want = plain(keyword_search(library, query, limit))
+        assert plain(index_search(index, query, limit)) == want, query
+        asked = spark.createDataFrame([(7, query), (8, ""), (9, None)], "query_id int, query string")
+        found = index_search_all(index, asked, limit).orderBy("query_id", "rank")
+        assert [r[3:] + (r[2],) for r in plain(found)] == want
+        assert [r[:2] for r in plain(found)] == [(7, i + 1) for i in range(len(want))]
+
+
+def test_a_search_opens_only_the_files_of_its_terms(spark, library):
+    index = build_document_index(library, "test_library", parts=30)
+    scores = posting_scores(index, ["common"])
+    text = scores._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(term,common)" in text or "In(term, [common])" in text
+    files = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    # The common word is dealt to several tasks, and its bucket is a small part of all files.
+    opened = files(index.postings.where(f"bucket = {zlib.crc32(b'common') % TERM_BUCKETS}"))
+    assert len(files(index.postings.where("term = 'common'"))) > 1 and len(opened) < len(files(index.postings)) / 4
+    hit = index_search(index, "common", 2)
+    text = hit._jdf.queryExecution().executedPlan().toString()
+    assert "part" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_index_of_no_chunks(spark, library):
+    index = build_document_index(library.where("false"), "test_library", parts=2)
+    assert index_search(index, "w1").count() == 0
+    assert index_search_all(index, spark.createDataFrame([(1, "w1")], "query_id int, query string")).count() == 0
+
+
+def test_documents_in_declared_order(spark, tmp_path):
+    for name in ("README.md", "docs/b plus+.md", "docs/a.md", "docs/deep/x.md", "reports/2024/r.md", "notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n\nturbine", encoding="utf-8")
+    declared = ["README.md", "missing.md", "docs/*.md"]
+    found = read_documents(spark, str(tmp_path), declared).orderBy("source")
+    assert [tuple(r.source) for r in found.collect()] == [(0, "README.md"), (2, "docs/a.md"), (2, "docs/b plus+.md")]
+    with_reports = read_documents(spark, str(tmp_path), ["reports/**", *declared])
+    hits = keyword_search(chunk_documents(with_reports, "source"), "turbine", 2, id_column="source").collect()
+    assert [h.source.path for h in hits] == ["reports/2024/r.md", "README.md"]
+    assert read_documents(spark, str(tmp_path), ["none/*"]).count() == 0
