@@ -6,7 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from contextlib import contextmanager
-from functools import cached_property
+from functools import cached_property, reduce
 from pathlib import Path
 from uuid import uuid4
 
@@ -36,6 +36,8 @@ except ImportError:  # the training-data operators are an optional part
 CAMPUSES = [2, 5]
 SOURCES = [SOURCE_SYSTEMS[0], SOURCE_SYSTEMS[2]]
 EVENT = {"event_date": "2024-01-15", "start_hour": 15, "end_hour": 18}
+#: Target and flexible share of that event: one target that can be reached, and one that can't.
+TARGETS = [(0.10, 0.15), (0.30, 0.15)]
 SEARCH = "the energy and ment of eaux thering la"
 SQL_REPORTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "gridmill", "plans", "sql")
 
@@ -43,9 +45,11 @@ SQL_REPORTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "gridmill
 class Tables:
     """Lazy frames of every layer over one folder of test tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, feeds: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        # Feeds that are stored already stand in for those projected from the events.
+        self.__dict__.update(feeds or {})
 
     def table(self, name: str) -> DataFrame:
         return raw.read_raw(self.spark, f"{self.sf_dir}/{name}.parquet", feed.TABLE_SCHEMAS[name])
@@ -195,6 +199,14 @@ class Tables:
     def responses(self) -> DataFrame:
         return scenarios.event_response_scenarios(self.hourly, **EVENT)
 
+    @cached_property
+    def hard_responses(self) -> DataFrame:
+        parts = [
+            scenarios.event_response_scenarios(self.hourly, **EVENT, target_percent=target, flexible_percent=flexible)
+            for target, flexible in TARGETS
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
     @cached_property
     def checks(self) -> DataFrame:
         return quality.quality_checks(self.building, self.nmi, self.submeter, self.campus_meta)
@@ -348,16 +360,31 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+def readable(profiles: DataFrame) -> DataFrame:
+    """A profile with its sample values in one text."""
+    return profiles.withColumn("sample_values", F.array_join("sample_values", " | ", "NULL"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Readings to usage per source: clean, de-duplicate, roll up three times, rank."""
     return rounded(marts.source_usage_summary(Tables(spark, "/root/testdata/sf0.001").monthly))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Query name -> function of the session and the table folder."""
+#: The feeds that the meter operators start from.
+FEEDS = ("bronze_building", "bronze_nmi", "bronze_submeter", "bronze_weather")
+
+
+def stored_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The feeds as files, so that an operator can be timed without the projection of its input."""
+    tables = Tables(spark, sf_dir)
+    return {name: tables.store(getattr(tables, name), name) for name in FEEDS}
+
+
+def operators() -> dict[str, Callable[[Tables], DataFrame]]:
+    """Query name -> function of the tables."""
     pick = {"campuses": CAMPUSES, "sources": SOURCES}
     campuses = {"campuses": CAMPUSES}
-    definitions: dict[str, Callable[[Tables], DataFrame]] = {
+    return {
         # sources and sinks
         "discover_sources": lambda t: raw.discover_sources(t.spark, t.sf_dir).select(
             F.element_at(F.split("path", "/"), -1).alias("file_name"), "format"
@@ -453,16 +480,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "report_response_components": lambda t: reports.report_response_components(t.responses, **pick),
         "report_response_top": lambda t: reports.report_response_top(t.responses, **pick),
+        # the same where targets are missed and limits are reached
+        "event_response_stats_unmet": lambda t: scenarios.event_response_stats(t.hard_responses),
+        "report_response_summary_unmet": lambda t: reports.report_response_summary(t.hard_responses, **pick),
+        "report_response_totals_unmet": lambda t: reports.report_response_totals(
+            reports.report_response_summary(t.hard_responses, **pick)
+        ),
+        "report_response_top_limited": lambda t: reports.report_response_top(t.responses, **pick, limit=4),
+        "report_reconciliation_limited": lambda t: reports.report_reconciliation(t.recon_monthly, **campuses, limit=5),
+        "report_temperature_sample_limited": lambda t: reports.report_temperature_sample(t.baseline, **pick, limit=700),
+        # what the jobs refuse
+        "failed_checks": lambda t: quality.failed_checks(t.checks),
+        "event_setting_problems": lambda t: scenarios.event_setting_problems(feed.event_setting_feed(t.table("lineitem"))),
         "report_quality_summary": lambda t: quality.quality_summary(t.checks),
         # quality and profiles
         "quality_checks": lambda t: t.checks,
-        "profile_table": lambda t: profile.profile_table(t.bronze_building, "bronze_building_consumption"),
-        "profile_documents": lambda t: profile.profile_table(t.table("documents"), "documents"),
+        "profile_table": lambda t: readable(profile.profile_table(t.bronze_building, "bronze_building_consumption")),
+        "profile_documents": lambda t: readable(profile.profile_table(t.table("documents"), "documents", sample=3)),
         "timestamp_coverage": lambda t: profile.timestamp_coverage(
             t.bronze_building, "bronze_building_consumption"
         ),
-        "profile_all": lambda t: profile.profile_all(
-            {name: frame for name, (_, frame) in t.all_tables.items()}
+        "profile_all": lambda t: readable(
+            profile.profile_all({name: frame for name, (_, frame) in t.all_tables.items()})
         ),
         # documents
         "chunk_documents": lambda t: t.line_chunks,
@@ -479,10 +518,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keyword_search": lambda t: retrieval.keyword_search(t.line_chunks, SEARCH, id_column="doc_id"),
     }
 
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Query name -> function of the session and the table folder."""
+
     def runner(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: rounded(build(Tables(spark, sf_dir)))
 
-    registered = {name: runner(build) for name, build in definitions.items()}
+    registered = {name: runner(build) for name, build in operators().items()}
     if llm_queries:
         registered |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
     return registered
@@ -490,7 +533,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL over the raw test tables."""
-    statements = build_oracles(CAMPUSES, SOURCES, EVENT, SEARCH)
+    statements = build_oracles(CAMPUSES, SOURCES, EVENT, SEARCH, TARGETS)
     if llm_queries:
         statements |= llm_queries.oracle_sql()
         if corpus_pipeline.ORACLE_SQL:

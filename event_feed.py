@@ -189,3 +189,15 @@ def page_markdown(pages: DataFrame) -> DataFrame:
     ):
         text = F.regexp_replace(text, pattern, replacement)
     return pages.select("page_id", text.alias("text"))
+
+
+def event_setting_feed(lineitem: DataFrame) -> DataFrame:
+    """Planned events, one per order line; some end before they start or have shares above one."""
+    day = F.dayofyear("l_shipdate")
+    return lineitem.select(
+        "l_orderkey", "l_linenumber", (day % 20).alias("start_hour"),
+        (day % 20 + F.col("l_linenumber") - 2).alias("end_hour"),
+        F.when(F.col("l_quantity") > 3, F.col("l_discount")).otherwise(F.col("l_quantity")).alias("target_percent"),
+        F.when(F.col("l_returnflag") == "R", -F.col("l_tax")).otherwise(F.col("l_tax")).alias("flexible_percent"),
+        (F.col("l_partkey") % 5).alias("rebound_hours"),
+    )

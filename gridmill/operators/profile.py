@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
@@ -16,6 +17,7 @@ from gridmill.sources.layers import store
 
 # Parts of a column name that suggest a time.
 TIME_NAME_PARTS = ("time", "date", "timestamp", "datetime")
+NESTED = ("array", "map", "struct", "binary", "variant")
 
 
 def _repeated_hashes(hashed: DataFrame) -> DataFrame:
@@ -48,41 +50,53 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return _repeats(hashed, columns, _repeated_hashes(hashed))
 
 
-def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """One row per column: type and missing values, with the row and repeat counts of the table.
+PROFILE = (
+    "table_name string, column_name string, data_type string, row_count bigint, column_count int, "
+    "duplicate_count bigint, null_count bigint, null_rate double, first_timestamp timestamp_ntz, "
+    "last_timestamp timestamp_ntz, sample_values array<string>"
+)
 
-    The row and missing counts are observed in the pass that counts row hashes; see ``duplicate_count``.
-    """
+
+def _facts(df: DataFrame, name: str, sample: int) -> list[tuple]:
+    """The rows of a profile; runs the jobs they need."""
     fields = df.schema.fields
     hashed, columns = _hashed(df)
-    seen = Observation()
-    nulls = [count_where(_missing(f.name, f.dataType)).alias(f"_nulls_{i}") for i, f in enumerate(fields)]
-    observed = hashed.observe(seen, F.count(F.lit(1)).alias("_rows"), *nulls)
-    repeated = _repeated_hashes(observed)
-    # Spark drops an observation with a plan that turns out to be empty.
-    counts = dict.fromkeys(["_rows", *[f"_nulls_{i}" for i in range(len(fields))]], 0) if df.isEmpty() else seen.get
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.lit(counts[f"_nulls_{i}"]).cast("long").alias("null_count"),
-            )
-            for i, field in enumerate(fields)
-        ]
-    )
-    rows = F.lit(counts["_rows"]).cast("long")
-    listed = _repeats(hashed, columns, repeated).select("duplicate_count", F.inline(facts))
-    return listed.select(
-        F.lit(name).alias("table_name"),
-        "column_name",
-        "data_type",
-        rows.alias("row_count"),
-        F.lit(len(fields)).alias("column_count"),
-        "duplicate_count",
-        "null_count",
-        F.when(rows > 0, F.try_divide(F.col("null_count"), rows)).otherwise(0.0).alias("null_rate"),
-    )
+    times = _times(df)
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    aggregates += [count_where(_missing(f.name, f.dataType)).alias(f"_nulls_{i}") for i, f in enumerate(fields)]
+    for i, value in enumerate(times.values()):
+        aggregates += [F.min(value).alias(f"_first_{i}"), F.max(value).alias(f"_last_{i}")]
+    # The first rows in the order of the files; of the others nothing is read for it.
+    shown = [F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() not in NESTED else F.lit(None) for f in fields]
+    first = df.select(F.array(*[c.cast("string") for c in shown]).alias("_values")).limit(max(sample, 1)).collect()
+    if first:
+        seen = Observation()
+        repeated = _repeated_hashes(hashed.observe(seen, *aggregates))
+        counts = seen.get
+        again = 0 if repeated.isEmpty() else _repeats(hashed, columns, repeated).first()[0]
+    else:  # Spark drops an observation with a plan that turns out to be empty.
+        counts, again = {}, 0
+    rows = counts.get("_rows", 0)
+    place = {column: i for i, column in enumerate(times)}
+    out = []
+    for i, field in enumerate(fields):
+        nulls = counts.get(f"_nulls_{i}", 0)
+        bounds = [counts.get(f"_{end}_{place[field.name]}") if field.name in place else None for end in ("first", "last")]
+        samples = None if field.dataType.typeName() in NESTED else [row[0][i] for row in first[:sample]]
+        kind = field.dataType.simpleString()
+        out.append((name, field.name, kind, rows, len(fields), again, nulls, nulls / rows if rows else 0.0, *bounds, samples))
+    return out
+
+
+def profile_table(df: DataFrame, name: str, sample: int = 5) -> DataFrame:
+    """One row per column: type, missing values, time coverage and first values, with the row and repeat counts of the table.
+
+    Missing values and coverage (see ``timestamp_coverage``) are observed in the pass that counts row hashes; a
+    second pass, for repeated rows, is needed only if a hash repeats (see ``duplicate_count``). The first
+    ``sample`` values of a column are those of the first rows in file order, as text, and null for nested
+    types. The jobs run before this returns, and the driver gets one row per column and ``sample`` rows.
+    """
+    return profile_all({name: df}, sample)
 
 
 def _missing(name: str, kind: DataType) -> Column:
@@ -110,14 +124,16 @@ def _as_time(name: str, kind: DataType) -> Column | None:
     return None
 
 
+def _times(df: DataFrame) -> dict[str, Column]:
+    """The columns that are named like a time and may hold one, as times."""
+    named = [f for f in df.schema.fields if any(part in f.name.lower() for part in TIME_NAME_PARTS)]
+    found = {f.name: _as_time(f.name, f.dataType) for f in named}
+    return {column: value for column, value in found.items() if value is not None}
+
+
 def timestamp_coverage(df: DataFrame, name: str) -> DataFrame:
     """First and last value of every column that is named like a time and holds readable ones."""
-    looks_like_time = {
-        field.name: _as_time(field.name, field.dataType)
-        for field in df.schema.fields
-        if any(part in field.name.lower() for part in TIME_NAME_PARTS)
-    }
-    times = {column: value for column, value in looks_like_time.items() if value is not None}
+    times = _times(df)
     if not times:
         empty = "table_name string, column_name string, first_timestamp timestamp_ntz, last_timestamp timestamp_ntz"
         return df.sparkSession.createDataFrame([], empty)
@@ -143,6 +159,12 @@ def timestamp_coverage(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def profile_all(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Column profiles of several named tables in one frame."""
-    return reduce(DataFrame.unionByName, [profile_table(df, name) for name, df in sorted(frames.items())])
+def profile_all(frames: Mapping[str, DataFrame], sample: int = 5, at_once: int = 8) -> DataFrame:
+    """Profiles of several named tables in one frame; the jobs of ``at_once`` tables run at the same time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = []
+        for name, df in sorted(frames.items()):
+            run = inheritable_thread_target(df.sparkSession)(_facts)
+            jobs.append(pool.submit(run, df, name, sample))
+        rows = [row for job in jobs for row in job.result()]
+    return next(iter(frames.values())).sparkSession.createDataFrame(rows, PROFILE)

@@ -127,9 +127,14 @@ def quality_summary(checks: DataFrame) -> DataFrame:
     return checks.groupBy("status").agg(F.count(F.lit(1)).alias("check_count")).orderBy("status")
 
 
+def failed_checks(checks: DataFrame) -> DataFrame:
+    """The checks that stop a build, with what they found."""
+    return checks.where("status = 'FAIL'").select("name", "table_name", "observed_value", "expected")
+
+
 def require_quality(checks: DataFrame) -> DataFrame:
     """Raise if any check failed; call it on the stored check table."""
-    failed = [f"{row.name} on {row.table_name}" for row in checks.where("status = 'FAIL'").collect()]
+    failed = [f"{row.name} on {row.table_name}" for row in failed_checks(checks).collect()]
     if failed:
         raise ValueError(f"{len(failed)} quality checks failed: {'; '.join(sorted(failed))}")
     return checks

@@ -151,13 +151,13 @@ def report_top_usage_entities(
     )
 
 
-def report_peak_demand(peaks: DataFrame, campuses: Selection = None) -> DataFrame:
-    """The twenty highest peaks."""
+def report_peak_demand(peaks: DataFrame, campuses: Selection = None, limit: int = 20) -> DataFrame:
+    """The ``limit`` highest peaks."""
     return (
         peaks.where(in_list("campus_id", campuses))
         .select("campus_id", "meter_id", "peak_timestamp", "peak_demand_kw", "peak_demand_kva")
         .orderBy(F.desc("peak_demand_kw"), "campus_id", "meter_id")
-        .limit(20)
+        .limit(limit)
     )
 
 
@@ -186,8 +186,8 @@ def report_emissions_assumptions(emissions: DataFrame) -> DataFrame:
     )
 
 
-def report_reconciliation(reconciliation: DataFrame, campuses: Selection = None) -> DataFrame:
-    """The thirty months with the largest gap; months with one side only come last."""
+def report_reconciliation(reconciliation: DataFrame, campuses: Selection = None, limit: int = 30) -> DataFrame:
+    """The ``limit`` months with the largest gap; months with one side only come last."""
     return (
         reconciliation.where(in_list("campus_id", campuses))
         .select(
@@ -195,7 +195,7 @@ def report_reconciliation(reconciliation: DataFrame, campuses: Selection = None)
             "consumption_difference", "difference_ratio_to_nmi",
         )
         .orderBy(F.abs("consumption_difference").desc_nulls_last(), "usage_month", "campus_id")
-        .limit(30)
+        .limit(limit)
     )
 
 
@@ -268,8 +268,8 @@ def report_temperature_sample(
     )
 
 
-def report_top_candidates(baseline: DataFrame, campuses: Selection = None) -> DataFrame:
-    """The fifty strongest high-usage candidates."""
+def report_top_candidates(baseline: DataFrame, campuses: Selection = None, limit: int = 50) -> DataFrame:
+    """The ``limit`` strongest high-usage candidates."""
     return (
         _picked(baseline, campuses)
         .where("is_high_usage_candidate")
@@ -280,7 +280,7 @@ def report_top_candidates(baseline: DataFrame, campuses: Selection = None) -> Da
         .orderBy(
             F.desc("efficiency_opportunity_score"), F.desc("residual_consumption"), *_by_meter(), "usage_hour"
         )
-        .limit(50)
+        .limit(limit)
     )
 
 
@@ -323,8 +323,10 @@ def report_shift_comparison(shifts: DataFrame, campuses: Selection = None, sourc
     )
 
 
-def report_shift_top(shifts: DataFrame, percent: float, campuses: Selection = None) -> DataFrame:
-    """The fifty largest peak reductions of one shift percentage."""
+def report_shift_top(
+    shifts: DataFrame, percent: float, campuses: Selection = None, limit: int = 50
+) -> DataFrame:
+    """The ``limit`` largest peak reductions of one shift percentage."""
     return (
         _picked(shifts, campuses)
         .where(F.col("flexible_load_percent") == percent)
@@ -334,7 +336,7 @@ def report_shift_top(shifts: DataFrame, percent: float, campuses: Selection = No
             "total_energy_preserved", "notes",
         )
         .orderBy(F.desc("peak_reduction"), *_by_meter(), "simulation_date")
-        .limit(50)
+        .limit(limit)
     )
 
 
@@ -398,8 +400,10 @@ def report_response_components(
     return totals.select(F.inline(rows))
 
 
-def report_response_top(responses: DataFrame, campuses: Selection = None, sources: Selection = None) -> DataFrame:
-    """The fifty largest achieved reductions."""
+def report_response_top(
+    responses: DataFrame, campuses: Selection = None, sources: Selection = None, limit: int = 50
+) -> DataFrame:
+    """The ``limit`` largest achieved reductions."""
     return (
         _picked(responses, campuses, sources)
         .select(
@@ -409,5 +413,5 @@ def report_response_top(responses: DataFrame, campuses: Selection = None, source
             "total_energy_preserved", "negative_load_created", "notes",
         )
         .orderBy(F.desc("achieved_reduction"), *_by_meter(), "event_date", "start_hour")
-        .limit(50)
+        .limit(limit)
     )

@@ -253,7 +253,7 @@ responses AS (
            AS emissions_notes,
          'demand_response_peak_only_v1' AS simulation_version,
          'Offline simulation only. This is not real-time control or utility program participation.' AS notes
-  FROM event_windows, (SELECT CAST(0.10 AS DOUBLE) AS t, CAST(0.15 AS DOUBLE) AS f) WHERE base > 0
+  FROM event_windows, (VALUES {targets}) settings(t, f) WHERE base > 0
 ),
 checks AS (
   {checks}
@@ -361,14 +361,25 @@ def _columns(listed: str) -> list[tuple[str, str]]:
     return [tuple(column.split(" ")) for column in listed.split(", ")]
 
 
-def _profile(table: str, listed: str, source: str) -> str:
+def _profile(table: str, listed: str, source: str, sample: int = 5) -> str:
     columns = _columns(listed)
+    no_time = "CAST(NULL AS TIMESTAMP)"
+    bounds = lambda name, kind, f: f'{f}("{name}")' if "time" in name and kind.startswith("time") or "date" in name else no_time
+
+    def shown(name: str, kind: str) -> str:
+        if kind.startswith("array"):
+            return "CAST(NULL AS VARCHAR)"
+        value = f"coalesce(CAST(\"{name}\" AS VARCHAR), 'NULL')"
+        return f"(SELECT string_agg({value}, ' | ') FROM (SELECT * FROM {source} LIMIT {sample}))"
+
     names = ", ".join(f'"{name}"' for name, _ in columns)
     return " UNION ALL ".join(
         f"""SELECT '{table}' AS table_name, '{name}' AS column_name, '{kind}' AS data_type, count(*) AS row_count,
   {len(columns)} AS column_count,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT {names} FROM {source})) AS duplicate_count,
-  count(*) - count("{name}") AS null_count, (count(*) - count("{name}")) / count(*) AS null_rate FROM {source}"""
+  count(*) - count("{name}") AS null_count, (count(*) - count("{name}")) / count(*) AS null_rate,
+  {bounds(name, kind, "min")} AS first_timestamp, {bounds(name, kind, "max")} AS last_timestamp,
+  {shown(name, kind)} AS sample_values FROM {source}"""
         for name, kind in columns
     )
 
@@ -408,15 +419,18 @@ def _checks() -> str:
     )
 
 
-def build_oracles(campuses: list[int], sources: list[str], event: dict, search: str) -> dict[str, str]:
+def build_oracles(campuses: list[int], sources: list[str], event: dict, search: str, targets: list[tuple[float, float]]) -> dict[str, str]:
     """Query name -> SQL text."""
     campus_list = ", ".join(map(str, campuses))
     source_list = ", ".join(f"'{s}'" for s in sources)
     pick = f"campus_id IN ({campus_list}) AND source_system IN ({source_list})"
     pick_campus = f"campus_id IN ({campus_list})"
-    layers = LAYERS.strip().format(checks=_checks(), **event)
+    shares = [f"(CAST({target} AS DOUBLE), CAST({flexible} AS DOUBLE))" for target, flexible in targets]
+    one_target, all_targets = (
+        LAYERS.strip().format(checks=_checks(), targets=", ".join(listed), **event) for listed in (shares[:1], shares)
+    )
 
-    def over_layers(body: str, doubles: str = "") -> str:
+    def over_layers(body: str, doubles: str = "", layers: str = one_target) -> str:
         """A statement over the layer expressions with its double columns at six digits."""
         rounding = ", ".join(f'round("{name}", 6) + 0.0 AS "{name}"' for name in doubles.split())
         chosen = f"* REPLACE ({rounding})" if rounding else "*"
@@ -503,6 +517,38 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
         f"{_words("heading || ' ' || text")}, [{terms}])) AS INTEGER) AS score FROM chunks) "
         "WHERE score > 0 ORDER BY score DESC, doc_id, section_no, paragraph_no LIMIT "
     )
+    stats_of_responses = (
+        "SELECT count(*) AS row_count, count(*) FILTER (WHERE target_met) AS events_meeting_target, "
+        "count(*) FILTER (WHERE NOT total_energy_preserved) AS energy_preservation_failures, "
+        "count(*) FILTER (WHERE negative_load_created) AS negative_load_failures, "
+        "coalesce(max(achieved_reduction), 0) AS max_achieved_reduction FROM responses"
+    )
+    totals_of_responses = (
+        "SELECT CAST(coalesce(sum(simulated_events), 0) AS BIGINT) AS simulated_events, "
+        "CAST(coalesce(sum(events_meeting_target), 0) AS BIGINT) AS events_meeting_target, "
+        "CAST(coalesce(sum(energy_preservation_failures), 0) AS BIGINT) AS energy_preservation_failures, "
+        "CAST(coalesce(sum(negative_load_failures), 0) AS BIGINT) AS negative_load_failures, "
+        "coalesce(sum(achieved_reduction), 0) AS achieved_reduction, "
+        "coalesce(sum(unmet_reduction), 0) AS unmet_reduction, coalesce(sum(rebound_load), 0) AS rebound_load, "
+        "coalesce(CAST(sum(events_meeting_target) AS DOUBLE) / nullif(sum(simulated_events), 0), 0) "
+        f"AS target_achievement_rate FROM ({response_summary})"
+    )
+    total_doubles = "achieved_reduction unmet_reduction rebound_load target_achievement_rate"
+    largest_gaps = (
+        f"SELECT * FROM recon_monthly WHERE {pick_campus} "
+        "ORDER BY abs(consumption_difference) DESC NULLS LAST, usage_month, campus_id LIMIT "
+    )
+    hours_with_temperature = (
+        "SELECT campus_id, source_system, usage_hour, air_temperature, actual_consumption FROM baseline "
+        f"WHERE {pick} ORDER BY usage_hour, {meter_order} LIMIT "
+    )
+    best_responses = (
+        "SELECT campus_id, source_system, meter_id, building_id, event_date, start_hour, end_hour, "
+        "target_reduction_percent, flexible_load_percent, baseline_event_consumption, "
+        "simulated_event_consumption, target_reduction, achieved_reduction, unmet_reduction, target_met, "
+        "rebound_load, total_energy_preserved, negative_load_created, notes FROM responses "
+        f"WHERE {pick} ORDER BY achieved_reduction DESC, {meter_order} LIMIT "
+    )
     return {
         "discover_sources": " UNION ALL ".join(
             f"SELECT '{table}.parquet' AS file_name, 'parquet' AS format" for table in TABLE_SCHEMAS
@@ -610,13 +656,8 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             f"target_reduction_percent flexible_load_percent {response_doubles} baseline_rebound_consumption "
             "simulated_rebound_consumption target_achievement_ratio estimated_emissions_impact_kg_co2e",
         ),
-        "event_response_stats": over_layers(
-            "SELECT count(*) AS row_count, count(*) FILTER (WHERE target_met) AS events_meeting_target, "
-            "count(*) FILTER (WHERE NOT total_energy_preserved) AS energy_preservation_failures, "
-            "count(*) FILTER (WHERE negative_load_created) AS negative_load_failures, "
-            "coalesce(max(achieved_reduction), 0) AS max_achieved_reduction FROM responses",
-            "max_achieved_reduction",
-        ),
+        "event_response_stats": over_layers(stats_of_responses, "max_achieved_reduction"),
+        "event_response_stats_unmet": over_layers(stats_of_responses, "max_achieved_reduction", all_targets),
         "top_monthly_usage": over_layers(top_usage, "total_consumption"),
         "peak_demand_by_meter": over_layers(
             "SELECT * FROM peaks ORDER BY peak_demand_kw DESC, campus_id, meter_id LIMIT 20",
@@ -700,11 +741,8 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             "factor_source_name, factor_source_url, used_default_factor, factor_notes FROM emissions",
             "emissions_factor_kg_co2e_per_kwh",
         ),
-        "report_reconciliation": over_layers(
-            f"SELECT * FROM recon_monthly WHERE {pick_campus} "
-            "ORDER BY abs(consumption_difference) DESC NULLS LAST, usage_month, campus_id LIMIT 30",
-            recon_doubles,
-        ),
+        "report_reconciliation": over_layers(f"{largest_gaps}30", recon_doubles),
+        "report_reconciliation_limited": over_layers(f"{largest_gaps}5", recon_doubles),
         "report_baseline_summary": over_layers(
             f"SELECT campus_id, source_system, {rates}, avg(residual_percent) AS avg_residual_percent, "
             "max(efficiency_opportunity_score) AS max_efficiency_opportunity_score "
@@ -722,11 +760,8 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             f"SELECT {month_of_hour}, campus_id, source_system, {rates} FROM baseline WHERE {pick} GROUP BY ALL",
             "high_usage_rate",
         ),
-        "report_temperature_sample": over_layers(
-            "SELECT campus_id, source_system, usage_hour, air_temperature, actual_consumption FROM baseline "
-            f"WHERE {pick} ORDER BY usage_hour, {meter_order} LIMIT 5000",
-            "air_temperature actual_consumption",
-        ),
+        "report_temperature_sample": over_layers(f"{hours_with_temperature}5000", "air_temperature actual_consumption"),
+        "report_temperature_sample_limited": over_layers(f"{hours_with_temperature}700", "air_temperature actual_consumption"),
         "report_top_candidates": over_layers(
             "SELECT campus_id, source_system, meter_id, building_id, usage_hour, actual_consumption, "
             "expected_consumption, residual_consumption, residual_percent, efficiency_opportunity_score "
@@ -761,17 +796,13 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             response_summary,
             f"target_reduction_percent flexible_load_percent target_achievement_rate {response_doubles}",
         ),
-        "report_response_totals": over_layers(
-            "SELECT CAST(coalesce(sum(simulated_events), 0) AS BIGINT) AS simulated_events, "
-            "CAST(coalesce(sum(events_meeting_target), 0) AS BIGINT) AS events_meeting_target, "
-            "CAST(coalesce(sum(energy_preservation_failures), 0) AS BIGINT) AS energy_preservation_failures, "
-            "CAST(coalesce(sum(negative_load_failures), 0) AS BIGINT) AS negative_load_failures, "
-            "coalesce(sum(achieved_reduction), 0) AS achieved_reduction, "
-            "coalesce(sum(unmet_reduction), 0) AS unmet_reduction, coalesce(sum(rebound_load), 0) AS rebound_load, "
-            "coalesce(CAST(sum(events_meeting_target) AS DOUBLE) / nullif(sum(simulated_events), 0), 0) "
-            f"AS target_achievement_rate FROM ({response_summary})",
-            "achieved_reduction unmet_reduction rebound_load target_achievement_rate",
+        "report_response_summary_unmet": over_layers(
+            response_summary,
+            f"target_reduction_percent flexible_load_percent target_achievement_rate {response_doubles}",
+            all_targets,
         ),
+        "report_response_totals": over_layers(totals_of_responses, total_doubles),
+        "report_response_totals_unmet": over_layers(totals_of_responses, total_doubles, all_targets),
         "report_response_components": over_layers(
             " UNION ALL ".join(
                 f"SELECT '{label}' AS load_component, sum({name}) AS total_consumption FROM responses WHERE {pick}"
@@ -784,12 +815,23 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             "total_consumption",
         ),
         "report_response_top": over_layers(
-            "SELECT campus_id, source_system, meter_id, building_id, event_date, start_hour, end_hour, "
-            "target_reduction_percent, flexible_load_percent, baseline_event_consumption, "
-            "simulated_event_consumption, target_reduction, achieved_reduction, unmet_reduction, target_met, "
-            "rebound_load, total_energy_preserved, negative_load_created, notes FROM responses "
-            f"WHERE {pick} ORDER BY achieved_reduction DESC, {meter_order} LIMIT 50",
-            f"target_reduction_percent flexible_load_percent {response_doubles}",
+            f"{best_responses}50", f"target_reduction_percent flexible_load_percent {response_doubles}"
+        ),
+        "report_response_top_limited": over_layers(
+            f"{best_responses}4", f"target_reduction_percent flexible_load_percent {response_doubles}"
+        ),
+        "failed_checks": over_layers("SELECT name, table_name, observed_value, expected FROM checks WHERE status = 'FAIL'"),
+        "event_setting_problems": plain(
+            "SELECT *, concat_ws('; ', CASE WHEN end_hour <= start_hour THEN 'end_hour' END, "
+            "CASE WHEN target_percent NOT BETWEEN 0 AND 1 THEN 'target_percent' END, "
+            "CASE WHEN flexible_percent NOT BETWEEN 0 AND 1 THEN 'flexible_percent' END, "
+            "CASE WHEN rebound_hours < 1 THEN 'rebound_hours' END) AS problems FROM ("
+            "SELECT l_orderkey, l_linenumber, CAST(dayofyear(l_shipdate) % 20 AS INTEGER) AS start_hour, "
+            "CAST(dayofyear(l_shipdate) % 20 + l_linenumber - 2 AS INTEGER) AS end_hour, "
+            "CASE WHEN l_quantity > 3 THEN l_discount ELSE l_quantity END AS target_percent, "
+            "CASE WHEN l_returnflag = 'R' THEN -l_tax ELSE l_tax END AS flexible_percent, "
+            "l_partkey % 5 AS rebound_hours FROM lineitem)",
+            "target_percent flexible_percent",
         ),
         "report_quality_summary": over_layers("SELECT status, count(*) AS check_count FROM checks GROUP BY status"),
         "quality_checks": over_layers("SELECT * FROM checks"),
@@ -797,7 +839,7 @@ def build_oracles(campuses: list[int], sources: list[str], event: dict, search:
             _profile("bronze_building_consumption", BUILDING_FEED_COLUMNS, "bronze_building"), profile_doubles
         ),
         "profile_documents": plain(
-            _profile("documents", TABLE_SCHEMAS["documents"], "documents"), profile_doubles
+            _profile("documents", TABLE_SCHEMAS["documents"], "documents", 3), profile_doubles
         ),
         "timestamp_coverage": over_layers(
             "SELECT 'bronze_building_consumption' AS table_name, 'timestamp' AS column_name, "
