@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +24,7 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """Remembers what ``make`` gives for a piece with its space; ``trim`` keeps it under ``limit`` entries."""
+    """Remembers what ``make`` gives for a piece with its space; ``trim`` drops the older half beyond ``limit`` entries."""
 
     def __init__(self, make: Callable[[str], object], limit: int):
         super().__init__()
@@ -35,7 +36,8 @@ class PieceCache(dict):
 
     def trim(self) -> None:
         if len(self) > self.limit:
-            self.clear()
+            for piece in list(islice(self, len(self) // 2)):
+                del self[piece]
 
 
 def text_slices(batch: pa.RecordBatch, most: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
