@@ -13,6 +13,7 @@ that meets at the border may have been due for merging before.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -41,7 +42,7 @@ def merge_bytes(text: bytes, ranks: dict[bytes, int]) -> list[int]:
 class BytePairCodec:
     """Encoder and decoder for a vocabulary of ranked byte strings."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1_000_000):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.remember = remember
@@ -138,7 +139,7 @@ class BytePairCodec:
 
     def _piece(self, piece: str) -> bytes:
         ids = [i for match in self.find(piece) for i in self.encode_match(match.encode())]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
