@@ -55,27 +55,27 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``verdicts`` (doc_id, raw, kept) keeps.
 
     ``raw`` is the xxhash64 of the text (null: empty). There is one verdict for each row of ``docs``. Of rows that
-    agree in doc_id and text and have both verdicts, one stays; those are looked for, and only if there are
-    any do all rows take part in a grouping.
+    agree in doc_id and text and have both verdicts, one stays; all other rows have their own verdict, whatever
+    there is besides.
     """
     scratch = Scratch(docs.sparkSession, "kept-rows")
     found = scratch.store(verdicts.select("doc_id", "raw", "kept"), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
-    stays = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("raw").alias("stay_raw"))
-    as_kept = gone.gone_id.eqNullSafe(stays.stay_id) & (gone.gone_raw == stays.stay_raw)
+    keys = found.groupBy("doc_id", "raw").agg(F.bool_or("kept").alias("some_kept"), F.bool_and("kept").alias("all_kept"))
+    keys = keys.where("not all_kept").select(F.col("doc_id").alias("key_id"), F.col("raw").alias("key_raw"), "some_kept")
+    keys = scratch.store(keys, "keys")
     rows = docs.select(
         F.struct("*").alias("document"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("raw"),
     )
-    if not gone.join(stays, as_kept, "semi").isEmpty():
-        rows = rows.groupBy("doc_id", "raw").agg(F.any_value("document").alias("document"))
-        gone = gone.join(stays, as_kept, "anti")
     # Only rows that may be gone take part in the join; the texts of all others are not shuffled.
-    marked = bit_map(F.xxhash64("gone_id", "gone_raw"), gone)
+    marked = bit_map(F.xxhash64("key_id", "key_raw"), keys)
     maybe, others = split_by_map(rows, F.xxhash64("doc_id", "raw"), marked)
-    same = maybe.doc_id.eqNullSafe(gone.gone_id) & (maybe.raw == gone.gone_raw)
-    return maybe.join(gone, same, "anti").unionByName(others).select("document.*")
+    same = maybe.doc_id.eqNullSafe(keys.key_id) & (maybe.raw == keys.key_raw)
+    if not keys.where("some_kept").isEmpty():
+        once = maybe.join(keys.where("some_kept"), same, "semi").groupBy("doc_id", "raw")
+        others = others.unionByName(once.agg(F.any_value("document").alias("document")).select("document", "doc_id", "raw"))
+    return maybe.join(keys, same, "anti").unionByName(others).select("document.*")
 
 
 def likely_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ Sets of word shingles are compared without comparing all pairs:
   shingle is sorted by set size and read in steps: a step ends, and the rest of the list is skipped, where
   the sizes or the positions in the prefixes already rule the link out. What is left is tested with bit
   maps, whose distance is never more than that of the sets.
-* Lists of frequent shingles are not read pair by pair; a node only meets the first node of its part of
-  the list.
+* Index lists are counted. A long one is not read pair by pair; a node only meets the first node of its part
+  of the list, so the pairs that are formed grow with the nodes and not with the square of a list.
 * The nodes that met form clusters. A cluster is joined exactly in one task: the overlaps of a set with all
   others are derived from those of a highly similar set by adding and taking away the lists of the few
   shingles in which the two differ. Sets that are linked already, directly or over others, are not compared
@@ -39,8 +39,10 @@ from gridmill.llm.words import mix, powers, split_words, window_hashes
 PART = 1 << 20
 #: How many of its own sets all sets of a large cluster are compared with first.
 PIVOTS = 4
-#: Most shingles that are treated as frequent, whatever the corpus; the order has no bearing on the result.
+#: Most shingles that come last in the order of shingles, whatever the corpus; the order has no bearing on the result.
 FREQUENT = 100_000
+#: A longer index list is not read pair by pair.
+LONG = 256
 SHARED_TEXT = 8_000_000
 
 
@@ -415,7 +417,10 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def _meetings(rule: Rule, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v): enough pairs of nodes that every link lies inside one of their connected components."""
     index = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    rare = index.where("token >= 0").select("token", "n", F.col("at").cast("bigint").alias("at"), "node")
+    index = scratch.store(index.select("token", "n", F.col("at").cast("bigint").alias("at"), "node"), "index")
+    long = index.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > LONG)
+    long = scratch.store(long.select("token"), "long")
+    rare = index.join(long, "token", "anti")
     read = (
         rare.repartition("token").sortWithinPartitions("token", "n")
         .mapInArrow(_read_lists(rule), "u bigint, v bigint").distinct()
@@ -428,7 +433,7 @@ def _meetings(rule: Rule, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     )
     # Sizes that can be linked lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / rule.percent)) - 1e-9)
-    common = scratch.store(index.where("token < 0").select("token", block.alias("block"), "node"), "common")
+    common = scratch.store(index.join(long, "token", "semi").select("token", block.alias("block"), "node"), "common")
     heads = scratch.store(common.groupBy("token", "block").agg(F.min("node").alias("head")), "heads")
     own = common.join(heads, ["token", "block"]).select(F.col("node").alias("u"), F.col("head").alias("v"))
     beside = Window.partitionBy("token").orderBy("block")

@@ -30,7 +30,7 @@ from gridmill.functions.bitmap import bit_map, split_by_map
 from gridmill.llm.grouping import likely_rows
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.scratch import Scratch
-from gridmill.llm.words import Words, mix, rolling_hashes, split_words, text_bytes
+from gridmill.llm.words import Words, mix, rolling_hashes, second_hashes, split_words, text_bytes
 
 PLACE_BITS = np.uint64((1 << 24) - 1)
 
@@ -181,8 +181,8 @@ def _matched(table, before, later, around, copy_of, rows: slice) -> Iterator[pa.
 
 
 STRETCHES = (
-    "doc_id bigint, text_key bigint, low bigint, high bigint, start int, stop int, hash bigint, copied boolean, "
-    "copy_of bigint"
+    "doc_id bigint, text_key bigint, low bigint, high bigint, start int, stop int, hash bigint, check bigint, "
+    "copied boolean, copy_of bigint"
 )
 
 
@@ -216,6 +216,7 @@ def _stretches(rule: Rule):
                 start = low[which] + np.arange(len(which)) - np.repeat(stop - size, size)
                 last = np.where(settled[which], high[which], start)
                 hashes = rolling_hashes(words.hash, rule.min_words)[start].view(np.int64)
+                checks = rolling_hashes(second_hashes(words.hash), rule.min_words)[start].view(np.int64)
                 own = doc[which]
                 row = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
@@ -224,11 +225,11 @@ def _stretches(rule: Rule):
                         pa.array(start - first[own]), pa.array(last - first[own]),
                         pa.array((begin[start] - base[own]).astype(np.int32)),
                         pa.array((end[last + rule.min_words - 1] - base[own]).astype(np.int32)),
-                        pa.array(hashes, mask=settled[which]),
+                        pa.array(hashes, mask=settled[which]), pa.array(checks, mask=settled[which]),
                         flat.field("copied").take(pa.array(which)),
                         flat.field("copy_of").take(pa.array(which)),
                     ],
-                    ["doc_id", "text_key", "low", "high", "start", "stop", "hash", "copied", "copy_of"],
+                    ["doc_id", "text_key", "low", "high", "start", "stop", "hash", "check", "copied", "copy_of"],
                 )
 
     return run
@@ -238,7 +239,7 @@ RANGES = "doc_id bigint, text_key bigint, low bigint, high bigint, start int, st
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches, sorted by hash, that occur again: the first keeps it, the others are copies of it."""
+    """Stretches, sorted by their two hashes, that occur again: the first keeps it, the others are copies of it."""
     held, said = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -246,8 +247,9 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table]).combine_chunks()
-        table = _once(table, "hash", "doc_id", "text_key", "low")
-        same = _same(table.column("hash"))
+        table = _once(table, "hash", "check", "doc_id", "text_key", "low")
+        # Two stretches are the same words if both of their hashes agree.
+        same = _same(table.column("hash")) & _same(table.column("check"))
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
         copied = table.column("copied").to_numpy()
         again = np.append(same[1:], False)
@@ -292,7 +294,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, gram: int = 20) -> D
     held = likely.join(by_text, same).select(likely.doc_id, likely.text_key, "text", "places")
     stretches = scratch.store(held.mapInArrow(_stretches(rule), STRETCHES), "stretches")
     looked_up = (
-        stretches.where("hash is not null").repartition("hash").sortWithinPartitions("hash", "doc_id", "text_key", "low")
+        stretches.where("hash is not null").repartition("hash").sortWithinPartitions("hash", "check", "doc_id", "text_key", "low")
         .mapInArrow(_look_up, RANGES)
     )
     settled = stretches.where("hash is null").select(

@@ -5,6 +5,7 @@ The bytes of an Arrow column are handled as one array, so no Python code runs pe
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -33,13 +34,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _values(lower: bool) -> np.ndarray:
-    """A fixed 64-bit number for each byte; with ``lower`` A-Z count as a-z."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+@lru_cache(maxsize=1)
+def small_letters() -> np.ndarray:
+    """Each byte, A-Z as a-z."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
 @lru_cache(maxsize=2)
@@ -91,20 +91,36 @@ def split_words(texts: pa.StringArray, lower: bool = False) -> Words:
     return Words(doc, start - at[doc], stop - at[doc], hash_ranges(data, start, stop, lower), counts)
 
 
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: The bytes of a number that belong to a word with so many bytes left.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def hash_ranges(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
-    """A polynomial of the bytes of each word or line, worked out in blocks of about a megabyte of text."""
-    values, out = _values(lower), np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        lo = start[i]
-        j = max(i + 1, int(np.searchsorted(stop, lo + BLOCK, "right")))
-        up, down = powers(stop[j - 1] - lo)
-        n = stop[j - 1] - lo
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data[lo : lo + n]] * up[:n], out=sums[1:])
-        first, last = start[i:j] - lo, stop[i:j] - lo
-        out[i:j] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        i = j
+    """A 64-bit hash of the bytes of each word or line; with ``lower`` A-Z count as a-z.
+
+    Eight bytes at a time go through ``mix``, of all words together, so that words of up to eight bytes have
+    different hashes if they have as many bytes. A longer word than ``LONG`` takes its hash from BLAKE2b. No
+    sum of bytes is involved, so there are no texts whose bytes balance each other.
+    """
+    if lower:
+        data = small_letters()[data]
+    size = stop - start
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    open_words = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(open_words):
+        left = size[open_words] - at
+        value = eight[start[open_words] + at] & MASKS[np.minimum(left, 8)]
+        out[open_words] = mix(out[open_words] ^ value)
+        at += 8
+        open_words = open_words[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[0]
     return out
 
 
@@ -119,6 +135,11 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(sums)
 
 
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the same words that go into a window's second hash."""
+    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def rolling_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """As ``window_hashes``, in time that does not depend on ``n``."""
     if len(hashes) < n:

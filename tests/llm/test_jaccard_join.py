@@ -176,3 +176,34 @@ def test_a_large_cluster_that_pivots_link_in_part(spark, monkeypatch):
     texts = [*near_copies(rnd, words, 120, 6)] + [*near_copies(rnd, words[:50] + words[55:], 60, 2)]
     rnd.shuffle(texts)
     assert {tuple(r) for r in jj.jaccard_components(documents(spark, texts)).collect()} == brute(texts)
+
+
+def test_different_words_that_balance_are_not_linked(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = jj.jaccard_components(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_pairs_grow_with_the_sets_of_a_list_and_not_with_their_square(spark, tmp_path, monkeypatch):
+    """A list of 3,000 near copies is not read pair by pair; of short lists every pair is."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(3000):
+        text = list(base)
+        text[rnd.randrange(120)] = f"x{i}"
+        docs.append((i, " ".join(text)))
+    formed = []
+    store = jj.Scratch.store
+
+    def watched(self, df, name):
+        kept = store(self, df, name)
+        if name == "pairs":
+            formed.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jj.Scratch, "store", watched)
+    rows = jj.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert formed[0] < 3000 * jj.LONG
