@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
@@ -11,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from gridmill.functions import count_where, utc_from_instant, utc_from_nanoseconds, utc_from_text
-from gridmill.functions.bitmap import bit_map, rows_in_map
+from gridmill.functions.bitmap import bit_map, bits_for, rows_in_map
 from gridmill.session import run_folder
 from gridmill.sources.layers import store
 
 # Parts of a column name that suggest a time.
 TIME_NAME_PARTS = ("time", "date", "timestamp", "datetime")
+#: Most repeated row hashes that one map is made for; the map then has eight megabytes.
+MAP_KEYS = 1 << 22
 NESTED = ("array", "map", "struct", "binary", "variant")
 
 
@@ -27,9 +30,22 @@ def _repeated_hashes(hashed: DataFrame) -> DataFrame:
 
 
 def _repeats(hashed: DataFrame, columns: list[Column], repeated: DataFrame) -> DataFrame:
-    """Rows that may be equal to others, folded by their full values, which settles equal hashes exactly."""
-    likely = rows_in_map(hashed, F.col("_row_hash"), bit_map(F.col("_row_hash"), repeated))
-    folded = likely.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("_repeats"))
+    """Rows that may be equal to others, folded by their full values, which settles equal hashes exactly.
+
+    The map of repeated hashes has a size that follows their number, up to ``MAP_KEYS``. If there are more, the
+    hashes are split into ranges with a map each, and the table is scanned once for each of them.
+    """
+    n = repeated.count()
+    ranges = max(1, -(-n // MAP_KEYS))
+    bits = bits_for(-(-n // ranges))
+    parts = []
+    for k in range(ranges):
+        # The upper bits choose the range, the lower ones the place in its map.
+        mine = F.pmod(F.shiftright("_row_hash", 32), F.lit(ranges)) == k if ranges > 1 else F.lit(True)
+        marked = bit_map(F.col("_row_hash"), repeated.where(mine), bits)
+        likely = rows_in_map(hashed.where(mine), F.col("_row_hash"), marked, bits)
+        parts.append(likely.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("_repeats")).select("_repeats"))
+    folded = reduce(DataFrame.unionByName, parts)
     return folded.agg(F.coalesce(F.sum("_repeats"), F.lit(0).cast("long")).alias("duplicate_count"))
 
 
