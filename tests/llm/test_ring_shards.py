@@ -69,3 +69,57 @@ def test_one_key_for_all_rows(spark):
 
 def test_empty_table(spark):
     assert shard_documents(empty(spark), 16).count() == 0
+
+
+def walk_key_by_key(owners, counts, room):
+    """The ring walked with single keys: {(arc, rank): (shard, slot)}."""
+    taken, placed, overflow = [0] * len(room), {}, []
+
+    def settle(key, shard):
+        if taken[shard] == room[shard]:
+            return False
+        placed[key] = (shard, taken[shard])
+        taken[shard] += 1
+        return True
+
+    late = {}
+    for arc, n in enumerate(counts):
+        late[arc] = [(arc, rank) for rank in range(n) if not settle((arc, rank), owners[arc])]
+    for turn in range(2 * len(owners)):
+        arc = turn % len(owners)
+        while overflow and settle(overflow[0], owners[arc]):
+            overflow.pop(0)
+        if turn < len(owners):
+            overflow += late[arc]
+    assert not overflow
+    return placed
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_walk_equals_the_walk_of_single_keys(seed):
+    rnd = random.Random(100 + seed)
+    shards, nodes = rnd.choice([1, 2, 5, 16]), rnd.choice([1, 3, 8])
+    owners = [s for _, s in ring(shards, nodes)]
+    counts = [rnd.choice([0, 0, 1, 3, rnd.randint(0, 60)]) for _ in owners]
+    if seed % 3 == 0:
+        counts[rnd.randrange(len(counts))] += 400  # one arc with most of all keys
+    n = sum(counts)
+    room = [n // shards + (s < n % shards) + rnd.choice([0, 0, 2]) for s in range(shards)]
+    found = {
+        (stay.arc, stay.lo + i): (stay.shard, stay.slot + i)
+        for stay in walk_ring(owners, counts, room)
+        for i in range(stay.n)
+    }
+    assert found == walk_key_by_key(owners, counts, room)
+
+
+def test_rows_that_move_when_a_shard_is_added(spark):
+    """Counts stay equal to one row, so more than the new shard's rows move, but far from all of them."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'t' AS text")
+    before = {r.doc_id: r.shard for r in shard_documents(docs, 16).collect()}
+    after = {r.doc_id: r.shard for r in shard_documents(docs, 17).collect()}
+    new = sum(s == 16 for s in after.values())
+    moved = sum(before[i] != s for i, s in after.items())
+    assert new in (6000 // 17, 6000 // 17 + 1)
+    print("moved", moved, "new", new)
+    assert new <= moved <= 0.35 * 6000
