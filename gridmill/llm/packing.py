@@ -116,7 +116,7 @@ def plan_sequences(counts: Mapping[int, int], capacity: int) -> list[Run]:
 class TextIds:
     """Ids of texts as little-endian unsigned 32-bit numbers, for a byte-level BPE file in JSON."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 500_000):
+    def __init__(self, path: str, pattern: str, remember: int = 200_000):
         ranks, self.special = byte_level_ranks(path)
         self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = PieceCache(self._piece, remember)

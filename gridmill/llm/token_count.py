@@ -23,7 +23,7 @@ from gridmill.llm.pretokens import PieceCache, byte_level_ranks, cut, text_slice
 class ByteLevelCounter:
     """Counts the tokens of texts for a byte-level BPE file in JSON."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 500_000):
+    def __init__(self, path: str, pattern: str, remember: int = 200_000):
         from tokenizers import Tokenizer
 
         ranks, self.special = byte_level_ranks(path)
