@@ -230,7 +230,7 @@ def robust_rules(
         estimate = with_facts(stats if step == steps - 1 else fit, _estimate(inner, scale), f"estimate{step}")
         ranked = estimate.withColumn(
             "distance", _distance(F.col("values"), F.col("facts.center"), F.col("facts.whiten"))
-        )
+        ).drop("facts")
     near = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return ranked.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
