@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.grouping import join_group_facts, keep_rows
 from gridmill.llm.scratch import Scratch
+from gridmill.llm.worker import lean
 
 WHITE = b" \t\n\x0b\x0c\r"
 KEY = ["digest", "check", "n_left"]
@@ -83,7 +84,7 @@ def digest_facts(docs: DataFrame) -> DataFrame:
     """One row of digests per document; ``raw`` hashes the text as it is."""
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    return source.withColumn("raw", F.xxhash64("text")).mapInArrow(_digests, FACTS)
+    return source.withColumn("raw", F.xxhash64("text")).mapInArrow(lean(_digests), FACTS)
 
 
 def tree_merge(facts: DataFrame, fan: int = FAN) -> DataFrame:
@@ -102,7 +103,7 @@ def tree_merge(facts: DataFrame, fan: int = FAN) -> DataFrame:
         )
         .select(*[f.split()[0] for f in RUN.split(", ")])
         .sortWithinPartitions(*order)
-        .mapInArrow(_fold, RUN)
+        .mapInArrow(lean(_fold), RUN)
     )
     for step in (fan**r for r in range(rounds)):
         digit = lambda x: F.floor(x / F.lit(step)) % fan  # noqa: B023, E731
@@ -111,7 +112,7 @@ def tree_merge(facts: DataFrame, fan: int = FAN) -> DataFrame:
             runs.withColumn("place", moved.cast("bigint"))
             .repartitionById(places, F.col("place").cast("int"))
             .sortWithinPartitions(*order)
-            .mapInArrow(_fold, RUN)
+            .mapInArrow(lean(_fold), RUN)
         )
     return runs
 

@@ -34,6 +34,7 @@ from gridmill.llm.grouping import join_group_facts, keep_rows, likely_rows
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.scratch import Scratch
 from gridmill.llm.words import mix, powers, split_words, window_hashes
+from gridmill.llm.worker import lean
 
 #: Shingles of a part of a cluster; a larger cluster is joined part by part.
 PART = 1 << 20
@@ -382,7 +383,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     columns = ("doc_id", "text_key", "n", "a", "b", "token", "count")
-    profiles = texts.mapInArrow(_profiles(size), ", ".join(f"{c} bigint" for c in columns))
+    profiles = texts.mapInArrow(lean(_profiles(size), "words"), ", ".join(f"{c} bigint" for c in columns))
     profiles = scratch.store(profiles, "profiles")
     rows = profiles.where("n is not null").select("doc_id", "text_key", "n", "a", "b")
     counts = profiles.where("n is null").groupBy("token").agg(F.sum("count").alias("count")).where("count >= 64")
@@ -390,7 +391,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     often = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy()
     often = np.sort(often.astype(np.int64).view(np.uint64))
     prefixes = texts.mapInArrow(
-        _prefixes(rule, often), "a bigint, b bigint, n bigint, prefix array<bigint>, bits binary"
+        lean(_prefixes(rule, often), "words"), "a bigint, b bigint, n bigint, prefix array<bigint>, bits binary"
     )
     nodes = prefixes.groupBy("a", "b", "n").agg(F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
     nodes = scratch.store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -423,13 +424,13 @@ def _meetings(rule: Rule, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     rare = index.join(long, "token", "anti")
     read = (
         rare.repartition("token").sortWithinPartitions("token", "n")
-        .mapInArrow(_read_lists(rule), "u bigint, v bigint").distinct()
+        .mapInArrow(lean(_read_lists(rule), "words"), "u bigint, v bigint").distinct()
     )
     read = scratch.store(read, "pairs")
     facts = nodes.select("node", "n", "bits")
     tested = (
         read.join(facts.toDF("u", "n_u", "bits_u"), "u").join(facts.toDF("v", "n_v", "bits_v"), "v")
-        .mapInArrow(_bit_filter(rule), "u bigint, v bigint")
+        .mapInArrow(lean(_bit_filter(rule), "words"), "u bigint, v bigint")
     )
     # Sizes that can be linked lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / rule.percent)) - 1e-9)
@@ -463,7 +464,7 @@ def _links(
     sets = (
         likely.join(wanted, same)
         .select("text", "cluster", "parts", "node", "a", "b")
-        .mapInArrow(_wanted_sets(rule.size), "cluster bigint, parts int, node bigint, tokens array<bigint>")
+        .mapInArrow(lean(_wanted_sets(rule.size), "words"), "cluster bigint, parts int, node bigint, tokens array<bigint>")
     )
     sets = scratch.store(sets, "sets")
     small = sets.where("parts = 1").select(F.col("cluster").alias("pair"), "node", F.col("node").alias("group"), "tokens")
@@ -476,7 +477,7 @@ def _links(
 
 def _compared(rule: Rule, pairs: DataFrame) -> DataFrame:
     in_pairs = pairs.repartition("pair").sortWithinPartitions("pair", "node")
-    return in_pairs.mapInArrow(_join_clusters(rule), "u bigint, v bigint")
+    return in_pairs.mapInArrow(lean(_join_clusters(rule), "words"), "u bigint, v bigint")
 
 
 def _pivot_links(rule: Rule, large: DataFrame, scratch: Scratch) -> DataFrame:
@@ -491,7 +492,7 @@ def _pivot_links(rule: Rule, large: DataFrame, scratch: Scratch) -> DataFrame:
         tokens = large.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
         pivots = scratch.store(chosen.join(tokens, "pivot"), f"pivots{turn}")
         tested = large.join(pivots, "cluster").select("node", "tokens", "pivot", "pivot_tokens")
-        found = scratch.store(tested.mapInArrow(_test_pivots(rule), "u bigint, v bigint"), f"pivot-links{turn}")
+        found = scratch.store(tested.mapInArrow(lean(_test_pivots(rule), "words"), "u bigint, v bigint"), f"pivot-links{turn}")
         links = found if links is None else links.unionByName(found)
     return links
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.grouping import rank_in_class
 from gridmill.llm.pretokens import PieceCache, byte_level_ranks, cut, text_slices
 from gridmill.llm.scratch import Scratch
+from gridmill.llm.worker import lean, remembered_by
 
 
 class Run(NamedTuple):
@@ -134,6 +135,7 @@ class TextIds:
         return ids
 
 
+@remembered_by("packing")
 @lru_cache(maxsize=2)
 def text_ids(path: str, pattern: str) -> TextIds:
     return TextIds(path, pattern)
@@ -166,7 +168,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: None if with_ids else -1]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return texts.mapInArrow(lean(run, "packing"), PIECES + ", ids binary" * with_ids)
 
 
 def pack_documents(
@@ -209,4 +211,4 @@ def pack_documents(
 
     names = [c for c in pieces.columns if c not in ("part", "row")]
     ranked = rank_in_class(pieces, "length", "part", ["row"]).select(*names, "rank")
-    return ranked.mapInArrow(find, PIECES + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(find, "packing"), PIECES + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint")

@@ -12,11 +12,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.words import hash_ranges, split_words, text_bytes
+from gridmill.llm.worker import lean
 
 WORD_BUCKETS = 1 << 14
 RANK = 4
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
 
     # Bounded: at most ``max_rows`` ids.
     texts = _texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "recorded", "label")
-    table = texts.mapInArrow(sparse, "doc_id bigint, label int, index array<int>, value array<float>").toArrow()
+    table = texts.mapInArrow(lean(sparse), "doc_id bigint, label int, index array<int>, value array<float>").toArrow()
     table = table.sort_by("doc_id").combine_chunks()
     if not table.num_rows:
         return train(Rows(np.empty(0, int), np.empty(0, np.int32), np.empty(0, np.float32)), np.empty(0))
@@ -240,25 +242,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "score", "predicted"],
                 )
 
-    scored = _texts(docs).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    scored = _texts(docs).mapInArrow(lean(run), "doc_id bigint, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with all their columns that the model does not reject."""
+    # The text is taken out of the document in the task, so that it is sent to Python once.
+    place = [c.lower() for c in docs.columns].index("text")
     inside = docs.select(
-        F.struct("*").alias("document"), F.coalesce("text", F.lit("")).alias("text"),
+        F.struct("*").alias("document"),
         (F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("recorded"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1_000_000):
+            text = pc.fill_null(batch.column("document").field(place), "")
+            columns = [batch.column("document"), text, batch.column("recorded")]
+            for part in text_slices(pa.RecordBatch.from_arrays(columns, ["document", "text", "recorded"]), 1_000_000):
                 recorded = part.column("recorded").to_numpy(zero_copy_only=False).astype(float)
                 raw, _ = raw_scores(features(part.column("text"), recorded), model)
                 good = pa.RecordBatch.from_arrays([part.column("document")], ["document"]).filter(pa.array(raw >= 0))
                 if good.num_rows:
                     yield good
 
-    kept = inside.mapInArrow(run, inside.select("document").schema)
+    kept = inside.mapInArrow(lean(run), inside.select("document").schema)
     return kept.select("document.*")

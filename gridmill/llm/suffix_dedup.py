@@ -31,6 +31,7 @@ from gridmill.llm.grouping import likely_rows
 from gridmill.llm.pretokens import text_slices
 from gridmill.llm.scratch import Scratch
 from gridmill.llm.words import Words, mix, rolling_hashes, second_hashes, split_words, text_bytes
+from gridmill.llm.worker import lean
 
 PLACE_BITS = np.uint64((1 << 24) - 1)
 
@@ -282,20 +283,20 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, gram: int = 20) -> D
     scratch = Scratch(docs.sparkSession, "suffixes")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
-    suffixes = scratch.store(texts.mapInArrow(_suffixes(rule), SUFFIXES), "suffixes")
+    suffixes = scratch.store(texts.mapInArrow(lean(_suffixes(rule), "words"), SUFFIXES), "suffixes")
     order = ["head", "around", "doc_id", "text_key", "at"]
     # Ranges of the whole order split a head that very many suffixes share.
     sorted_suffixes = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    matched = scratch.store(sorted_suffixes.mapInArrow(_neighbours, MATCHED), "matched")
+    matched = scratch.store(sorted_suffixes.mapInArrow(lean(_neighbours, "words"), MATCHED), "matched")
     place = F.struct("at", "settled", "copied", "copy_of")
     by_text = matched.groupBy("doc_id", "text_key").agg(F.collect_set(place).alias("places"))
     likely = likely_rows(texts, matched.select("doc_id", "text_key").distinct())
     same = likely.doc_id.eqNullSafe(by_text.doc_id) & (likely.text_key == by_text.text_key)
     held = likely.join(by_text, same).select(likely.doc_id, likely.text_key, "text", "places")
-    stretches = scratch.store(held.mapInArrow(_stretches(rule), STRETCHES), "stretches")
+    stretches = scratch.store(held.mapInArrow(lean(_stretches(rule), "words"), STRETCHES), "stretches")
     looked_up = (
         stretches.where("hash is not null").repartition("hash").sortWithinPartitions("hash", "check", "doc_id", "text_key", "low")
-        .mapInArrow(_look_up, RANGES)
+        .mapInArrow(lean(_look_up, "words"), RANGES)
     )
     settled = stretches.where("hash is null").select(
         "doc_id", "text_key", "low", "high", "start", "stop", F.lit(False).alias("kept"), "copy_of"
@@ -362,7 +363,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 20) -> Data
                 yield pa.RecordBatch.from_arrays(columns, ["document", "left"]).filter(pa.array(stays))
 
     document = joined.select("document", F.lit(None).cast("string").alias("left")).schema
-    cut = joined.select("document", "whole", "cuts").mapInArrow(run, document)
+    cut = joined.select("document", "whole", "cuts").mapInArrow(lean(run, "words"), document)
     cut = cut.unionByName(others.select("document", F.lit(None).cast("string").alias("left")))
     changed = {"text": F.coalesce("left", "document.text")}
     if "n_chars" in docs.columns:

@@ -12,6 +12,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from gridmill.llm.worker import remembered_by
+
 BLOCK = 1 << 20
 #: An odd number, of which neighbouring powers differ by little that is divisible by two.
 BASE = 0x9E3779B97F4A7C15 | 3
@@ -42,6 +44,7 @@ def small_letters() -> np.ndarray:
     return table
 
 
+@remembered_by("words")
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of BASE and of its inverse modulo 2**64."""

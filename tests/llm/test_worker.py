@@ -1,0 +1,48 @@
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from gridmill.llm.packing import text_ids
+from gridmill.llm.queries import PATTERN, TOKENIZER
+from gridmill.llm.quality_fm import FEATURES, RANK, Model, good_documents
+from gridmill.llm.words import powers
+from gridmill.llm.worker import lean, remembered_by
+
+
+def batch(*values):
+    return pa.RecordBatch.from_pydict({"x": list(values)})
+
+
+def test_other_steps_leave_no_memory_in_a_worker():
+    text_ids(TOKENIZER, PATTERN), powers(8)
+    assert text_ids.cache_info().currsize
+    run = lambda batches: (b for b in batches)
+    list(lean(run, "packing")(iter([batch(1)])))
+    assert text_ids.cache_info().currsize
+    powers(8)
+    assert [b.to_pylist() for b in lean(run, "words")(iter([batch(1), batch(2)]))] == [[{"x": 1}], [{"x": 2}]]
+    assert not text_ids.cache_info().currsize
+    list(lean(run)(iter([])))
+    assert not powers.__globals__["_powers"].cache_info().currsize
+
+
+def test_a_memory_goes_before_the_first_batch():
+    cleared = []
+
+    class Memory:
+        cache_clear = staticmethod(lambda: cleared.append(True))
+
+    remembered_by("test")(Memory)
+    run = lean(lambda batches: (b for b in batches), "other")(iter([batch(1)]))
+    assert not cleared and next(run) and cleared
+
+
+def test_a_text_is_sent_to_the_classifier_once(spark):
+    rows = [(1, "good", 4), (2, None, None), (3, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, Text string, n_chars int")
+    yes, none = Model(1.0, np.zeros(FEATURES, np.float32), np.zeros((FEATURES, RANK), np.float32)), docs.where(F.lit(False))
+    kept = good_documents(docs, yes)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows
+    assert good_documents(docs, yes._replace(bias=-1.0)).count() == good_documents(none, yes).count() == 0
+    inside = kept._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1].split("Project")[1]
+    assert "coalesce(Text" not in inside and "coalesce(text" not in inside
