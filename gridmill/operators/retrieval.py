@@ -16,8 +16,15 @@ from gridmill.sources.layers import write_layer
 
 #: Folders that the terms of an index are dealt to.
 TERM_BUCKETS = 64
+#: Buckets that one task writes.
+GROUP_BUCKETS = 4
 #: Bits of a chunk number below the number of the part that has the chunk.
 PART_BITS = 33
+#: Chunks of a block, whose postings stay together in a search for many queries: two to this power.
+BLOCK_BITS = 7
+#: Pairs of query and chunk that a task of such a search is meant to count, and the most tasks made for that.
+TASK_PAIRS = 1 << 20
+MOST_TASKS = 20_000
 
 BLANK_LINE = r"\n\s*\n"
 DEFAULT_HEADING = "Overview"
@@ -122,15 +129,20 @@ def _bucket(term: str) -> int:
     return zlib.crc32(term.encode()) % TERM_BUCKETS
 
 
+def _bucket_of(term: str) -> Column:
+    return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+
+
 def build_document_index(
     chunks: DataFrame, database: str = "documents", id_column: str = "source_path", parts: int | None = None, root: str | None = None
 ) -> DocumentIndex:
     """Store chunks and their inverted index as the tables ``chunks`` and ``postings`` of a database.
 
     Chunks are range-dealt in document order, so that their numbers follow it; the upper bits of a number name
-    the part, and with it the folder, of the chunk. Postings are range-dealt by (bucket of the term, term,
-    chunk): a term that is in a third of all chunks is written by many tasks, and one search opens only the
-    folders of its terms and in them the row groups of its terms. ``parts`` is the number of write tasks
+    the part, and with it the folder, of the chunk. Postings are dealt by (slice of the parts, group of
+    buckets), both known from a row itself, so that no pass over them has to find ranges: a term that is in a third
+    of all chunks is written by a task of each slice, and one search opens only the folders of its terms and in
+    them the row groups of its terms. ``parts`` is the number of write tasks
     (default: the session's shuffle partitions). Null headings and texts have no terms; repeated chunks count each.
     """
     spark = chunks.sparkSession
@@ -142,9 +154,12 @@ def build_document_index(
     stored = write_layer(numbered, f"{database}.chunks", partition_by=["part"], root=root, rebalance=False)
     terms = word_set(F.concat_ws(" ", "heading", "text"))
     postings = stored.select(F.explode(terms).alias("term"), "chunk_no")
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
-    postings = postings.withColumn("bucket", bucket)
-    dealt = postings.repartitionByRange(parts, "bucket", "term", "chunk_no").sortWithinPartitions("bucket", "term", "chunk_no")
+    groups = TERM_BUCKETS // GROUP_BUCKETS
+    slices = -(-parts // groups)
+    part_slice = (F.shiftright("chunk_no", PART_BITS) % slices).cast("int")
+    place = part_slice * groups + F.floor(_bucket_of("term") / GROUP_BUCKETS).cast("int")
+    dealt = postings.repartitionById(slices * groups, place).withColumn("bucket", _bucket_of("term"))
+    dealt = dealt.sortWithinPartitions("bucket", "term", "chunk_no")
     kept = write_layer(dealt, f"{database}.postings", partition_by=["bucket"], root=root, rebalance=False)
     return DocumentIndex(stored, kept)
 
@@ -182,16 +197,23 @@ def index_search(index: DocumentIndex, query: str, limit: int = 5) -> DataFrame:
 def index_search_all(index: DocumentIndex, queries: DataFrame, limit: int = 5) -> DataFrame:
     """The best ``limit`` chunks of many queries: query_id, rank (from 1), score and the columns of the chunks.
 
-    ``queries`` has query_id and query. Queries meet postings by term and add up per query and chunk; a rank
-    window with a limit keeps the best of each task before they are brought together. A query without terms
-    or hits has no rows; repeated query_ids count as one query with all their terms.
+    ``queries`` has query_id and query. Postings of the terms are dealt by blocks of chunks first and meet the
+    queries there, so that what is sent grows with the postings and not with the pairs of query and chunk; a task has
+    about ``TASK_PAIRS`` of these at most. A rank window with a limit keeps the best of each task before they are
+    brought together. A query without terms or hits has no rows; repeated query_ids count as one query with all
+    their terms.
     """
     terms = queries.select("query_id", F.explode(word_set(F.col("query"))).alias("term")).distinct()
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
-    hits = index.postings.join(terms.withColumn("bucket", bucket), ["bucket", "term"])
-    scores = hits.groupBy("query_id", "chunk_no").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    wanted = terms.select(_bucket_of("term").alias("bucket"), "term").distinct()
+    n_queries = terms.agg(F.count_distinct(F.struct("query_id"))).first()[0]
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(parts, n_queries * index.chunks.count() // TASK_PAIRS), max(parts, MOST_TASKS))
+    asked = index.postings.join(wanted, ["bucket", "term"], "left_semi")
+    block = F.shiftright("chunk_no", BLOCK_BITS)
+    dealt = asked.select("term", "chunk_no").withColumn("block", block).repartition(parts, "block")
+    scores = dealt.join(terms, "term").groupBy("block", "chunk_no", "query_id").agg(F.count(F.lit(1)).cast("int").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_no")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = scores.drop("block").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     best = best.withColumn("part", F.shiftright("chunk_no", PART_BITS).cast("int"))
     columns = [c for c in index.chunks.columns if c not in ("chunk_no", "part")]
     return index.chunks.join(best, ["part", "chunk_no"]).select("query_id", "rank", "score", *columns)

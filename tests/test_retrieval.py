@@ -1,10 +1,13 @@
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridmill.functions import query_terms
+from gridmill.operators import retrieval
 from gridmill.operators.retrieval import (
     TERM_BUCKETS,
     build_document_index,
@@ -155,6 +158,39 @@ def test_a_search_opens_only_the_files_of_its_terms(spark, library):
     assert "part" in text.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_many_queries_are_counted_where_the_chunks_are(spark, library, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 8)
+    index = build_document_index(library, "test_library", parts=6)
+    rnd = random.Random(5)
+    asked = [(i, "common " + " ".join(f"w{rnd.randint(0, 60)}" for _ in range(6))) for i in range(12)]
+    asked += [(3, "w1 w2"), (None, "w5 w6"), (None, "w7"), (77, "the"), (78, None)]
+    found = index_search_all(index, spark.createDataFrame(asked, "query_id int, query string"), 4)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+, chunk_no", text), "pairs of query and chunk are sent"
+    terms = defaultdict(set)
+    for query_id, query in asked:
+        terms[query_id] |= set(query_terms(query or ""))
+    words = {(r.source_path, r.section_no, r.paragraph_no, i): set(query_terms(f"{r.heading} {r.text}")) for i, r in enumerate(library.collect())}
+    want = []
+    for query_id, own in terms.items():
+        hits = sorted((-len(own & have), key[:3]) for key, have in words.items() if own & have)[:4]
+        want += [(query_id, i + 1, -score, *key) for i, (score, key) in enumerate(hits)]
+    columns = ("query_id", "rank", "score", "source_path", "section_no", "paragraph_no")
+    assert Counter(plain(found.select(*columns))) == Counter(want)
+
+
+def test_postings_are_dealt_without_a_pass_for_ranges(spark, library, monkeypatch):
+    ranged, frame = [], type(library)
+    before = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: ranged.append(a) or before(self, *a))
+    index = build_document_index(library, "test_library", parts=40)
+    assert len(ranged) == 1  # the chunks
+    files = index.postings.groupBy("bucket", F.input_file_name().alias("file")).agg(F.count("*").alias("n")).groupBy("bucket").count()
+    assert {r["count"] for r in files.collect()} <= {1, 2, 3}
+    rows = Counter((r.term, r.chunk_no) for r in index.postings.collect())
+    assert rows == Counter((w, r.chunk_no) for r in index.chunks.collect() for w in query_terms(f"{r.heading} {r.text}"))
+
+
 def test_index_of_no_chunks(spark, library):
     index = build_document_index(library.where("false"), "test_library", parts=2)
     assert index_search(index, "w1").count() == 0
