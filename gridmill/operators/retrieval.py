@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Sequence
 from functools import reduce
+from threading import Lock
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,12 @@ TERM_BUCKETS = 64
 GROUP_BUCKETS = 4
 #: Bits of a chunk number below the number of the part that has the chunk.
 PART_BITS = 33
+#: How many groups a list aggregate holds in memory before it sorts its input, and how many of (part, term) it may be
+#: while an index is built. The list of a group is no longer than its part has chunks.
+HASHED_LISTS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+HASHED_GROUPS = 1 << 20
+#: Builds that run at the same time share the settings of the session.
+_ONE_AT_A_TIME = Lock()
 #: Chunks of a block, whose postings stay together in a search for many queries: two to this power.
 BLOCK_BITS = 7
 #: Pairs of query and chunk that a task of such a search is meant to count, and the most tasks made for that.
@@ -119,7 +126,7 @@ def keyword_search(chunks: DataFrame, query: str, limit: int = 5, id_column: str
 
 
 class DocumentIndex(NamedTuple):
-    """Stored tables: chunks with ``chunk_no``, which follows the order of the documents, and (term, chunk_no)."""
+    """Stored tables: chunks with ``chunk_no``, which follows the order of the documents, and (term, chunk_nos)."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -142,7 +149,7 @@ def build_document_index(
     the part, and with it the folder, of the chunk. Postings are dealt by (slice of the parts, group of
     buckets), both known from a row itself, so that no pass over them has to find ranges: a term that is in a third
     of all chunks is written by a task of each slice, and one search opens only the folders of its terms and in
-    them the row groups of its terms. ``parts`` is the number of write tasks
+    them the row groups of its terms. A row has the chunks of one part that have the term. ``parts`` is the number of write tasks
     (default: the session's shuffle partitions). Null headings and texts have no terms; repeated chunks count each.
     """
     spark = chunks.sparkSession
@@ -153,14 +160,21 @@ def build_document_index(
     numbered = numbered.withColumn("part", F.shiftright("chunk_no", PART_BITS).cast("int"))
     stored = write_layer(numbered, f"{database}.chunks", partition_by=["part"], root=root, rebalance=False)
     terms = word_set(F.concat_ws(" ", "heading", "text"))
-    postings = stored.select(F.explode(terms).alias("term"), "chunk_no")
+    postings = stored.select(F.explode(terms).alias("term"), "chunk_no", "part")
     groups = TERM_BUCKETS // GROUP_BUCKETS
     slices = -(-parts // groups)
-    part_slice = (F.shiftright("chunk_no", PART_BITS) % slices).cast("int")
-    place = part_slice * groups + F.floor(_bucket_of("term") / GROUP_BUCKETS).cast("int")
-    dealt = postings.repartitionById(slices * groups, place).withColumn("bucket", _bucket_of("term"))
-    dealt = dealt.sortWithinPartitions("bucket", "term", "chunk_no")
-    kept = write_layer(dealt, f"{database}.postings", partition_by=["bucket"], root=root, rebalance=False)
+    place = F.col("part") % slices * groups + F.floor(_bucket_of("term") / GROUP_BUCKETS).cast("int")
+    dealt = postings.withColumn("place", place).repartitionById(slices * groups, F.col("place"))
+    lists = dealt.groupBy("place", "part", "term").agg(F.collect_list("chunk_no").alias("chunk_nos"))
+    lists = lists.select("term", "chunk_nos", _bucket_of("term").alias("bucket")).sortWithinPartitions("bucket", "term")
+    # A task has far more terms than the 128 groups by default, beyond which every posting would be sorted.
+    with _ONE_AT_A_TIME:
+        default = spark.conf.get(HASHED_LISTS)
+        spark.conf.set(HASHED_LISTS, str(HASHED_GROUPS))
+        try:
+            kept = write_layer(lists, f"{database}.postings", partition_by=["bucket"], root=root, rebalance=False)
+        finally:
+            spark.conf.set(HASHED_LISTS, default)
     return DocumentIndex(stored, kept)
 
 
@@ -173,7 +187,7 @@ def posting_scores(index: DocumentIndex, terms: Sequence[str]) -> DataFrame:
     """chunk_no and score, the number of the terms it has, of every chunk that has any."""
     buckets = sorted({_bucket(term) for term in terms})
     hits = index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
-    return hits.groupBy("chunk_no").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    return hits.select(F.explode("chunk_nos").alias("chunk_no")).groupBy("chunk_no").agg(F.count(F.lit(1)).cast("int").alias("score"))
 
 
 def index_search(index: DocumentIndex, query: str, limit: int = 5) -> DataFrame:
@@ -210,7 +224,7 @@ def index_search_all(index: DocumentIndex, queries: DataFrame, limit: int = 5) -
     parts = min(max(parts, n_queries * index.chunks.count() // TASK_PAIRS), max(parts, MOST_TASKS))
     asked = index.postings.join(wanted, ["bucket", "term"], "left_semi")
     block = F.shiftright("chunk_no", BLOCK_BITS)
-    dealt = asked.select("term", "chunk_no").withColumn("block", block).repartition(parts, "block")
+    dealt = asked.select("term", F.explode("chunk_nos").alias("chunk_no")).withColumn("block", block).repartition(parts, "block")
     scores = dealt.join(terms, "term").groupBy("block", "chunk_no", "query_id").agg(F.count(F.lit(1)).cast("int").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_no")
     best = scores.drop("block").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

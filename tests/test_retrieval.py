@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridmill.functions import query_terms
 from gridmill.operators import retrieval
 from gridmill.operators.retrieval import (
+    PART_BITS,
     TERM_BUCKETS,
     build_document_index,
     chunk_documents,
@@ -185,9 +186,12 @@ def test_postings_are_dealt_without_a_pass_for_ranges(spark, library, monkeypatc
     monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: ranged.append(a) or before(self, *a))
     index = build_document_index(library, "test_library", parts=40)
     assert len(ranged) == 1  # the chunks
+    assert spark.conf.get(retrieval.HASHED_LISTS) == "128"
     files = index.postings.groupBy("bucket", F.input_file_name().alias("file")).agg(F.count("*").alias("n")).groupBy("bucket").count()
     assert {r["count"] for r in files.collect()} <= {1, 2, 3}
-    rows = Counter((r.term, r.chunk_no) for r in index.postings.collect())
+    stored = index.postings.collect()
+    assert max(len(r.chunk_nos) for r in stored) > 1 and all(len({n >> PART_BITS for n in r.chunk_nos}) == 1 for r in stored)
+    rows = Counter((r.term, n) for r in stored for n in r.chunk_nos)
     assert rows == Counter((w, r.chunk_no) for r in index.chunks.collect() for w in query_terms(f"{r.heading} {r.text}"))
 
 
