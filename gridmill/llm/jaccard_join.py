@@ -3,8 +3,10 @@
 Sets of word shingles are compared without comparing all pairs:
 
 * Equal sets are one node.
-* The shingles of a node are put in one global order, the frequent ones last. Nodes that are similar enough
-  share one of their first shingles (their prefix), so only prefixes are indexed. The index list of a
+* The shingles of a node are put in one global order, rare ones first: shingles fall on a fixed number of counters,
+  each task counts its own, and the counters are added up. Nodes that are similar enough share one of their first
+  shingles (their prefix), so only prefixes are indexed, and a shingle of many nodes is only in the prefixes of
+  those that have hardly any others. The index list of a
   shingle is sorted by set size and read in steps: a step ends, and the rest of the list is skipped, where
   the sizes or the positions in the prefixes already rule the link out. What is left is tested with bit
   maps, whose distance is never more than that of the sets.
@@ -40,11 +42,12 @@ from gridmill.llm.worker import lean
 PART = 1 << 20
 #: How many of its own sets all sets of a large cluster are compared with first.
 PIVOTS = 4
-#: Most shingles that come last in the order of shingles, whatever the corpus; the order has no bearing on the result.
-FREQUENT = 100_000
+#: Counters on which the shingles fall, whatever the corpus; they set the order of shingles, which has no bearing on the result.
+COUNTERS = 1 << 22
+#: Counters that are stored and added up together.
+BLOCK = 1 << 14
 #: A longer index list is not read pair by pair.
 LONG = 256
-SHARED_TEXT = 8_000_000
 
 
 class Rule(NamedTuple):
@@ -105,56 +108,82 @@ def bit_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def counters_of(shingles: np.ndarray) -> np.ndarray:
+    """The counter on which each shingle falls."""
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+PROFILES = "doc_id bigint, text_key bigint, n bigint, a bigint, b bigint, block int, counts binary"
+
+
 def _profiles(size: int):
-    """Per document its signature; per stretch of text the shingles that three or more of its sets share."""
+    """Per document its signature; per task the counters of the shingles of its sets, block by block."""
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
 
     def rows(*columns) -> pa.RecordBatch:
-        names = ["doc_id", "text_key", "n", "a", "b", "token", "count"]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    def frequent(seen: dict) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-        often = counts >= 3
-        none = [None] * int(often.sum())
-        return rows(none, none, none, none, none, tokens[often].astype(np.int64), counts[often])
+        names = [f.split()[0] for f in PROFILES.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], np.ndarray] = {}
-        held = 0
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for part in text_slices(batch, 1_000_000):
                 sets = shingle_sets(part.column("text"), size)
-                signs = [signature(s) for s in sets]
+                np.add.at(total, counters_of(np.concatenate(sets)), np.uint32(1))
+                a, b = zip(*[signature(s) for s in sets])
                 none = [None] * len(sets)
-                a, b = zip(*signs)
                 yield rows(part.column("doc_id"), part.column("text_key"), list(map(len, sets)), a, b, none, none)
-                seen |= zip(signs, sets)
-                held += part.column("text").nbytes
-                if held > SHARED_TEXT:
-                    yield frequent(seen)
-                    seen, held = {}, 0
-        if seen:
-            yield frequent(seen)
+        codec = pa.Codec("zstd")
+        counted = total.reshape(-1, BLOCK)
+        blocks = np.flatnonzero(counted.any(axis=1)).tolist()
+        if blocks:
+            counts = [codec.compress(counted[i].astype("<u4").tobytes(), asbytes=True) for i in blocks]
+            none = [None] * len(blocks)
+            yield rows(none, none, none, none, none, blocks, counts)
 
     return run
 
 
-def _prefixes(rule: Rule, often: np.ndarray):
+def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the counters of all tasks together, as classes: eight to a doubling, 0 for no shingle."""
+    codec = pa.Codec("zstd")
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            own = np.frombuffer(codec.decompress(counts, 4 * BLOCK), "<u4")
+            sums[block] = sums.get(block, np.int64(0)) + own
+    if sums:
+        classes = [_classes(x).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(classes, pa.binary())], ["block", "classes"])
+
+
+def _classes(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, np.minimum(1 + 8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(np.uint8)
+
+
+def _frequency(profiles: DataFrame) -> np.ndarray:
+    """The class of each counter; ``COUNTERS`` bytes."""
+    blocks = profiles.where("block is not null").select("block", "counts").repartition("block")
+    blocks = blocks.mapInArrow(lean(_add_counters, "words"), "block int, classes binary").toArrow()
+    classes = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint8)
+    for block, own in zip(blocks.column("block").to_pylist(), blocks.column("classes").to_pylist()):
+        classes[block] = np.frombuffer(own, np.uint8)
+    return classes.ravel()
+
+
+def _prefixes(rule: Rule, frequency: np.ndarray):
     """Per document its signature, the prefix of its set in the global order and its bit map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.uint64(1 << 63)
         for batch in batches:
             for part in text_slices(batch, 1_000_000):
                 found = []
                 for one in shingle_sets(part.column("text"), rule.size):
                     if not len(one):
                         continue
-                    at = np.minimum(np.searchsorted(often, one), max(len(often) - 1, 0))
-                    late = often[at] == one if len(often) else np.zeros(len(one), bool)
-                    k = rule.prefix(len(one))
-                    # Both parts are in ascending order already.
-                    first = np.concatenate([one[~late][:k], one[late][:k] | last])[:k]
+                    # A set is in ascending order, so shingles of one class stay so.
+                    order = np.argsort(frequency[counters_of(one)], kind="stable")
+                    first = one[order[: rule.prefix(len(one))]]
                     found.append((*signature(one), len(one), first.astype(np.int64), bit_map(one)))
                 if found:
                     a, b, n, first, bits = zip(*found)
@@ -382,16 +411,11 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
-    columns = ("doc_id", "text_key", "n", "a", "b", "token", "count")
-    profiles = texts.mapInArrow(lean(_profiles(size), "words"), ", ".join(f"{c} bigint" for c in columns))
-    profiles = scratch.store(profiles, "profiles")
+    profiles = scratch.store(texts.mapInArrow(lean(_profiles(size), "words"), PROFILES), "profiles")
     rows = profiles.where("n is not null").select("doc_id", "text_key", "n", "a", "b")
-    counts = profiles.where("n is null").groupBy("token").agg(F.sum("count").alias("count")).where("count >= 64")
-    # Bounded by FREQUENT rows.
-    often = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy()
-    often = np.sort(often.astype(np.int64).view(np.uint64))
     prefixes = texts.mapInArrow(
-        lean(_prefixes(rule, often), "words"), "a bigint, b bigint, n bigint, prefix array<bigint>, bits binary"
+        lean(_prefixes(rule, _frequency(profiles)), "words"),
+        "a bigint, b bigint, n bigint, prefix array<bigint>, bits binary",
     )
     nodes = prefixes.groupBy("a", "b", "n").agg(F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
     nodes = scratch.store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

@@ -207,3 +207,34 @@ def test_pairs_grow_with_the_sets_of_a_list_and_not_with_their_square(spark, tmp
     rows = jj.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r.component_id for r in rows} == {0}
     assert formed[0] < 3000 * jj.LONG
+
+
+def test_sets_that_share_a_common_passage_are_not_compared(spark, monkeypatch):
+    """A passage of many texts comes last in the order, so it makes no cluster of texts that are otherwise different."""
+    monkeypatch.setattr(jj, "LONG", 4)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*(f"w{i}_{k}" for k in range(60)), *passage]) for i in range(40)]
+    texts.append(texts[7] + " end")
+    read_again = []
+    store = jj.Scratch.store
+
+    def watched(self, df, name):
+        kept = store(self, df, name)
+        if name == "wanted":
+            read_again.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jj.Scratch, "store", watched)
+    rows = {tuple(r) for r in jj.jaccard_components(documents(spark, texts).repartition(5)).collect()}
+    assert rows == brute(texts)
+    assert read_again == [2]
+
+
+def test_counters_of_all_tasks_are_added_up(spark):
+    texts = corpus(4)
+    docs = documents(spark, texts).repartition(5).selectExpr("doc_id", "text", "xxhash64(text) AS text_key")
+    sets = jj.shingle_sets(pa.array(texts), 3)
+    counts = np.bincount(jj.counters_of(np.concatenate(sets)), minlength=jj.COUNTERS)
+    found = jj._frequency(docs.mapInArrow(jj._profiles(3), jj.PROFILES))
+    assert (found == jj._classes(counts)).all()
+    assert found.max() > found[counts == 1].max() > found[counts == 0].max() == 0
