@@ -421,7 +421,12 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = scratch.store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     met = _meetings(rule, nodes, scratch)
     clusters = connected_components(met, scratch, "clusters")
+    # Deleted once they are read: what lies in the shared folder stays beside all later steps.
+    for name in ("index", "long", "pairs", "common", "heads"):
+        scratch.drop(name)
     links = scratch.store(_links(rule, texts, rows, nodes, clusters, scratch), "links")
+    for name in ("wanted", "sets", "placed"):
+        scratch.drop(name)
     found = connected_components(links, scratch, "components")
     classes = rows.where("n > 0").groupBy("a", "b").agg(
         F.min("doc_id").alias("first_id"),
@@ -434,6 +439,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
         .withColumn("component", F.coalesce("component", "node"))
     )
     named = scratch.store(named, "classes")
+    scratch.drop("nodes")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("first_row"))
     named = named.select("a", "b", "size", "component").join(smallest, "component").drop("component")
     return join_group_facts(rows, rows.count(), scratch.store(named, "named"), ["a", "b"], "size")

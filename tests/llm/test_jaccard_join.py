@@ -238,3 +238,14 @@ def test_counters_of_all_tasks_are_added_up(spark):
     found = jj._frequency(docs.mapInArrow(jj._profiles(3), jj.PROFILES))
     assert (found == jj._classes(counts)).all()
     assert found.max() > found[counts == 1].max() > found[counts == 0].max() == 0
+
+
+def test_large_tables_are_deleted_once_they_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gridmill.llm.scratch.run_folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(jj, "PART", 900)
+    texts = corpus(1)
+    result = jj.jaccard_components(documents(spark, texts))
+    left = {p.name for p in (tmp_path / "jaccard").iterdir()}
+    assert {"profiles", "named"} <= left
+    assert not left & {"index", "long", "pairs", "common", "heads", "wanted", "sets", "placed", "nodes"}
+    assert {tuple(r) for r in result.collect()} == brute(texts)
