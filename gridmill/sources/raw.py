@@ -236,7 +236,7 @@ def _list_bad_records(spark: SparkSession, table: str) -> None:
 def bad_records(spark: SparkSession, layer: str = "bronze") -> DataFrame:
     """table_name, source_file and record of every record in the quarantine of a layer."""
     side = QUARANTINE.format(layer)
-    names = [t.name for t in spark.catalog.listTables(side)] if spark.catalog.databaseExists(side) else []
+    names = [t.name for t in spark.catalog.listTables(side) if not t.isTemporary] if spark.catalog.databaseExists(side) else []
     found = spark.createDataFrame([], "table_name string, source_file string, record string")
     for name in sorted(names):
         found = found.unionByName(spark.table(f"{side}.{name}").select(F.lit(name).alias("table_name"), "source_file", "record"))
